@@ -7,6 +7,7 @@ a closed sequence for a ring.  Planar work happens in Web Mercator metres (x, y)
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -21,6 +22,11 @@ HALF_WORLD = math.pi * A
 CIRCLE_SEGMENTS = 192
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, however often body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mercator_x(lon: Column) -> Column:
     return F.radians(lon) * F.lit(A)
 
@@ -50,12 +56,16 @@ def planar(geom: Column) -> Column:
 
 def segments(vertices: Column) -> Column:
     """Consecutive vertex pairs as structs (a, b); empty for a single vertex."""
-    n = F.size(vertices)
-    return F.zip_with(
-        F.slice(vertices, F.lit(1), n - 1),
-        F.slice(vertices, F.lit(2), n - 1),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
+
+    def pairs(v: Column) -> Column:
+        n = F.size(v)
+        return F.zip_with(
+            F.slice(v, F.lit(1), n - 1),
+            F.slice(v, F.lit(2), n - 1),
+            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+        )
+
+    return let(vertices, pairs)
 
 
 def _hypot(a: Column, b: Column) -> Column:
@@ -79,111 +89,140 @@ def _vertex_mean(pts: Column) -> Column:
     )
 
 
+def _weighted(acc: Column, w: Column, x: Column, y: Column) -> Column:
+    return F.struct(
+        (acc["w"] + w).alias("w"), (acc["x"] + w * x).alias("x"), (acc["y"] + w * y).alias("y")
+    )
+
+
+def _no_weight() -> Column:
+    return F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+
 def line_centroid(geom: Column) -> Column:
     """Length-weighted centroid (x, y); a point or a zero-length line gives the vertex mean."""
-    pts = planar(geom)
-    weighted = F.aggregate(
-        segments(pts),
-        F.struct(F.lit(0.0).alias("l"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
-        lambda acc, s: F.struct(
-            (acc["l"] + _hypot(s["a"], s["b"])).alias("l"),
-            (acc["x"] + _hypot(s["a"], s["b"]) * (s["a"]["x"] + s["b"]["x"]) / 2).alias("x"),
-            (acc["y"] + _hypot(s["a"], s["b"]) * (s["a"]["y"] + s["b"]["y"]) / 2).alias("y"),
-        ),
-        lambda acc: F.when(
-            acc["l"] > 0,
-            F.struct((acc["x"] / acc["l"]).alias("x"), (acc["y"] / acc["l"]).alias("y")),
-        ),
-    )
+
+    def of(pts: Column) -> Column:
+        by_length = F.aggregate(
+            segments(pts),
+            _no_weight(),
+            lambda acc, s: let(
+                _hypot(s["a"], s["b"]),
+                lambda w: _weighted(
+                    acc, w, (s["a"]["x"] + s["b"]["x"]) / 2, (s["a"]["y"] + s["b"]["y"]) / 2
+                ),
+            ),
+            lambda acc: F.when(
+                acc["w"] > 0,
+                F.struct((acc["x"] / acc["w"]).alias("x"), (acc["y"] / acc["w"]).alias("y")),
+            ),
+        )
+        return F.coalesce(by_length, _vertex_mean(pts))
+
     only = F.struct(mercator_x(geom[0]["lon"]).alias("x"), mercator_y(geom[0]["lat"]).alias("y"))
-    return (
-        F.when(F.size(geom) == 1, only)
-        .when(F.size(geom) > 1, F.coalesce(weighted, _vertex_mean(pts)))
-    )
+    return F.when(F.size(geom) == 1, only).when(F.size(geom) > 1, let(planar(geom), of))
 
 
 def polygon_centroid(geom: Column) -> Column:
     """Area-weighted centroid (x, y) of a closed ring; zero area falls back to the outline's."""
-    pts = planar(geom)
-    x0, y0 = pts[0]["x"], pts[0]["y"]
-
-    def cross(s: Column) -> Column:
-        return (s["a"]["x"] - x0) * (s["b"]["y"] - y0) - (s["b"]["x"] - x0) * (s["a"]["y"] - y0)
-
-    by_area = F.aggregate(
-        segments(pts),
-        F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
-        lambda acc, s: F.struct(
-            (acc["w"] + cross(s)).alias("w"),
-            (acc["x"] + cross(s) * (s["a"]["x"] + s["b"]["x"] - x0 * 2)).alias("x"),
-            (acc["y"] + cross(s) * (s["a"]["y"] + s["b"]["y"] - y0 * 2)).alias("y"),
-        ),
-        lambda acc: F.when(
-            acc["w"] != 0,
-            F.struct(
-                (x0 + acc["x"] / (acc["w"] * 3)).alias("x"),
-                (y0 + acc["y"] / (acc["w"] * 3)).alias("y"),
+
+    def of(pts: Column) -> Column:
+        x0, y0 = pts[0]["x"], pts[0]["y"]
+
+        def cross(s: Column) -> Column:
+            return (s["a"]["x"] - x0) * (s["b"]["y"] - y0) - (s["b"]["x"] - x0) * (s["a"]["y"] - y0)
+
+        return F.aggregate(
+            segments(pts),
+            _no_weight(),
+            lambda acc, s: let(
+                cross(s),
+                lambda w: _weighted(
+                    acc, w, s["a"]["x"] + s["b"]["x"] - x0 * 2, s["a"]["y"] + s["b"]["y"] - y0 * 2
+                ),
             ),
-        ),
-    )
-    return F.coalesce(by_area, line_centroid(geom))
+            lambda acc: F.when(
+                acc["w"] != 0,
+                F.struct(
+                    (x0 + acc["x"] / (acc["w"] * 3)).alias("x"),
+                    (y0 + acc["y"] / (acc["w"] * 3)).alias("y"),
+                ),
+            ),
+        )
+
+    return F.coalesce(let(planar(geom), of), line_centroid(geom))
 
 
 def spheroid_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Geodesic metres on WGS 84: Lambert's first-order correction on reduced latitudes."""
-    beta1 = F.atan(F.tan(F.radians(lat1)) * F.lit(1 - FLAT))
-    beta2 = F.atan(F.tan(F.radians(lat2)) * F.lit(1 - FLAT))
-    p, q = (beta1 + beta2) / 2, (beta2 - beta1) / 2
-    half_dlon = F.radians(lon2 - lon1) / 2
-    hav = F.pow(F.sin(q), F.lit(2)) + F.cos(beta1) * F.cos(beta2) * F.pow(F.sin(half_dlon), F.lit(2))
-    sigma = F.asin(F.least(F.lit(1.0), F.sqrt(hav))) * 2
-    along = (sigma - F.sin(sigma)) * F.pow(F.sin(p) * F.cos(q), F.lit(2)) / F.pow(F.cos(sigma / 2), F.lit(2))
-    across = (sigma + F.sin(sigma)) * F.pow(F.cos(p) * F.sin(q), F.lit(2)) / F.pow(F.sin(sigma / 2), F.lit(2))
-    dist = F.lit(A) * (sigma - F.lit(FLAT / 2) * (along + across))
+
+    def square(v: Column) -> Column:
+        return v * v
+
+    def reduced(lat: Column) -> Column:
+        return F.atan(F.tan(F.radians(lat)) * F.lit(1 - FLAT))
+
+    def haversine(b: Column) -> Column:
+        return square(F.sin((b["b2"] - b["b1"]) / 2)) + F.cos(b["b1"]) * F.cos(b["b2"]) * square(
+            F.sin(F.radians(lon2 - lon1) / 2)
+        )
+
+    def corrected(v: Column) -> Column:
+        along = (v["s"] - F.sin(v["s"])) * square(F.sin(v["p"]) * F.cos(v["q"])) / square(F.cos(v["s"] / 2))
+        across = (v["s"] + F.sin(v["s"])) * square(F.cos(v["p"]) * F.sin(v["q"])) / square(F.sin(v["s"] / 2))
+        return F.lit(A) * (v["s"] - F.lit(FLAT / 2) * (along + across))
+
+    def from_reduced(b: Column) -> Column:
+        sigma = F.asin(F.least(F.lit(1.0), F.sqrt(haversine(b)))) * 2
+        parts = F.struct(
+            ((b["b1"] + b["b2"]) / 2).alias("p"), ((b["b2"] - b["b1"]) / 2).alias("q"), sigma.alias("s")
+        )
+        return let(parts, corrected)
+
+    dist = let(F.struct(reduced(lat1).alias("b1"), reduced(lat2).alias("b2")), from_reduced)
     return F.when((lon1 == lon2) & (lat1 == lat2), F.lit(0.0)).otherwise(dist)
 
 
 def _authalic_q(lat: Column) -> Column:
-    s = F.sin(F.radians(lat))
-    es = s * F.lit(ECC)
-    return F.lit(1 - E2) * (s / (F.lit(1.0) - es * es) + F.log((es + 1) / (F.lit(1.0) - es)) / (2 * ECC))
+    def q(s: Column) -> Column:
+        es = s * F.lit(ECC)
+        return F.lit(1 - E2) * (
+            s / (F.lit(1.0) - es * es) + F.log((es + 1) / (F.lit(1.0) - es)) / (2 * ECC)
+        )
+
+    return let(F.sin(F.radians(lat)), q)
 
 
 def circle_area(cx: Column, cy: Column, r: Column) -> Column:
     """Square metres on the spheroid inside a circle drawn in degree space (as a 192-gon)."""
     step = 2 * math.pi / CIRCLE_SEGMENTS
-
-    def corner(k: Column) -> tuple[Column, Column]:
-        angle = k * F.lit(step)
-        return cx + r * F.cos(angle), cy + r * F.sin(angle)
-
-    def strip(k: Column) -> Column:
-        lon1, lat1 = corner(k)
-        lon2, lat2 = corner(k + 1)
-        return F.radians(lon2 - lon1) * (_authalic_q(lat1) + _authalic_q(lat2))
-
-    total = F.aggregate(
-        F.sequence(F.lit(0), F.lit(CIRCLE_SEGMENTS - 1)), F.lit(0.0), lambda acc, k: acc + strip(k)
+    corners = F.transform(
+        F.sequence(F.lit(0), F.lit(CIRCLE_SEGMENTS)),
+        lambda k: F.struct(
+            (cx + r * F.cos(k * F.lit(step))).alias("lon"),
+            _authalic_q(cy + r * F.sin(k * F.lit(step))).alias("q"),
+        ),
+    )
+    strips = F.transform(
+        segments(corners),
+        lambda s: F.radians(s["b"]["lon"] - s["a"]["lon"]) * (s["a"]["q"] + s["b"]["q"]),
     )
-    return F.when(r > 0, F.abs(total) * F.lit(A * A / 4)).when(r == 0, F.lit(0.0))
+    return F.when(r > 0, F.abs(_total(strips)) * F.lit(A * A / 4)).when(r == 0, F.lit(0.0))
 
 
 # --- local metric, used only for "within a few hundred metres" ---------------
 
-def _curvature(lat: Column) -> tuple[Column, Column]:
-    s = F.sin(F.radians(lat))
-    w2 = F.lit(1.0) - s * s * F.lit(E2)
-    meridian = F.lit(A * (1 - E2)) / (w2 * F.sqrt(w2))
-    vertical = F.lit(A) / F.sqrt(w2)
-    return meridian, vertical
+def _metres_per_degree(lat: Column) -> Column:
+    """(east, north) metres per degree in the tangent plane at lat."""
 
+    def scale(s: Column) -> Column:
+        w2 = F.lit(1.0) - s * s * F.lit(E2)
+        return F.struct(
+            (F.lit(math.radians(A)) * F.cos(F.radians(lat)) / F.sqrt(w2)).alias("e"),
+            (F.lit(math.radians(A * (1 - E2))) / (w2 * F.sqrt(w2))).alias("n"),
+        )
 
-def local_offset(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
-    """Metres east and north of (lon0, lat0) in the tangent plane at lat0."""
-    meridian, vertical = _curvature(lat0)
-    east = F.radians(lon - lon0) * vertical * F.cos(F.radians(lat0))
-    north = F.radians(lat - lat0) * meridian
-    return east, north
+    return let(F.sin(F.radians(lat)), scale)
 
 
 def _point_segment(px, py, ax, ay, bx, by) -> Column:
@@ -193,33 +232,42 @@ def _point_segment(px, py, ax, ay, bx, by) -> Column:
         len2 > 0,
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / len2)),
     ).otherwise(F.lit(0.0))
-    ex, ey = ax + dx * t - px, ay + dy * t - py
-    return F.sqrt(ex * ex + ey * ey)
+    return let(
+        t, lambda v: F.sqrt((ax + dx * v - px) * (ax + dx * v - px) + (ay + dy * v - py) * (ay + dy * v - py))
+    )
 
 
 def segment_distance(s: dict[str, Column], t: dict[str, Column]) -> Column:
     """Metres between two short segments (each a dict lon1, lat1, lon2, lat2)."""
-    lat0 = (s["lat1"] + s["lat2"] + t["lat1"] + t["lat2"]) / 4
-    lon0 = s["lon1"]
-    ax, ay = local_offset(s["lon1"], s["lat1"], lon0, lat0)
-    bx, by = local_offset(s["lon2"], s["lat2"], lon0, lat0)
-    cx, cy = local_offset(t["lon1"], t["lat1"], lon0, lat0)
-    dx, dy = local_offset(t["lon2"], t["lat2"], lon0, lat0)
-
-    def side(px, py, qx, qy, rx, ry):
-        return (qx - px) * (ry - py) - (qy - py) * (rx - px)
-
-    crossing = (
-        (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0)
-        & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
-    )
-    nearest = F.least(
-        _point_segment(ax, ay, cx, cy, dx, dy),
-        _point_segment(bx, by, cx, cy, dx, dy),
-        _point_segment(cx, cy, ax, ay, bx, by),
-        _point_segment(dx, dy, ax, ay, bx, by),
-    )
-    return F.when(crossing, F.lit(0.0)).otherwise(nearest)
+
+    def between(v: Column) -> Column:
+        ax, ay, bx, by, cx, cy, dx, dy = (v[k] for k in ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"))
+
+        def side(px, py, qx, qy, rx, ry):
+            return (qx - px) * (ry - py) - (qy - py) * (rx - px)
+
+        crossing = (
+            (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0)
+            & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
+        )
+        nearest = F.least(
+            _point_segment(ax, ay, cx, cy, dx, dy),
+            _point_segment(bx, by, cx, cy, dx, dy),
+            _point_segment(cx, cy, ax, ay, bx, by),
+            _point_segment(dx, dy, ax, ay, bx, by),
+        )
+        return F.when(crossing, F.lit(0.0)).otherwise(nearest)
+
+    def in_plane(k: Column) -> Column:
+        def at(end: dict[str, Column], i: int, name: str) -> list[Column]:
+            return [
+                ((end[f"lon{i}"] - s["lon1"]) * k["e"]).alias(f"{name}x"),
+                ((end[f"lat{i}"] - s["lat1"]) * k["n"]).alias(f"{name}y"),
+            ]
+
+        return let(F.struct(*at(s, 1, "a"), *at(s, 2, "b"), *at(t, 1, "c"), *at(t, 2, "d")), between)
+
+    return let(_metres_per_degree((s["lat1"] + s["lat2"] + t["lat1"] + t["lat2"]) / 4), in_plane)
 
 
 def nearest_on_line(px: Column, py: Column, pts: Column) -> Column:
@@ -233,10 +281,12 @@ def nearest_on_line(px: Column, py: Column, pts: Column) -> Column:
             len2 > 0,
             F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / len2)),
         ).otherwise(F.lit(0.0))
-        fx, fy = ax + dx * t, ay + dy * t
-        return F.struct(
-            ((fx - px) * (fx - px) + (fy - py) * (fy - py)).alias("d2"),
-            fx.alias("x"), fy.alias("y"),
+        at = let(t, lambda v: F.struct((ax + dx * v).alias("x"), (ay + dy * v).alias("y")))
+        return let(
+            at,
+            lambda f: F.struct(
+                ((f["x"] - px) * (f["x"] - px) + (f["y"] - py) * (f["y"] - py)).alias("d2"), f["x"], f["y"]
+            ),
         )
 
     return F.array_min(F.transform(segments(pts), foot))

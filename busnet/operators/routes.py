@@ -135,9 +135,14 @@ def route_statistics(members: DataFrame, block_bits: int = _BLOCK_BITS) -> DataF
             hull_udf(F.flatten(F.transform(vertices, geo.lonlat_pair))).alias("hull"),
         )
     )
-    per_route = per_block.groupBy("rel_osm_id").agg(
-        (F.sum("total") / F.sum("n")).alias("avg_distance"),
-        F.flatten(F.collect_list("hull")).alias("hull"),
+    # the test on n is always true; it keeps the spacing arrays a column of their own, because
+    # an array expression folded into a UDF call is not handed over to Python
+    per_route = (
+        per_block.groupBy("rel_osm_id")
+        .agg(F.sum("total").alias("total"), F.sum("n").alias("n"),
+             F.flatten(F.collect_list("hull")).alias("hull"))
+        .filter("n > 0")
+        .withColumn("avg_distance", F.col("total") / F.col("n"))
     )
     circle = per_route.select("rel_osm_id", "avg_distance", circle_udf("hull").alias("c"))
     area = geo.circle_area(F.col("c.cx"), F.col("c.cy"), F.col("c.r"))

@@ -124,6 +124,9 @@ def _walk_udf(flat: pd.Series) -> pd.Series:
     return flat.map(_walk)
 
 
+_walk_udf = _walk_udf.asNondeterministic()
+
+
 def segments_merged(sets: DataFrame, shapes: DataFrame) -> DataFrame:
     """d_ways plus its set key: (id, set_a, set_b, max_diameter, number_of_routes, n_edges, length, geom).
 

@@ -16,6 +16,7 @@ from busnet.plans.network import Network
 from busnet.schemas import STOP_FLAGS
 from busnet.session import configure
 from busnet.sources import fixture
+from busnet.sources.features import attach_member_geometry
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +29,7 @@ def _query(fn: Callable[[Network], DataFrame]) -> Callable[[Network], DataFrame]
 
 
 def network(spark: SparkSession, sf_dir: str) -> Network:
-    return Network(fixture.feature_tables(configure(spark), sf_dir))
+    return Network(fixture.FixtureFeatures(configure(spark), sf_dir))
 
 
 def queries() -> dict[str, Query]:
@@ -107,7 +108,7 @@ def feat_routes(n: Network) -> DataFrame:
 
 @_query
 def feat_route_members(n: Network) -> DataFrame:
-    return n.features.relation_members_route.select(
+    return attach_member_geometry(n.features.member_refs, n.features.element_geometry).select(
         "rel_osm_id", "member_osm_id", "member_index", "member_role", "member_type",
         _line(F.col("geom")).alias("geom"),
     )

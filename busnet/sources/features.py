@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,12 +10,12 @@ from busnet.functions.geo import point
 from busnet.functions.tags import NODE, WAY
 
 
-@dataclass(frozen=True)
-class FeatureTables:
-    """Inputs of every derivation.
+class FeatureTables(Protocol):
+    """Inputs of every derivation; implementations build each table on first use.
 
     `member_refs` is `relation_members_route` without geometry: derivations that need no member
-    geometry read it and skip the geometry join.
+    geometry read it and skip the geometry join.  `element_geometry` is (member_type,
+    member_osm_id, geom).
     """
 
     nodes_bus_stop: DataFrame
@@ -24,11 +24,7 @@ class FeatureTables:
     ways_bus_station: DataFrame
     relations_route: DataFrame
     member_refs: DataFrame
-    element_geometry: DataFrame  # (member_type, member_osm_id, geom)
-
-    @property
-    def relation_members_route(self) -> DataFrame:
-        return attach_member_geometry(self.member_refs, self.element_geometry)
+    element_geometry: DataFrame
 
 
 def assemble_lines(vertices: DataFrame) -> DataFrame:

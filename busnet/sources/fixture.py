@@ -5,181 +5,163 @@ Coordinates are whole 1e-7 degrees divided once, so every engine holds the same
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from functools import cached_property
 
-from busnet.functions.geo import point
-from busnet.functions.tags import NODE, WAY
-from busnet.sources.features import FeatureTables, assemble_lines, element_geometry
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql.functions import row_number
 
+from busnet.sources.features import assemble_lines, element_geometry
 
-def _deg(e7: Column) -> Column:
-    return e7.cast("double") / F.lit(1e7)
+# the columns read, with their stored types
+_TABLES = {
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_size INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING",
+    "customer": "c_custkey BIGINT, c_name STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
+    "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
+    "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+}
 
 
-def _div(a: Column, by: int) -> Column:
-    return F.floor(a / by).cast("long")
-
-
-def _scatter(key: Column) -> tuple[Column, Column]:
-    """Pseudo-random spot (lon, lat in 1e-7 degrees) in a small town."""
-    lon = F.lit(20000000) + (key * 104729) % 997 * 500
-    lat = F.lit(450000000) + (key * 7919) % 1000 * 400
-    return lon, lat
-
-
-def nodes_bus_stop(part: DataFrame) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
-    lon, lat = _scatter(key)
-    lat = lat + _div(key, 1000) * 1000000
-    return part.select(
-        (key + 1).alias("id"), key.alias("osm_id"),
-        F.when(size % 17 == 0, F.lit(None).cast("string")).when(size % 10 == 0, "")
-        .otherwise(F.col("p_name")).alias("name"),
-        (size % 2 == 0).alias("has_shelter"), (size % 3 == 0).alias("has_bench"),
-        (size % 5 == 0).alias("has_tactile_paving"), (size % 7 == 0).alias("has_departures_board"),
-        (size % 4 == 0).alias("is_wheelchair_ok"), F.col("p_brand").alias("local_ref"),
-        F.lit("bus_stop").alias("highway"), F.lit("platform").alias("public_transport"),
-        F.array(point(_deg(lon), _deg(lat))).alias("geom"),
+def _geom(lon_e7: str, lat_e7: str) -> str:
+    return (
+        f"array(named_struct('lon', CAST({lon_e7} AS DOUBLE) / 1e7D, "
+        f"'lat', CAST({lat_e7} AS DOUBLE) / 1e7D)) AS geom"
     )
 
 
-def ways_bus_stop(supplier: DataFrame, part: DataFrame, lines: DataFrame) -> DataFrame:
-    key = F.col("s_suppkey")
-    named = supplier.join(part, F.col("p_partkey") == key)
-    return named.join(lines, F.col("way_id") == key).select(
-        (key + 1).alias("id"), key.alias("osm_id"),
-        F.when(key % 7 == 0, "").otherwise(F.col("p_name")).alias("name"),
-        (key % 2 == 0).alias("has_shelter"), (key % 3 == 0).alias("has_bench"),
-        F.lit(False).alias("has_tactile_paving"), (key % 5 == 0).alias("has_departures_board"),
-        F.lit(True).alias("is_wheelchair_ok"), F.col("s_name").alias("local_ref"),
-        F.lit("bus_stop").alias("highway"), F.lit("").alias("public_transport"), "geom",
-    )
+def _scatter(key: str) -> tuple[str, str]:
+    """Pseudo-random spot (lon, lat in 1e-7 degrees) in a small town."""
+    return f"20000000 + ({key} * 104729) % 997 * 500", f"450000000 + ({key} * 7919) % 1000 * 400"
 
 
-def nodes_bus_station(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    lon, lat = _scatter(key)
-    return customer.filter(key % 20 == 10).select(
-        (key + 1).alias("id"), key.alias("osm_id"), F.col("c_name").alias("name"),
-        F.lit("ST_Point").alias("geom_type"), F.array(point(_deg(lon), _deg(lat))).alias("geom"),
+def _chain(ways: DataFrame, first_id: int, lat_e7: int) -> DataFrame:
+    """Street w joins vertices 2w, 2w+1, 2w+2 of one snake-shaped chain."""
+    return ways.selectExpr("w", "explode(array(0, 1, 2)) AS pos").selectExpr(
+        f"w + {first_id} AS way_id", "pos",
+        "20000000 + (2 * w + pos) DIV 40 * 12000 AS lon_e7",
+        f"{lat_e7} + 10000 * IF((2 * w + pos) DIV 40 % 2 = 0, "
+        "(2 * w + pos) % 40, 39 - (2 * w + pos) % 40) AS lat_e7",
     )
 
 
-def ways_bus_station(customer: DataFrame, lines: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    multi = key % 100 == 20
-    return (
-        customer.filter(key % 20 == 0)
-        .join(lines, F.col("way_id") == key + 2000000)
-        .select(
-            (key + 1).alias("id"),
-            F.when(multi, -(key + 2000000)).otherwise(key + 2000000).alias("osm_id"),
-            F.col("c_name").alias("name"),
-            F.when(multi, "ST_MultiPolygon").otherwise("ST_Polygon").alias("geom_type"), "geom",
-        )
-    )
-
+class FixtureFeatures:
+    """The feature tables, each built on first use."""
 
-def relations_route(orders: DataFrame) -> DataFrame:
-    order, cust = F.col("o_orderkey"), F.col("o_custkey")
-    return orders.select(
-        (-(order + 1)).alias("osm_id"),
-        F.concat(F.lit("Route "), order.cast("string")).alias("name"),
-        F.when(order % 13 == 0, F.lit(None).cast("string")).when(order % 11 == 0, "")
-        .otherwise((cust % 60).cast("string")).alias("ref"),
-        F.col("o_orderpriority").alias("network"),
-        F.concat(F.lit("Origin "), (cust % 10).cast("string")).alias("origin"),
-        F.when(cust % 6 == 0, "")
-        .otherwise(F.concat(F.lit("Terminus "), (cust % 12).cast("string"))).alias("destination"),
-        F.when(cust % 4 == 0, "").when(cust % 4 == 1, F.lit(None).cast("string"))
-        .when(cust % 4 == 2, "red").otherwise("#00AA55").alias("colour"),
-        F.col("o_orderstatus").alias("operator"), F.lit("2").alias("public_transport_version"),
-        F.lit("bus").alias("transport_mode"),
-    )
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
 
+    def _table(self, name: str) -> DataFrame:
+        return self._spark.read.schema(_TABLES[name]).parquet(f"{self._dir}/{name}.parquet")
 
-def member_refs(lineitem: DataFrame) -> DataFrame:
-    order, flag, status = F.col("l_orderkey"), F.col("l_returnflag"), F.col("l_linestatus")
-    in_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-        "l_extendedprice", "l_quantity", "l_discount", "l_tax",
-    )
-    rows = lineitem.withColumn("rn", F.row_number().over(in_order)).withColumn(
-        "j", F.explode(F.when(flag == "R", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    )
-    j = F.col("j")
-    return rows.select(
-        (-(order + 1)).alias("rel_osm_id"),
-        F.when((flag == "R") & (order % 40 == 0), _div(order, 40) * 2 + 3000000 + j)
-        .when(flag == "R", F.col("l_suppkey") * 2 + 1000000 + j)
-        .when((flag == "N") & (status == "O"), F.col("l_suppkey"))
-        .otherwise(F.col("l_partkey")).alias("member_osm_id"),
-        (F.col("rn") * 10 + j).cast("int").alias("member_index"),
-        F.when(flag == "R", "").when((flag == "A") & (status == "F"), "stop")
-        .when((flag == "N") & (status == "F"), "stop_entry_only").otherwise("platform")
-        .alias("member_role"),
-        F.when((flag == "R") | ((flag == "N") & (status == "O")), F.lit(WAY)).otherwise(F.lit(NODE))
-        .alias("member_type"),
-    )
+    @cached_property
+    def _lines(self) -> DataFrame:
+        return assemble_lines(self.way_vertices)
 
+    @cached_property
+    def nodes_bus_stop(self) -> DataFrame:
+        lon, lat = _scatter("p_partkey")
+        return self._table("part").selectExpr(
+            "p_partkey + 1 AS id", "p_partkey AS osm_id",
+            "CASE WHEN p_size % 17 = 0 THEN NULL WHEN p_size % 10 = 0 THEN '' ELSE p_name END AS name",
+            "p_size % 2 = 0 AS has_shelter", "p_size % 3 = 0 AS has_bench",
+            "p_size % 5 = 0 AS has_tactile_paving", "p_size % 7 = 0 AS has_departures_board",
+            "p_size % 4 = 0 AS is_wheelchair_ok", "p_brand AS local_ref",
+            "'bus_stop' AS highway", "'platform' AS public_transport",
+            _geom(lon, f"{lat} + p_partkey DIV 1000 * 1000000"),
+        )
 
-def _chain(ways: DataFrame, first_id: int, lat_e7: int) -> DataFrame:
-    """Street w joins vertices 2w, 2w+1, 2w+2 of one snake-shaped chain."""
-    at = F.col("w") * 2 + F.col("k")
-    column, row = _div(at, 40), at % 40
-    return ways.withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(3)]))).select(
-        (F.col("w") + first_id).alias("way_id"), F.col("k").alias("pos"),
-        (column * 12000 + 20000000).alias("lon_e7"),
-        (F.when(column % 2 == 0, row).otherwise(F.lit(39) - row) * 10000 + lat_e7).alias("lat_e7"),
-    )
+    @cached_property
+    def ways_bus_stop(self) -> DataFrame:
+        part = self._table("part").selectExpr("p_partkey AS s_suppkey", "p_name")
+        lines = self._lines.withColumnRenamed("way_id", "s_suppkey")
+        return self._table("supplier").join(part, "s_suppkey").join(lines, "s_suppkey").selectExpr(
+            "s_suppkey + 1 AS id", "s_suppkey AS osm_id", "IF(s_suppkey % 7 = 0, '', p_name) AS name",
+            "s_suppkey % 2 = 0 AS has_shelter", "s_suppkey % 3 = 0 AS has_bench",
+            "false AS has_tactile_paving", "s_suppkey % 5 = 0 AS has_departures_board",
+            "true AS is_wheelchair_ok", "s_name AS local_ref",
+            "'bus_stop' AS highway", "'' AS public_transport", "geom",
+        )
 
+    @cached_property
+    def nodes_bus_station(self) -> DataFrame:
+        return self._table("customer").filter("c_custkey % 20 = 10").selectExpr(
+            "c_custkey + 1 AS id", "c_custkey AS osm_id", "c_name AS name", "'ST_Point' AS geom_type",
+            _geom(*_scatter("c_custkey")),
+        )
 
-def _pair(key: Column) -> Column:
-    return F.explode(F.array(key * 2, key * 2 + 1)).alias("w")
+    @cached_property
+    def ways_bus_station(self) -> DataFrame:
+        rings = self._table("customer").filter("c_custkey % 20 = 0").selectExpr(
+            "c_custkey", "c_name", "2000000 + c_custkey AS way_id", "c_custkey % 100 = 20 AS multi"
+        )
+        return rings.join(self._lines, "way_id").selectExpr(
+            "c_custkey + 1 AS id", "IF(multi, -way_id, way_id) AS osm_id", "c_name AS name",
+            "IF(multi, 'ST_MultiPolygon', 'ST_Polygon') AS geom_type", "geom",
+        )
 
+    @cached_property
+    def relations_route(self) -> DataFrame:
+        return self._table("orders").selectExpr(
+            "-(o_orderkey + 1) AS osm_id", "concat('Route ', o_orderkey) AS name",
+            "CASE WHEN o_orderkey % 13 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN '' "
+            "ELSE CAST(o_custkey % 60 AS STRING) END AS ref",
+            "o_orderpriority AS network", "concat('Origin ', o_custkey % 10) AS origin",
+            "IF(o_custkey % 6 = 0, '', concat('Terminus ', o_custkey % 12)) AS destination",
+            "CASE o_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'red' ELSE '#00AA55' END AS colour",
+            "o_orderstatus AS operator", "'2' AS public_transport_version", "'bus' AS transport_mode",
+        )
 
-def way_vertices(supplier: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
-    sup, cust, k = F.col("s_suppkey"), F.col("c_custkey"), F.col("k")
-    lon, lat = _scatter(sup)
-    stops = supplier.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).select(
-        sup.alias("way_id"), k.alias("pos"), (lon + 100).alias("lon_e7"),
-        (lat + 100 + k * 900).alias("lat_e7"),
-    )
-    lon, lat = _scatter(cust)
-    rings = (
-        customer.filter(cust % 20 == 0)
-        .withColumn("k", F.explode(F.array(*[F.lit(i) for i in range(5)])))
-        .select(
-            (cust + 2000000).alias("way_id"), k.alias("pos"),
-            (lon + F.when(k.isin(1, 2), 4000).otherwise(0)).alias("lon_e7"),
-            (lat + F.when(k.isin(2, 3), 3000).otherwise(0)).alias("lat_e7"),
+    @cached_property
+    def member_refs(self) -> DataFrame:
+        in_order = Window.partitionBy("l_orderkey").orderBy(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+            "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+        )
+        rows = self._table("lineitem").withColumn("rn", row_number().over(in_order))
+        steps = rows.selectExpr("*", "explode(IF(l_returnflag = 'R', array(0, 1), array(0))) AS j")
+        return steps.selectExpr(
+            "-(l_orderkey + 1) AS rel_osm_id",
+            "CASE WHEN l_returnflag = 'R' AND l_orderkey % 40 = 0 THEN 3000000 + 2 * (l_orderkey DIV 40) + j "
+            "WHEN l_returnflag = 'R' THEN 1000000 + 2 * l_suppkey + j "
+            "WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN l_suppkey ELSE l_partkey END AS member_osm_id",
+            "CAST(rn * 10 + j AS INT) AS member_index",
+            "CASE WHEN l_returnflag = 'R' THEN '' "
+            "WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'stop' "
+            "WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'stop_entry_only' "
+            "ELSE 'platform' END AS member_role",
+            "IF(l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'O'), 1, 0) AS member_type",
         )
-    )
-    streets = _chain(supplier.select(_pair(sup)), 1000000, 450000000)
-    order = F.col("o_orderkey")
-    private = _chain(
-        orders.filter(order % 40 == 0).select(_pair(_div(order, 40))), 3000000, 450450000
-    )
-    vertices = streets.unionByName(private).unionByName(stops).unionByName(rings)
-    return vertices.select(
-        "way_id", "pos", _deg(F.col("lon_e7")).alias("lon"), _deg(F.col("lat_e7")).alias("lat")
-    )
 
+    @cached_property
+    def way_vertices(self) -> DataFrame:
+        supplier, customer, orders = (self._table(t) for t in ("supplier", "customer", "orders"))
+        lon, lat = _scatter("s_suppkey")
+        stops = supplier.selectExpr("s_suppkey", "explode(array(0, 1)) AS pos").selectExpr(
+            "s_suppkey AS way_id", "pos", f"{lon} + 100 AS lon_e7", f"{lat} + 100 + 900 * pos AS lat_e7"
+        )
+        lon, lat = _scatter("c_custkey")
+        rings = customer.filter("c_custkey % 20 = 0").selectExpr(
+            "c_custkey", "explode(array(0, 1, 2, 3, 4)) AS pos"
+        ).selectExpr(
+            "2000000 + c_custkey AS way_id", "pos", f"{lon} + IF(pos IN (1, 2), 4000, 0) AS lon_e7",
+            f"{lat} + IF(pos IN (2, 3), 3000, 0) AS lat_e7",
+        )
+        streets = _chain(
+            supplier.selectExpr("explode(array(2 * s_suppkey, 2 * s_suppkey + 1)) AS w"), 1000000, 450000000
+        )
+        private = _chain(
+            orders.filter("o_orderkey % 40 = 0").selectExpr(
+                "explode(array(2 * (o_orderkey DIV 40), 2 * (o_orderkey DIV 40) + 1)) AS w"
+            ),
+            3000000, 450450000,
+        )
+        vertices = streets.unionByName(private).unionByName(stops).unionByName(rings)
+        return vertices.selectExpr(
+            "way_id", "pos", "CAST(lon_e7 AS DOUBLE) / 1e7D AS lon", "CAST(lat_e7 AS DOUBLE) / 1e7D AS lat"
+        )
 
-def feature_tables(spark: SparkSession, sf_dir: str) -> FeatureTables:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    part, supplier, customer = table("part"), table("supplier"), table("customer")
-    orders, lineitem = table("orders"), table("lineitem")
-    lines = assemble_lines(way_vertices(supplier, orders, customer))
-    stop_nodes = nodes_bus_stop(part)
-    return FeatureTables(
-        nodes_bus_stop=stop_nodes,
-        ways_bus_stop=ways_bus_stop(supplier, part, lines),
-        nodes_bus_station=nodes_bus_station(customer),
-        ways_bus_station=ways_bus_station(customer, lines),
-        relations_route=relations_route(orders),
-        member_refs=member_refs(lineitem),
-        element_geometry=element_geometry(stop_nodes, lines),
-    )
+    @cached_property
+    def element_geometry(self) -> DataFrame:
+        return element_geometry(self.nodes_bus_stop, self._lines)

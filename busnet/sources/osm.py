@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from busnet import schemas
 from busnet.functions.geo import point
 from busnet.functions.tags import NODE, RELATION, WAY, bool_tag, load_tags, string_tag
-from busnet.sources.features import FeatureTables, assemble_lines, element_geometry
+from busnet.sources.features import assemble_lines, element_geometry
 
 _FLAG_TAGS = {
     "has_shelter": "shelter",
@@ -151,23 +153,55 @@ def member_refs(relations: DataFrame) -> DataFrame:
     )
 
 
-def feature_tables(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> FeatureTables:
-    """All feature tables; geometry is assembled only for ways that some table needs."""
-    refs = member_refs(relations)
-    wanted = (
-        refs.filter(F.col("member_type") == WAY).select(F.col("member_osm_id").alias("id"))
-        .unionByName(ways.filter(_has("highway", "bus_stop") | _has("amenity", "bus_station")).select("id"))
-    )
-    lines = assemble_lines(way_vertices(ways.join(wanted, "id", "left_semi"), nodes))
-    points = nodes.select(
-        F.col("id").alias("osm_id"), F.array(point(F.col("lon"), F.col("lat"))).alias("geom")
-    )
-    return FeatureTables(
-        nodes_bus_stop=nodes_bus_stop(nodes),
-        ways_bus_stop=ways_bus_stop(ways, lines),
-        nodes_bus_station=nodes_bus_station(nodes),
-        ways_bus_station=ways_bus_station(ways, lines),
-        relations_route=relations_route(relations),
-        member_refs=refs,
-        element_geometry=element_geometry(points, lines),
-    )
+class OsmFeatures:
+    """Feature tables of an extract; geometry is assembled only for ways that some table needs."""
+
+    def __init__(self, nodes: DataFrame, ways: DataFrame, relations: DataFrame):
+        self._nodes, self._ways, self._relations = nodes, ways, relations
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        featured = self._ways.filter(_has("highway", "bus_stop") | _has("amenity", "bus_station"))
+        wanted = (
+            self.member_refs.filter(F.col("member_type") == WAY)
+            .select(F.col("member_osm_id").alias("id"))
+            .unionByName(featured.select("id"))
+        )
+        return assemble_lines(
+            way_vertices(self._ways.join(wanted, "id", "left_semi"), self._nodes)
+        )
+
+    @cached_property
+    def nodes_bus_stop(self) -> DataFrame:
+        return nodes_bus_stop(self._nodes)
+
+    @cached_property
+    def ways_bus_stop(self) -> DataFrame:
+        return ways_bus_stop(self._ways, self._lines)
+
+    @cached_property
+    def nodes_bus_station(self) -> DataFrame:
+        return nodes_bus_station(self._nodes)
+
+    @cached_property
+    def ways_bus_station(self) -> DataFrame:
+        return ways_bus_station(self._ways, self._lines)
+
+    @cached_property
+    def relations_route(self) -> DataFrame:
+        return relations_route(self._relations)
+
+    @cached_property
+    def member_refs(self) -> DataFrame:
+        return member_refs(self._relations)
+
+    @cached_property
+    def element_geometry(self) -> DataFrame:
+        """Geometry of route members only."""
+        wanted = self.member_refs.filter(F.col("member_type") == NODE).select(
+            F.col("member_osm_id").alias("id")
+        )
+        points = self._nodes.join(wanted, "id", "left_semi").select(
+            F.col("id").alias("osm_id"), F.array(point(F.col("lon"), F.col("lat"))).alias("geom")
+        )
+        return element_geometry(points, self._lines)
