@@ -19,8 +19,6 @@ E2 = FLAT * (2.0 - FLAT)
 ECC = math.sqrt(E2)
 HALF_WORLD = math.pi * A
 
-CIRCLE_SEGMENTS = 192
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once, however often body mentions it."""
@@ -183,33 +181,6 @@ def spheroid_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
     return F.when((lon1 == lon2) & (lat1 == lat2), F.lit(0.0)).otherwise(dist)
 
 
-def _authalic_q(lat: Column) -> Column:
-    def q(s: Column) -> Column:
-        es = s * F.lit(ECC)
-        return F.lit(1 - E2) * (
-            s / (F.lit(1.0) - es * es) + F.log((es + 1) / (F.lit(1.0) - es)) / (2 * ECC)
-        )
-
-    return let(F.sin(F.radians(lat)), q)
-
-
-def circle_area(cx: Column, cy: Column, r: Column) -> Column:
-    """Square metres on the spheroid inside a circle drawn in degree space (as a 192-gon)."""
-    step = 2 * math.pi / CIRCLE_SEGMENTS
-    corners = F.transform(
-        F.sequence(F.lit(0), F.lit(CIRCLE_SEGMENTS)),
-        lambda k: F.struct(
-            (cx + r * F.cos(k * F.lit(step))).alias("lon"),
-            _authalic_q(cy + r * F.sin(k * F.lit(step))).alias("q"),
-        ),
-    )
-    strips = F.transform(
-        segments(corners),
-        lambda s: F.radians(s["b"]["lon"] - s["a"]["lon"]) * (s["a"]["q"] + s["b"]["q"]),
-    )
-    return F.when(r > 0, F.abs(_total(strips)) * F.lit(A * A / 4)).when(r == 0, F.lit(0.0))
-
-
 # --- local metric, used only for "within a few hundred metres" ---------------
 
 def _metres_per_degree(lat: Column) -> Column:

@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
+from busnet.functions.geo import A, E2, ECC
+
+CIRCLE_SEGMENTS = 192
+
 # executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -90,18 +94,30 @@ def hull_udf(flat: pd.Series) -> pd.Series:
     return flat.map(one)
 
 
-_CIRCLE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("cx", "cy", "r")])
+def _authalic_q(lat: np.ndarray) -> np.ndarray:
+    s = np.sin(np.radians(lat))
+    es = ECC * s
+    return (1 - E2) * (s / (1 - es * es) + np.log((1 + es) / (1 - es)) / (2 * ECC))
+
+
+def circle_area(cx: np.ndarray, cy: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Square metres on the spheroid inside circles drawn in degree space (as 192-gons)."""
+    angle = np.arange(CIRCLE_SEGMENTS + 1) * (2 * math.pi / CIRCLE_SEGMENTS)
+    lon = cx[:, None] + r[:, None] * np.cos(angle)
+    q = _authalic_q(cy[:, None] + r[:, None] * np.sin(angle))
+    strips = np.radians(np.diff(lon, axis=1)) * (q[:, 1:] + q[:, :-1])
+    return np.abs(strips.sum(axis=1)) * (A * A / 4)
 
 
-@F.pandas_udf(_CIRCLE)
-def circle_udf(flat: pd.Series) -> pd.DataFrame:
-    found = [
-        enclosing_circle(np.asarray(a).reshape(-1, 2)) if a is not None and len(a) else (None, None, None)
-        for a in flat
-    ]
-    return pd.DataFrame(found, columns=["cx", "cy", "r"], dtype="float64")
+@F.pandas_udf(T.DoubleType())
+def circle_diameter_udf(flat: pd.Series) -> pd.Series:
+    """Metres across a disc as large as the smallest circle around the points."""
+    if flat.empty:
+        return pd.Series([], dtype="float64")
+    found = np.array([enclosing_circle(np.asarray(a).reshape(-1, 2)) for a in flat])
+    return pd.Series(2 * np.sqrt(circle_area(*found.T) / math.pi))
 
 
 # keeps the optimizer from folding a call into the aggregation that follows it
 hull_udf = hull_udf.asNondeterministic()
-circle_udf = circle_udf.asNondeterministic()
+circle_diameter_udf = circle_diameter_udf.asNondeterministic()

@@ -79,7 +79,8 @@ def default_if_blank(text: Column, placeholder: str) -> Column:
 def sort_nulls_last(items: Column, *fields: str) -> Column:
     """Sort an array of structs by fields ascending, NULL fields last.
 
-    array_sort orders NULL first inside a struct, so each field is preceded by its null flag.
+    sort_array orders NULL first inside a struct, so each field is preceded by its null flag.
+    (It compares natively; array_sort would run a comparator expression per pair.)
     """
     keyed = F.transform(
         items,
@@ -92,4 +93,4 @@ def sort_nulls_last(items: Column, *fields: str) -> Column:
             e.alias("item"),
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["item"])
+    return F.transform(F.sort_array(keyed), lambda k: k["item"])

@@ -43,14 +43,18 @@ def stop_routes(positions: DataFrame, routes: DataFrame) -> DataFrame:
 def route_stop_connections(positions: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame:
     """d_route_stops_with_connections: a route's stops with the other routes found there.
 
-    The routes of a stop are gathered once per stop and the own route taken out per row, so no
-    pairs of visits are shuffled.  Stops match on the id alone (a node and a way with the same id
+    The routes of a stop are gathered and ordered (by ref, colour, id, as shields are shown) once
+    per stop and the own route is taken out per row, so no pairs of visits are shuffled.  Stops match on the id alone (a node and a way with the same id
     both give their name).  A stop without other routes carries one all-NULL entry.
     """
     at_stop = (
         stop_routes(positions, routes)
         .groupBy("member_type", "member_osm_id")
-        .agg(F.collect_list(F.struct("rel_osm_id", "id", "ref", "colour")).alias("served"))
+        .agg(
+            sort_nulls_last(
+                F.collect_list(F.struct("rel_osm_id", "id", "ref", "colour")), "ref", "colour", "id"
+            ).alias("served")
+        )
     )
     names = stops.select(F.col("osm_id").alias("member_osm_id"), F.col("name").alias("stop_name")).distinct()
     own = routes.select(F.col("osm_id").alias("rel_osm_id"))
@@ -60,10 +64,13 @@ def route_stop_connections(positions: DataFrame, stops: DataFrame, routes: DataF
             F.lit(None).cast("string").alias("colour"),
         )
     )
-    others = F.transform(
-        F.filter("served", lambda r: r["rel_osm_id"] != F.col("rel_osm_id")),
+    other = F.filter("served", lambda r: r["rel_osm_id"] != F.col("rel_osm_id"))
+    known = F.transform(
+        F.filter("other", lambda r: r["id"].isNotNull()),
         lambda r: F.struct(r["id"].alias("id"), r["ref"].alias("ref"), r["colour"].alias("colour")),
     )
+    # relations that are no known route count as one all-NULL entry, like no relation at all
+    unknown = (F.size("other") == 0) | F.exists("other", lambda r: r["id"].isNull())
     return (
         positions.distinct()
         .join(own, "rel_osm_id")
@@ -76,10 +83,8 @@ def route_stop_connections(positions: DataFrame, stops: DataFrame, routes: DataF
             F.col("member_index").alias("stop_index"),
             "stop_name",
             *[c for c in ("lon", "lat") if c in positions.columns],
-            sort_nulls_last(F.array_distinct(others), "id", "ref", "colour").alias("found"),
-        )
-        .withColumn(
-            "other_routes_at_stop", F.when(F.size("found") == 0, nothing).otherwise(F.col("found"))
+            other.alias("other"),
         )
-        .drop("found")
+        .withColumn("other_routes_at_stop", F.when(unknown, F.concat(known, nothing)).otherwise(known))
+        .drop("other")
     )

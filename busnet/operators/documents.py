@@ -51,14 +51,13 @@ def route_geometry(paths: DataFrame) -> DataFrame:
 def stop_position_list(rows: DataFrame) -> DataFrame:
     """(route_osm_id, positions): a route's projected points ordered by id."""
     at = F.struct("pos", geo.lon_of(F.col("x")).alias("lon"), geo.lat_of(F.col("y")).alias("lat"))
-    return rows.groupBy("route_osm_id").agg(F.array_sort(F.collect_list(at)).alias("positions"))
+    return rows.groupBy("route_osm_id").agg(F.sort_array(F.collect_list(at)).alias("positions"))
 
 
 def shields(found: Column) -> Column:
-    """ref and colour of the other routes, blank refs removed, ordered by (ref, colour, id)."""
-    kept = F.filter(found, lambda r: ~falsy(r["ref"]))
+    """ref and colour of the other routes, blank refs removed; the list comes ordered as shown."""
     return F.transform(
-        sort_nulls_last(kept, "ref", "colour", "id"),
+        F.filter(found, lambda r: ~falsy(r["ref"])),
         lambda r: F.struct(r["ref"].alias("ref"), r["colour"].alias("colour")),
     )
 
@@ -71,7 +70,7 @@ def stop_list(connections: DataFrame) -> DataFrame:
         shields(F.col("other_routes_at_stop")).alias("shields"),
         member_label(F.col("stop_osm_type"), F.col("stop_osm_id")).alias("osm_id"),
     )
-    ordered = F.array_sort(F.collect_list(entry))
+    ordered = F.sort_array(F.collect_list(entry))
     return connections.groupBy("route_osm_id").agg(
         F.transform(
             ordered,

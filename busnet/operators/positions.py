@@ -239,5 +239,5 @@ def position_points(rows: DataFrame) -> DataFrame:
 def positions_by_route(rows: DataFrame) -> DataFrame:
     """d_routes_position_ids (bounded by the 32,000 members a relation may have)."""
     return rows.groupBy(F.col("route_osm_id").alias("rel_osm_id")).agg(
-        F.array_sort(F.collect_list("pos")).alias("positions_ids")
+        F.sort_array(F.collect_list("pos")).alias("positions_ids")
     )

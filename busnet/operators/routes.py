@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from busnet.functions import geo
-from busnet.functions.hull import circle_udf, hull_udf
+from busnet.functions.hull import circle_diameter_udf, hull_udf
 from busnet.functions.tags import NODE, WAY
 
 MIN_SPACING = 10  # metres; closer stops count as one
@@ -78,7 +78,7 @@ def _spacing_blocks(members: DataFrame, block_bits: int) -> DataFrame:
         stops.withColumn("block", F.shiftright("member_index", block_bits))
         .groupBy("rel_osm_id", "block")
         .agg(
-            F.array_sort(
+            F.sort_array(
                 F.collect_list(
                     F.struct("member_index", "member_type", "member_osm_id", "lon", "lat", "geom")
                 )
@@ -144,17 +144,13 @@ def route_statistics(members: DataFrame, block_bits: int = _BLOCK_BITS) -> DataF
         .filter("n > 0")
         .withColumn("avg_distance", F.col("total") / F.col("n"))
     )
-    circle = per_route.select("rel_osm_id", "avg_distance", circle_udf("hull").alias("c"))
-    area = geo.circle_area(F.col("c.cx"), F.col("c.cy"), F.col("c.r"))
-    return circle.select(
+    return per_route.select(
         "rel_osm_id",
         F.bround("avg_distance").cast("int").alias("avg_distance"),
-        F.bround(F.sqrt(area / F.pi()) * 2).cast("int").alias("diameter"),
+        F.bround(circle_diameter_udf("hull")).cast("int").alias("diameter"),
     )
 
 
-
-
 def routes_internal(routes: DataFrame, members: DataFrame) -> DataFrame:
     """i_routes: the routes with diameter and avg_distance (NULL where nothing was measured)."""
     stats = route_statistics(members).withColumnRenamed("rel_osm_id", "osm_id")
@@ -169,7 +165,7 @@ def route_paths(routes: DataFrame, ways: DataFrame) -> DataFrame:
     parts = (
         ways.filter(F.col("geom").isNotNull())
         .groupBy("rel_osm_id")
-        .agg(F.array_sort(F.collect_set(F.struct("index", "geom"))).alias("parts"))
+        .agg(F.sort_array(F.collect_set(F.struct("index", "geom"))).alias("parts"))
         .select(
             F.col("rel_osm_id").alias("osm_id"),
             F.transform("parts", lambda p: p["geom"]).alias("geom"),

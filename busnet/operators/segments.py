@@ -153,7 +153,7 @@ def segments_merged(sets: DataFrame, shapes: DataFrame) -> DataFrame:
             F.count("*").cast("int").alias("n_edges"),
             F.sum(F.sqrt(dx * dx + dy * dy)).alias("length"),
             F.flatten(
-                F.array_sort(F.collect_list(F.array(a["lon"], a["lat"], b["lon"], b["lat"])))
+                F.sort_array(F.collect_list(F.array(a["lon"], a["lat"], b["lon"], b["lat"])))
             ).alias("flat"),
         )
     )
@@ -187,4 +187,4 @@ def segments_of_routes(merged: DataFrame, routes_of_set: DataFrame) -> DataFrame
 
 def segments_by_route(pairs: DataFrame) -> DataFrame:
     """d_routes_ways_ids (a relation has at most 32,000 members, so the list is bounded)."""
-    return pairs.groupBy("rel_osm_id").agg(F.array_sort(F.collect_list("id")).alias("ways_ids"))
+    return pairs.groupBy("rel_osm_id").agg(F.sort_array(F.collect_list("id")).alias("ways_ids"))

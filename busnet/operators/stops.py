@@ -353,7 +353,7 @@ def cluster_members(shaped: DataFrame, pair_limit: int = 10_000) -> DataFrame:
 def stop_clusters(members: DataFrame) -> DataFrame:
     """i_stops_cluster: the parallel arrays of a cluster's stops, its name and mean position."""
     grouped = members.groupBy("cluster_id", "name").agg(
-        F.array_sort(F.collect_list(F.struct("osm_type", "osm_id"))).alias("m"),
+        F.sort_array(F.collect_list(F.struct("osm_type", "osm_id"))).alias("m"),
         F.avg("x").alias("x"), F.avg("y").alias("y"),
     )
     return grouped.select(

@@ -193,5 +193,5 @@ def layer_features(rows: DataFrame, layer: Layer) -> DataFrame:
 def tile_payload(features: DataFrame) -> DataFrame:
     """One row per (layer, tile); the layer limit bounds the list at 1000 features."""
     return features.groupBy("layer", "z", "x_tile", "y_tile").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "pixels", "properties"))).alias("features")
+        F.sort_array(F.collect_list(F.struct("rank", "pixels", "properties"))).alias("features")
     )

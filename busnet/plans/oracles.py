@@ -379,7 +379,7 @@ _SELECTS: dict[str, str] = {
     "positions_by_route": "SELECT route_osm_id AS rel_osm_id, CAST(count(*) AS INT) AS n_positions FROM rpos GROUP BY route_osm_id",
     "route_stop_positions": "SELECT route_osm_id, x, y FROM rpos",
     "route_stop_connections": f"""SELECT route_osm_id, stop_osm_id, stop_osm_type, stop_index, stop_name,
-        string_agg({_txt('CAST(id AS VARCHAR)')}||'|'||{_txt('ref')}||'|'||{_txt('colour')}, ';' ORDER BY id) AS other_routes_at_stop
+        string_agg({_txt('CAST(id AS VARCHAR)')}||'|'||{_txt('ref')}||'|'||{_txt('colour')}, ';' ORDER BY ref NULLS LAST, colour NULLS LAST, id) AS other_routes_at_stop
       FROM conn GROUP BY route_osm_id, stop_osm_id, stop_osm_type, stop_index, stop_name, lon, lat""",
     "stop_stats": "SELECT osm_type, osm_id, max_diameter, max_avg_distance, number_of_routes, routes_ref_colour FROM stat",
     "stops_enriched": f"""SELECT osm_type, osm_id, id, name, {_FLAGS}, local_ref, max_diameter, max_avg_distance,

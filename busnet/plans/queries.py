@@ -227,7 +227,7 @@ def segments_merged(n: Network) -> DataFrame:
 def segments_by_route(n: Network) -> DataFrame:
     low = n.segments.select("id", F.array_min("geom").alias("low"))
     rows = n.route_segments.join(low, "id")
-    spots = F.transform(F.array_sort(F.collect_list("low")), lambda p: _spot(p["lon"], p["lat"]))
+    spots = F.transform(F.sort_array(F.collect_list("low")), lambda p: _spot(p["lon"], p["lat"]))
     return rows.groupBy("rel_osm_id").agg(
         F.count("*").cast("int").alias("n_segments"), F.array_join(spots, ",").alias("segments")
     )
@@ -329,7 +329,7 @@ def _micro(points: Column) -> Column:
 def route_position_list(n: Network) -> DataFrame:
     lists = documents.stop_position_list(n.d_route_stop_positions)
     # ids are surrogates: compare in spatial order
-    ordered = F.array_sort(F.transform("positions", geo.lonlat_pair))
+    ordered = F.sort_array(F.transform("positions", geo.lonlat_pair))
     return lists.select(F.col("route_osm_id").alias("osm_id"), _micro(ordered).alias("stop_positions"))
 
 
@@ -355,7 +355,7 @@ def route_document(n: Network) -> DataFrame:
     def lines(g: Column) -> Column:
         return F.array_join(F.transform(g["coordinates"], lambda p: _spot(p[0], p[1])), ",")
 
-    spots = F.array_sort(F.transform(F.col("stop_positions.geometries"), lambda g: g["coordinates"]))
+    spots = F.sort_array(F.transform(F.col("stop_positions.geometries"), lambda g: g["coordinates"]))
     return n.route_documents.select(
         "osm_id", *[F.col(f"route_info.{c}").alias(c) for c in routes.ROUTE_COLUMNS[1:]],
         _micro(spots).alias("stop_positions"), _stop_list(F.col("stop_list")).alias("stop_list"),

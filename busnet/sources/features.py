@@ -34,7 +34,7 @@ def assemble_lines(vertices: DataFrame) -> DataFrame:
     """
     return (
         vertices.groupBy("way_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "lon", "lat"))).alias("v"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "lon", "lat"))).alias("v"))
         .select("way_id", F.transform("v", lambda p: point(p["lon"], p["lat"])).alias("geom"))
     )
 
