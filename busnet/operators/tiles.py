@@ -6,6 +6,7 @@ the tile and cut at the layer's published limit.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -86,95 +87,91 @@ POSITIONS = Layer(
 )
 
 
-def _cell(metres_from_edge: Column, size: Column) -> Column:
-    return F.floor(metres_from_edge / size).cast("int")
+Extent = tuple[float, float, float, float]  # west, south, east, north in degrees
 
 
 def assign_tiles(
-    df: DataFrame, box: Sequence[Column], zooms: Sequence[int], buffer: int = 0,
-    extent: tuple[float, float, float, float] = WORLD,
+    df: DataFrame, box: Sequence[str], zooms: Sequence[int], buffer: int = 0, extent: Extent = WORLD,
 ) -> DataFrame:
     """Add z, x_tile, y_tile: one row per tile whose box, grown by buffer pixels, meets the feature's.
 
-    Tiles are half-open: a spot on a tile border belongs to the tile east and south of it.
-    Only tiles that meet the lon/lat extent appear.
+    box names the feature's west, south, east and north in Web Mercator metres.  Tiles are
+    half-open: a spot on a tile border belongs to the tile east and south of it.  Only tiles that
+    meet the extent appear.
     """
-    xmin, ymin, xmax, ymax = box
-    last = F.shiftleft(F.lit(1), F.col("z")) - 1
-    size = F.lit(2 * geo.HALF_WORLD) / F.shiftleft(F.lit(1), F.col("z"))
-    grow = size * (buffer / TILE_PIXELS)
-
-    def mx(lon: float) -> Column:
-        return geo.mercator_x(F.lit(lon))
-
-    def my(lat: float) -> Column:
-        return geo.mercator_y(F.lit(max(WORLD[1], min(WORLD[3], lat))))
-
-    def clamp(v: Column, lo: Column, hi: Column) -> Column:
-        return F.greatest(lo, F.least(hi, v))
-
-    half = F.lit(geo.HALF_WORLD)
-    zero = F.lit(0)
-    x_lo, x_hi = _cell(xmin - grow + half, size), _cell(xmax + grow + half, size)
-    y_lo, y_hi = _cell(half - ymax - grow, size), _cell(half - ymin + grow, size)
-    ex_lo = clamp(_cell(mx(extent[0]) + half, size), zero, last)
-    ex_hi = clamp(_cell(mx(extent[2]) + half, size), zero, last)
-    ey_lo = clamp(_cell(half - my(extent[3]), size), zero, last)
-    ey_hi = clamp(_cell(half - my(extent[1]), size), zero, last)
-
-    def span(lo: Column, hi: Column) -> Column:
-        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-
-    zoomed = df.withColumn("z", F.explode(F.array(*[F.lit(z) for z in zooms])))
-    return zoomed.withColumn(
-        "x_tile", F.explode(span(F.greatest(x_lo, ex_lo), F.least(x_hi, ex_hi)))
-    ).withColumn("y_tile", F.explode(span(F.greatest(y_lo, ey_lo), F.least(y_hi, ey_hi))))
+    west, south, east, north = box
+    half = geo.HALF_WORLD
+
+    def x(lon: float) -> float:
+        return math.radians(lon) * geo.A + half
+
+    def y(lat: float) -> float:
+        lat = max(WORLD[1], min(WORLD[3], lat))
+        return half - math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * geo.A
+
+    grow = f"tile_size * {buffer / TILE_PIXELS!r}D"
+    sized = (
+        df.selectExpr("*", f"explode(array({', '.join(map(str, zooms))})) AS z")
+        .selectExpr("*", "shiftleft(1, z) AS n_tiles")
+        .selectExpr("*", f"{2 * half!r}D / n_tiles AS tile_size")
+        .selectExpr(
+            "*",
+            f"floor({x(extent[0])!r}D / tile_size) AS first_x", f"floor({x(extent[2])!r}D / tile_size) AS last_x",
+            f"floor({y(extent[3])!r}D / tile_size) AS first_y", f"floor({y(extent[1])!r}D / tile_size) AS last_y",
+        )
+    )
 
+    def span(lo: str, hi: str, axis: str) -> str:
+        start = f"CAST(greatest(0, first_{axis}, floor(({lo}) / tile_size)) AS INT)"
+        stop = f"CAST(least(n_tiles - 1, last_{axis}, floor(({hi}) / tile_size)) AS INT)"
+        return f"explode(IF({start} <= {stop}, sequence({start}, {stop}), CAST(array() AS ARRAY<INT>))) AS {axis}_tile"
 
-def _box(shape: str) -> list[Column]:
-    if shape == "point":
-        x, y = F.col("x"), F.col("y")
-        return [x, y, x, y]
-    pts = F.col("_pts")
-    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
-    return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
+    return (
+        sized.selectExpr("*", span(f"{west} - {grow} + {half!r}D", f"{east} + {grow} + {half!r}D", "x"))
+        .selectExpr("*", span(f"{half!r}D - {north} - {grow}", f"{half!r}D - {south} + {grow}", "y"))
+        .drop("n_tiles", "tile_size", "first_x", "last_x", "first_y", "last_y")
+    )
 
 
 def layer_rows(
     df: DataFrame, layer: Layer, query: LayerQuery, zooms: Sequence[int] | None = None,
-    extent: tuple[float, float, float, float] = WORLD,
+    extent: Extent = WORLD,
 ) -> DataFrame:
     """The features of every tile of one zoom range, ranked from 1 within (z, x_tile, y_tile)."""
     served = [z for z in (zooms or range(MIN_ZOOM, MAX_ZOOM + 1)) if query.minzoom <= z <= query.maxzoom]
     rows = df if query.condition is None else df.filter(query.condition)
+    box = ["x", "y", "x", "y"]
     if layer.shape == "line":
-        rows = rows.withColumn("_pts", geo.planar(F.col("geom")))
-        first = F.array_min("_pts")
-        rows = rows.withColumn("tie_x", F.round(first["x"], 3)).withColumn("tie_y", F.round(first["y"], 3))
-    order = query.order()
-    in_tile = Window.partitionBy("z", "x_tile", "y_tile").orderBy(*order)
-    tiled = assign_tiles(rows, _box(layer.shape), served, layer.buffer, extent)
+        box = ["_west", "_south", "_east", "_north"]
+        rows = rows.withColumn("_pts", geo.planar(F.col("geom"))).selectExpr(
+            "*",
+            "array_min(transform(_pts, p -> p.x)) AS _west", "array_min(transform(_pts, p -> p.y)) AS _south",
+            "array_max(transform(_pts, p -> p.x)) AS _east", "array_max(transform(_pts, p -> p.y)) AS _north",
+            "round(array_min(_pts).x, 3) AS tie_x", "round(array_min(_pts).y, 3) AS tie_y",
+        ).drop("_pts")
+    in_tile = Window.partitionBy("z", "x_tile", "y_tile").orderBy(*query.order())
     return (
-        tiled.withColumn("rank", F.row_number().over(in_tile))
+        assign_tiles(rows, box, served, layer.buffer, extent)
+        .withColumn("rank", F.row_number().over(in_tile))
         .filter(F.col("rank") <= query.limit)
-        .drop("_pts", "tie_x", "tie_y")
+        .drop("_west", "_south", "_east", "_north", "tie_x", "tie_y")
     )
 
 
-def snap(pts: Column, z: Column, x_tile: Column, y_tile: Column) -> Column:
-    """Planar vertices on the tile's pixel grid, consecutive repeats dropped."""
-    size = F.lit(2 * geo.HALF_WORLD) / F.shiftleft(F.lit(1), z)
-    pixel = size / TILE_PIXELS
-    west = x_tile * size - F.lit(geo.HALF_WORLD)
-    north = F.lit(geo.HALF_WORLD) - y_tile * size
+def snap(pts: Column) -> Column:
+    """Planar vertices on the pixel grid of the row's tile (z, x_tile, y_tile), repeats dropped."""
+    half = F.lit(geo.HALF_WORLD)
+    size = half * 2 / F.pow(F.lit(2.0), F.col("z"))
     on_grid = F.transform(
         pts,
         lambda p: F.struct(
-            F.floor((p["x"] - west) / pixel).cast("int").alias("px"),
-            F.floor((north - p["y"]) / pixel).cast("int").alias("py"),
+            F.floor(((p["x"] + half) / size - F.col("x_tile")) * TILE_PIXELS).cast("int").alias("px"),
+            F.floor(((half - p["y"]) / size - F.col("y_tile")) * TILE_PIXELS).cast("int").alias("py"),
         ),
     )
-    return F.filter(on_grid, lambda p, i: (i == 0) | (p != F.get(on_grid, i - 1)))
+    return geo.let(
+        on_grid, lambda g: F.filter(g, lambda p, i: (i == 0) | (p != F.get(g, i - 1)))
+    )
 
 
 def layer_features(rows: DataFrame, layer: Layer) -> DataFrame:
@@ -185,7 +182,7 @@ def layer_features(rows: DataFrame, layer: Layer) -> DataFrame:
         pts = geo.planar(F.col("geom"))
     return rows.select(
         F.lit(layer.name).alias("layer"), "z", "x_tile", "y_tile", "rank",
-        snap(pts, F.col("z"), F.col("x_tile"), F.col("y_tile")).alias("pixels"),
+        snap(pts).alias("pixels"),
         F.to_json(F.struct(*layer.properties), {"ignoreNullFields": "false"}).alias("properties"),
     )
 
