@@ -434,5 +434,30 @@ _SELECTS: dict[str, str] = {
 }
 
 
+# integers that may be NULL are compared as doubles
+_NULLABLE = {
+    "route_avg_distance": ["avg_distance"],
+    "route_diameter": ["diameter"],
+    "routes_internal": ["diameter", "avg_distance"],
+    "segment_route_sets": ["max_diameter", "number_of_routes"],
+    "segments_merged": ["max_diameter", "number_of_routes"],
+    "route_position_points": ["number_of_routes"],
+    "stop_stats": ["max_diameter", "max_avg_distance", "number_of_routes"],
+    "stops_enriched": ["max_diameter", "max_avg_distance", "number_of_routes"],
+    "cluster_stats": ["max_diameter", "max_avg_distance", "number_of_routes"],
+    "tile_stops_z11_13": ["max_avg_distance"],
+    "tile_stops_z14": ["number_of_routes"],
+    "tile_ways_z11": ["number_of_routes"],
+    "tile_ways_z12": ["number_of_routes"],
+}
+
+
+def _select(name: str) -> str:
+    if name not in _NULLABLE:
+        return _SELECTS[name]
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _NULLABLE[name])
+    return f"SELECT * REPLACE ({casts}) FROM ({_SELECTS[name]}) result"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: _statement(select) for name, select in _SELECTS.items()}
+    return {name: _statement(_select(name)) for name in _SELECTS}

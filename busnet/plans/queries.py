@@ -32,9 +32,17 @@ def network(spark: SparkSession, sf_dir: str) -> Network:
     return Network(fixture.FixtureFeatures(configure(spark), sf_dir))
 
 
+# integers that may be NULL are compared as doubles
+NULLABLE = ["diameter", "avg_distance", "max_diameter", "max_avg_distance", "number_of_routes"]
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("double").alias(c) if c in NULLABLE else F.col(c) for c in df.columns])
+
+
 def queries() -> dict[str, Query]:
     def run(fn: Callable[[Network], DataFrame]) -> Query:
-        return lambda spark, sf_dir: fn(network(spark, sf_dir))
+        return lambda spark, sf_dir: _plain(fn(network(spark, sf_dir)))
 
     return {name: run(fn) for name, fn in _REGISTRY.items()}
 
