@@ -134,6 +134,7 @@ def segments_merged(sets: DataFrame, shapes: DataFrame) -> DataFrame:
     `length` is the planar Web Mercator length.  A line's vertices are put in order from its own
     edges only, the one place where they must sit together (they are one value of the result).
     """
+    sets = cut_lineage(sets)
     edge_id = F.xxhash64("set_a", "set_b", "a", "b")
     edges = cut_lineage(_edges(sets, shapes).withColumn("eid", edge_id))
     at_vertex = (
