@@ -241,28 +241,6 @@ def segment_distance(s: dict[str, Column], t: dict[str, Column]) -> Column:
     return let(_metres_per_degree((s["lat1"] + s["lat2"] + t["lat1"] + t["lat2"]) / 4), in_plane)
 
 
-def nearest_on_line(px: Column, py: Column, pts: Column) -> Column:
-    """Foot (d2, x, y) of a planar point on a planar polyline: the closest one, first on ties."""
-
-    def foot(s: Column) -> Column:
-        ax, ay = s["a"]["x"], s["a"]["y"]
-        dx, dy = s["b"]["x"] - ax, s["b"]["y"] - ay
-        len2 = dx * dx + dy * dy
-        t = F.when(
-            len2 > 0,
-            F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / len2)),
-        ).otherwise(F.lit(0.0))
-        at = let(t, lambda v: F.struct((ax + dx * v).alias("x"), (ay + dy * v).alias("y")))
-        return let(
-            at,
-            lambda f: F.struct(
-                ((f["x"] - px) * (f["x"] - px) + (f["y"] - py) * (f["y"] - py)).alias("d2"), f["x"], f["y"]
-            ),
-        )
-
-    return F.array_min(F.transform(segments(pts), foot))
-
-
 # --- output -----------------------------------------------------------------
 
 def lonlat_pair(p: Column) -> Column:

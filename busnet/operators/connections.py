@@ -47,13 +47,15 @@ def route_stop_connections(positions: DataFrame, stops: DataFrame, routes: DataF
     per stop and the own route is taken out per row, so no pairs of visits are shuffled.  Stops match on the id alone (a node and a way with the same id
     both give their name).  A stop without other routes carries one all-NULL entry.
     """
+    entry = F.struct("id", "ref", "colour")
     at_stop = (
         stop_routes(positions, routes)
         .groupBy("member_type", "member_osm_id")
         .agg(
             sort_nulls_last(
-                F.collect_list(F.struct("rel_osm_id", "id", "ref", "colour")), "ref", "colour", "id"
-            ).alias("served")
+                F.collect_list(F.when(F.col("id").isNotNull(), entry)), "ref", "colour", "id"
+            ).alias("served"),
+            F.bool_or(F.col("id").isNull()).alias("strangers"),
         )
     )
     names = stops.select(F.col("osm_id").alias("member_osm_id"), F.col("name").alias("stop_name")).distinct()
@@ -64,13 +66,9 @@ def route_stop_connections(positions: DataFrame, stops: DataFrame, routes: DataF
             F.lit(None).cast("string").alias("colour"),
         )
     )
-    other = F.filter("served", lambda r: r["rel_osm_id"] != F.col("rel_osm_id"))
-    known = F.transform(
-        F.filter("other", lambda r: r["id"].isNotNull()),
-        lambda r: F.struct(r["id"].alias("id"), r["ref"].alias("ref"), r["colour"].alias("colour")),
-    )
+    other = F.filter("served", lambda r: r["id"] != F.col("rel_osm_id"))
     # relations that are no known route count as one all-NULL entry, like no relation at all
-    unknown = (F.size("other") == 0) | F.exists("other", lambda r: r["id"].isNull())
+    alone = F.col("strangers") | (F.size("other") == 0)
     return (
         positions.distinct()
         .join(own, "rel_osm_id")
@@ -83,8 +81,9 @@ def route_stop_connections(positions: DataFrame, stops: DataFrame, routes: DataF
             F.col("member_index").alias("stop_index"),
             "stop_name",
             *[c for c in ("lon", "lat") if c in positions.columns],
+            "strangers",
             other.alias("other"),
         )
-        .withColumn("other_routes_at_stop", F.when(unknown, F.concat(known, nothing)).otherwise(known))
-        .drop("other")
+        .withColumn("other_routes_at_stop", F.when(alone, F.concat("other", nothing)).otherwise(F.col("other")))
+        .drop("strangers", "other")
     )

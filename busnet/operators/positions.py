@@ -32,15 +32,27 @@ def busy_routes(member_refs: DataFrame, pair_limit: int) -> DataFrame:
     )
 
 
-def _foot() -> list[Column]:
-    """Foot of (x, y) on `pts` and its distance in degrees."""
-    foot = geo.nearest_on_line(F.col("x"), F.col("y"), F.col("pts"))
-    return [foot.alias("foot")]
+_SPOT = ["x", "y", "lon", "lat"]
 
 
-def _measure(pairs: DataFrame, unit: str) -> DataFrame:
-    """Add fx, fy, dist (degrees, rounded to the tie grid) and drop what is too far."""
-    feet = pairs.select("*", *_foot()).withColumn("fx", F.col("foot.x")).withColumn("fy", F.col("foot.y"))
+def _feet(pairs: DataFrame, keys: list[str], unit: str) -> DataFrame:
+    """keys, x, y, lon, lat, dist, fx, fy: the foot of (x, y) on each way, unless it is too far.
+
+    The foot is the nearest point in the plane; its distance is then taken in degrees and rounded
+    to the tie grid.  Segments are unfolded, so the arithmetic runs in generated code.
+    """
+    at_segment = (
+        pairs.select(*keys, *_SPOT, F.explode("segments").alias("s"))
+        .selectExpr(
+            *keys, *_SPOT, "s",
+            "IF(s.len2 > 0, greatest(0D, least(1D, ((x - s.ax) * s.dx + (y - s.ay) * s.dy) / s.len2)), 0D) AS t",
+        )
+        .selectExpr(*keys, *_SPOT, "s.ax + s.dx * t AS fx", "s.ay + s.dy * t AS fy")
+        .selectExpr(*keys, "struct((fx - x) * (fx - x) + (fy - y) * (fy - y) AS d2, fx, fy, x, y, lon, lat) AS f")
+    )
+    feet = at_segment.groupBy(*keys).agg(F.min("f").alias("f")).select(
+        *keys, *[F.col(f"f.{c}").alias(c) for c in (*_SPOT, "fx", "fy")]
+    )
     dlon = geo.lon_of(F.col("fx")) - F.col("lon")
     dlat = geo.lat_of(F.col("fy")) - F.col("lat")
     out = feet.withColumn("dist", F.round(F.sqrt(dlon * dlon + dlat * dlat), _TIE))
@@ -54,19 +66,28 @@ def _measure(pairs: DataFrame, unit: str) -> DataFrame:
     raise ValueError(f"unknown unit {unit!r}")
 
 
-def _with_line(ways: DataFrame) -> DataFrame:
-    """Route ways as planar vertex lists; a one-vertex way becomes a zero-length line."""
+def _with_segments(ways: DataFrame) -> DataFrame:
+    """Route ways as planar segments; a one-vertex way becomes a zero-length segment."""
     pts = geo.planar(F.col("geom"))
-    return ways.filter(F.col("geom").isNotNull()).select(
-        "rel_osm_id", F.col("index").alias("way_index"), "geom",
-        F.when(F.size("geom") == 1, F.concat(pts, pts)).otherwise(pts).alias("pts"),
+    return (
+        ways.filter(F.col("geom").isNotNull())
+        .withColumn("pts", F.when(F.size("geom") == 1, F.concat(pts, pts)).otherwise(pts))
+        .withColumn("pairs", geo.segments(F.col("pts")))
+        .selectExpr(
+            "rel_osm_id", "index AS way_index", "geom",
+            "transform(pairs, p -> named_struct('ax', p.a.x, 'ay', p.a.y, 'dx', p.b.x - p.a.x, "
+            "'dy', p.b.y - p.a.y, 'len2', pow(p.b.x - p.a.x, 2) + pow(p.b.y - p.a.y, 2))) AS segments",
+        )
     )
 
 
+_MEMBER = ["rel_osm_id", "member_type", "member_osm_id", "member_index"]
+
+
 def nearest_ways(positions: DataFrame, ways: DataFrame, unit: str = "degree") -> DataFrame:
     """Foot of every (route, position) on every way of the route within the distance filter."""
-    spots = positions.select("rel_osm_id", "member_type", "member_osm_id", "member_index", "x", "y", "lon", "lat")
-    return _measure(spots.join(_with_line(ways).drop("geom"), "rel_osm_id"), unit).drop("pts", "foot")
+    pairs = positions.select(*_MEMBER, *_SPOT).join(_with_segments(ways).drop("geom"), "rel_osm_id")
+    return _feet(pairs, [*_MEMBER, "way_index"], unit)
 
 
 def _box(prefix: str, lon_lo: Column, lon_hi: Column, lat_lo: Column, lat_hi: Column) -> list[Column]:
@@ -102,14 +123,15 @@ def _busy_feet(positions: DataFrame, ways: DataFrame, unit: str, pair_limit: int
     """
     spots = cut_lineage(
         positions.select("rel_osm_id", "x", "y", "lon", "lat").distinct()
-        .select("*", *_box("p_", F.col("lon"), F.col("lon"), F.col("lat"), F.col("lat")))
+        .select("*", F.struct(*_SPOT).alias("spot"),
+                *_box("p_", F.col("lon"), F.col("lon"), F.col("lat"), F.col("lat")))
     )
     lons = F.transform("geom", lambda g: g["lon"])
     lats = F.transform("geom", lambda g: g["lat"])
     lines = cut_lineage(
         # of several ways with one geometry the first one wins every tie
-        _with_line(ways).groupBy("rel_osm_id", "geom", "pts").agg(F.min("way_index").alias("way_index"))
-        .select("rel_osm_id", "way_index", "pts",
+        _with_segments(ways).groupBy("rel_osm_id", "geom", "segments").agg(F.min("way_index").alias("way_index"))
+        .select("rel_osm_id", "way_index", "segments",
                 *_box("w_", F.array_min(lons), F.array_max(lons), F.array_min(lats), F.array_max(lats)))
     )
     gap_x = F.greatest(F.lit(0.0), F.col("w_w") - F.col("p_e"), F.col("p_w") - F.col("w_e"))
@@ -150,7 +172,7 @@ def _busy_feet(positions: DataFrame, ways: DataFrame, unit: str, pair_limit: int
         again = (F.col("p_count") * F.col("w_count") > pair_limit) & F.lit(level < _LEVELS)
         small = pairs.filter(~again).select("rel_osm_id", "p_cx", "p_cy", "w_cx", "w_cy")
         joined = small.join(p, p_keys).join(w, w_keys)
-        feet.append(_measure(joined, unit).select("rel_osm_id", "x", "y", "lon", "lat", "way_index", "dist", "fx", "fy"))
+        feet.append(_feet(joined, ["rel_osm_id", "spot", "way_index"], unit))
         more = pairs.filter(again)
         if more.isEmpty():
             break
@@ -161,14 +183,11 @@ def _busy_feet(positions: DataFrame, ways: DataFrame, unit: str, pair_limit: int
     out = feet[0]
     for f in feet[1:]:
         out = out.unionByName(f)
-    best = out.groupBy("rel_osm_id", "x", "y", "lon", "lat").agg(
+    best = out.groupBy("rel_osm_id", *_SPOT).agg(
         F.min(F.struct("dist", "way_index", "fx", "fy")).alias("m")
     )
-    return positions.select(
-        "rel_osm_id", "member_type", "member_osm_id", "member_index", "x", "y", "lon", "lat"
-    ).join(best, ["rel_osm_id", "x", "y", "lon", "lat"]).select(
-        "rel_osm_id", "member_type", "member_osm_id", "member_index", "x", "y", "lon", "lat",
-        "m.way_index", "m.dist", "m.fx", "m.fy",
+    return positions.select(*_MEMBER, *_SPOT).join(best, ["rel_osm_id", *_SPOT]).select(
+        *_MEMBER, *_SPOT, "m.way_index", "m.dist", "m.fx", "m.fy"
     )
 
 
