@@ -74,11 +74,6 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def line_length(geom: Column) -> Column:
-    """Planar length in Web Mercator units."""
-    return _total(F.transform(segments(planar(geom)), lambda s: _hypot(s["a"], s["b"])))
-
-
 def _vertex_mean(pts: Column) -> Column:
     n = F.size(pts)
     return F.struct(

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from busnet.functions import geo
-from busnet.functions.tags import element_label
-from busnet.operators.routes import is_position_role, path_members
-from busnet.functions.tags import NODE, WAY
+from busnet.functions.tags import NODE, WAY, element_label
+from busnet.operators.routes import is_position_role
 from busnet.session import cut_lineage
 
 MAX_DISTANCE = 20  # compared with degrees by default, as in the published maps

@@ -72,12 +72,7 @@ class Network:
 
     @cached_property
     def i_ways(self) -> DataFrame:
-        return self._keep(
-            "i_ways",
-            attach_member_geometry(routes.path_members(self.member_refs), self.element_geometry).select(
-                "rel_osm_id", F.col("member_index").alias("index"), "geom"
-            ),
-        )
+        return self._keep("i_ways", routes.route_ways(self.members))
 
     @cached_property
     def position_refs(self) -> DataFrame:
@@ -85,8 +80,7 @@ class Network:
 
     @cached_property
     def i_positions(self) -> DataFrame:
-        at = routes.with_centroid(attach_member_geometry(self.position_refs, self.element_geometry))
-        return self._keep("i_positions", at.drop("geom"))
+        return self._keep("i_positions", routes.route_positions(self.members))
 
     # --- display tables ------------------------------------------------------
     @cached_property

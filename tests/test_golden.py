@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from busnet.functions import geo
 from busnet.functions.hull import enclosing_circle
 from busnet.functions.tags import element_code, sort_nulls_last
-from busnet.operators import connections, documents, positions, routes, segments, stops, tiles
+from busnet.operators import documents, positions, routes, stops, tiles
 from busnet.operators.graph import connected_components
 from busnet.plans.network import Network
 from tests.small import SmallFeatures, at
