@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,25 +26,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: the cluster's checkpoint folder, else one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only local mode may make up its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif _is_local(spark):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="busnet-checkpoint-"))
-    else:
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and continue from there (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back.
+
+    Unlike a checkpoint the copy is compressed and columnar, so later reads prune and push down.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/busnet/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
