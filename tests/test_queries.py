@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from busnet.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry_point.oracle_sql()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -31,12 +32,12 @@ def _plain(df: pd.DataFrame) -> list[tuple]:
 
 
 def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(entry_point.queries())
+    assert set(ORACLES) == set(queries.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
-    found = entry_point.queries()[name](spark, SF).toPandas()
+    found = queries.queries()[name](spark, SF).toPandas()
     expected = duck.execute(ORACLES[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert _plain(found) == _plain(expected)
