@@ -15,8 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ from busnet.llm import arrow, hashing
 
 #: Pre-tokens handled together.
 _GROUP = 1 << 18
+#: Pre-tokens that a task remembers in each of two generations, and the longest of them.
+_REMEMBERED = 1 << 18
+_REMEMBERED_LENGTH = 64
 
 
 class PerfectHash:
@@ -41,22 +44,27 @@ class PerfectHash:
         bounds = np.searchsorted(of[order], np.arange(self.buckets + 1))
         sizes = np.diff(bounds)
         taken = np.zeros(self.n, bool)
-        single = []
-        for b in np.argsort(-sizes, kind="stable"):
-            if sizes[b] < 2:
-                single += [b] * int(sizes[b])
-                continue
-            members = keys[order[bounds[b] : bounds[b + 1]]]
+        # crowded buckets choose first; those of one size try the same shift together, the earlier one wins a slot
+        for size in range(int(sizes.max(initial=0)), 1, -1):
+            waiting = np.flatnonzero(sizes == size)
+            members = keys[order[bounds[waiting][:, None] + np.arange(size)]]
             d = 0
-            while True:
+            while len(waiting):
                 d += 1
-                slots = hashing.mix(members + np.uint64(d)) % np.uint64(self.n)
-                if not taken[slots].any() and len(set(slots.tolist())) == len(slots):
-                    break
-            taken[slots] = True
-            self.shift[b] = d
+                slots = (hashing.mix(members + np.uint64(d)) % np.uint64(self.n)).astype(np.int64)
+                inner = np.sort(slots, axis=1)
+                free = np.flatnonzero(~taken[slots].any(1) & (inner[:, 1:] != inner[:, :-1]).all(1))
+                wanted, first = np.unique(slots[free].ravel(), return_index=True)
+                owner = first[np.searchsorted(wanted, slots[free])] // size
+                won = free[(owner == np.arange(len(free))[:, None]).all(1)]
+                taken[slots[won]] = True
+                self.shift[waiting[won]] = d
+                left = np.ones(len(waiting), bool)
+                left[won] = False
+                waiting, members = waiting[left], members[left]
         # a bucket of one key names its slot itself
-        self.shift[np.array(single, np.int64)] = -1 - np.flatnonzero(~taken)[: len(single)]
+        single = np.flatnonzero(sizes == 1)
+        self.shift[single] = -1 - np.flatnonzero(~taken)[: len(single)]
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         d = self.shift[(keys % np.uint64(self.buckets)).astype(np.int64)]
@@ -70,33 +78,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: pairs of neighbours are joined by rank, then position."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # of the part that starts here; 0 once it is joined to the part before it
-    before = list(range(-1, n))  # start of the part before
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(start: int) -> None:
-        middle = end[start]
-        if middle < n and (rank := ranks.get(piece[start : end[middle]])) is not None:
-            heapq.heappush(heap, (rank, start, middle, end[middle]))
+def merge(piece: bytes, rank_of: Callable[[bytes], int | None]) -> list[int]:
+    """Ids of one pre-token: pairs of neighbours are joined by rank, then position.
 
-    for i in range(n - 1):
-        offer(i)
+    A heap entry holds rank and start; it is stale once the pair at that start has another rank.
+    """
+    n = len(piece)
+    end = list(range(1, n + 1))  # of the part that starts here
+    before = list(range(-1, n))  # start of the part before the one that starts here
+    pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+    pair.append(None)
+    heap = [r << 32 | i for i, r in enumerate(pair) if r is not None]
+    heapq.heapify(heap)
     while heap:
-        _, start, middle, stop = heapq.heappop(heap)
-        if end[start] != middle or end[middle] != stop:
-            continue  # one of the two has changed
-        end[start], end[middle] = stop, 0
+        entry = heapq.heappop(heap)
+        start = entry & 0xFFFFFFFF
+        if pair[start] != entry >> 32:
+            continue
+        middle = end[start]
+        stop = end[start] = end[middle]
+        pair[middle] = None
         if stop < n:
             before[stop] = start
-        offer(start)
-        if before[start] >= 0:
-            offer(before[start])
+            rank = pair[start] = rank_of(piece[start : end[stop]])
+            if rank is not None:
+                heapq.heappush(heap, rank << 32 | start)
+        else:
+            pair[start] = None
+        left = before[start]
+        if left >= 0:
+            rank = pair[left] = rank_of(piece[left:stop])
+            if rank is not None:
+                heapq.heappush(heap, rank << 32 | left)
     out, at = [], 0
     while at < n:
-        out.append(ranks[piece[at : end[at]]])
+        out.append(rank_of(piece[at : end[at]]))
         at = end[at]
     return out
 
@@ -120,13 +136,16 @@ class Codec:
         self.token_at: list[bytes] = [b""] * len(tokens)
         for slot, token in zip(self.table.slots(keys).tolist(), tokens):
             self.token_at[slot] = token
-        self.id_at = np.array([ranks[t] for t in self.token_at], np.int64)
+        self.id_at = [ranks[t] for t in self.token_at]
         by_id = sorted(tokens, key=ranks.__getitem__)
         self.length_of = np.zeros(max(ranks.values()) + 1, np.int64)
         self.start_of = np.zeros_like(self.length_of)
         ids = np.array([ranks[t] for t in by_id])
         self.length_of[ids] = [len(t) for t in by_id]
         self.start_of[ids] = np.cumsum(self.length_of[ids]) - self.length_of[ids]
+        # what the last pre-tokens came to, in two generations
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.bytes_of = np.frombuffer(b"".join(by_id), np.uint8)
 
     @staticmethod
@@ -134,29 +153,33 @@ class Codec:
         lengths = np.diff(offsets).astype(np.uint64)
         return hashing.mix(hashing.substring(hashing.prefix_sums(data), offsets[:-1], offsets[1:]) + lengths)
 
+    def resolve(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of distinct pre-tokens: those that are tokens by the perfect hash, the others merged."""
+        data, offsets = arrow.utf8(pa.array(pieces, pa.large_string()))
+        slots = self.table.slots(self._keys(data, offsets)).tolist()
+        raw, at, token_at, rank_of = data.tobytes(), offsets.tolist(), self.token_at, self.ranks.get
+        out = {}
+        for i, piece in enumerate(pieces):
+            own = raw[at[i] : at[i + 1]]
+            slot = slots[i]
+            out[piece] = (self.id_at[slot],) if token_at[slot] == own else tuple(merge(own, rank_of))
+        return out
+
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each piece)."""
-        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        distinct, which = coded.dictionary, coded.indices.to_numpy()
-        data, offsets = arrow.utf8(distinct)
-        slots = self.table.slots(self._keys(data, offsets))
-        raw = data.tobytes()
-        found: list[np.ndarray] = []
-        lengths = np.ones(len(distinct), np.int64)
-        ids = self.id_at[slots]
-        rest: list[int] = []
-        for i, (slot, a, b) in enumerate(zip(slots.tolist(), offsets.tolist(), offsets[1:].tolist())):
-            if self.token_at[slot] != raw[a:b]:
-                merged = merge(raw[a:b], self.ranks)
-                lengths[i] = len(merged)
-                rest.append(i)
-                found.append(np.array(merged, np.int64))
-        flat = np.empty(int(lengths.sum()), np.int64)
-        starts = np.cumsum(lengths) - lengths
-        flat[starts] = ids
-        for i, merged in zip(rest, found):
-            flat[starts[i] : starts[i] + len(merged)] = merged
-        return flat[_ragged(starts[which], lengths[which])], lengths[which]
+        ids = list(map(self.recent.get, pieces))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        if missing:
+            older = self.older
+            distinct = {pieces[i] for i in missing}
+            known = {p: older[p] for p in distinct if p in older}
+            known |= self.resolve(list(distinct - known.keys()))
+            for i in missing:
+                ids[i] = known[pieces[i]]
+            self.recent.update((p, v) for p, v in known.items() if len(p) <= _REMEMBERED_LENGTH)
+            if len(self.recent) > _REMEMBERED:
+                self.recent, self.older = {}, self.recent
+        return np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return self.bytes_of[_ragged(self.start_of[ids], self.length_of[ids])]
