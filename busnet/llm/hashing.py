@@ -72,11 +72,11 @@ def kgrams(data: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * back[: len(data) - k + 1])
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of all documents; a word never crosses documents."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = ~gap[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.empty(len(data), bool)

@@ -27,5 +27,107 @@ FROM documents d JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = d.doc
 """
 
 
+
+OP1 = """
+WITH v AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+s AS (
+    SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+    FROM v q JOIN v x ON q.vec_id % 20 = 0 AND q.vec_id <> x.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+# kind, pattern, group of the value, its least length
+_KINDS = [
+    ("assign", f"({_either_case('password|passwd|secret|token|api_?key')})" + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "[0-9a-f]+", 0, 32),
+    ("owned", "[A-Za-z0-9+/_=-]+", 0, 20),
+]
+
+
+def _kind_rows(no: int, kind: str, pattern: str, group: int, least: int) -> str:
+    return f"""
+    SELECT row, owner, repo, {no} AS no, '{kind}' AS kind, stop - len AS start, stop, value FROM (
+        SELECT row, owner, repo, length(m) AS len, value, sum(length(gap) + length(m)) OVER (PARTITION BY row ORDER BY i) AS stop
+        FROM (
+            SELECT row, owner, repo, unnest(range(len(ms))) AS i, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m, unnest(vs) AS value
+            FROM (SELECT row, owner, repo, regexp_extract_all(t, '{pattern}', 0) AS ms, regexp_extract_all(t, '{pattern}', {group}) AS vs,
+                         regexp_split_to_array(t, '{pattern}') AS gaps FROM d)))
+    WHERE length(value) >= {least}
+      AND (no < 3 OR regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]'))"""
+
+
+OP3 = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t
+    FROM documents),
+s AS ({" UNION ALL ".join(_kind_rows(i, *k) for i, k in enumerate(_KINDS))}),
+f AS (SELECT value, count(DISTINCT owner) AS owners FROM s GROUP BY value),
+r AS (
+    SELECT s.*, f.owners FROM s JOIN f USING (value)
+    WHERE no < 3 OR f.owners = 1 AND NOT EXISTS (
+        SELECT 1 FROM s b WHERE b.row = s.row AND b.no < 3 AND b.start < s.stop AND b.stop > s.start)),
+e AS (
+    SELECT row, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+        count(*) FILTER (no = 3) AS n_owned, count(*) FILTER (no < 3 AND owners = 1) AS n_live, count(*) FILTER (no < 3 AND owners > 1) AS n_copied,
+        string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) FILTER (no < 3) AS base,
+        string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) AS spans
+    FROM r GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_copied"))},
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN e USING (row)
+"""
+
+OP4 = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i:i + 49] AS k FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS m FROM w GROUP BY k),
+g AS (
+    SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true)::INT AS fresh
+    FROM w JOIN f USING (k) WHERE m < doc_id),
+h AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
+s AS (SELECT doc_id, span, min(i) AS a, max(i) + 49 AS z FROM h GROUP BY doc_id, span),
+p AS (
+    SELECT doc_id, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) + 1 AS x, a - 1 AS y FROM s
+    UNION ALL SELECT d.doc_id, coalesce(max(z), 0) + 1, any_value(octet_length(b)) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT doc_id, string_agg(hex(b[x:y]), '' ORDER BY x) FILTER (x <= y) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+OP7 = r"""
+WITH l AS (
+    SELECT doc_id, unnest(range(len(a))) AS pos, unnest(a) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+c AS (
+    SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n
+    FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, n, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM c),
+f AS (SELECT *, first_value(struct_pack(doc_id := doc_id, n := n)) OVER (PARTITION BY a, b ORDER BY doc_id, n) AS place FROM w WHERE b IS NOT NULL),
+r AS (
+    SELECT DISTINCT doc_id, unnest([n, n + 1]) AS n FROM f WHERE place <> struct_pack(doc_id := doc_id, n := n)),
+g AS (SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM r),
+t AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR n - before > 1) AS n_runs FROM g GROUP BY doc_id),
+k AS (
+    SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS kept
+    FROM l LEFT JOIN c USING (doc_id, pos) LEFT JOIN r ON r.doc_id = c.doc_id AND r.n = c.n WHERE r.n IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(m.n_lines, 0)::BIGINT AS n_lines, coalesce(t.n_removed, 0)::BIGINT AS n_removed,
+    coalesce(t.n_runs, 0)::BIGINT AS n_runs, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines FROM c GROUP BY doc_id) m USING (doc_id)
+LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash": OP5}
+    return {"op1_topk": OP1, "op3_secrets": OP3, "op4_suffix": OP4, "op5_minhash": OP5, "op7_lines": OP7}
