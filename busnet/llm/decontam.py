@@ -76,9 +76,9 @@ def _items(benchmark: DataFrame, rule: Settings) -> DataFrame:
 
 def _hits(docs: DataFrame, items: DataFrame, rule: Settings) -> DataFrame:
     """doc_id, places: the positions of shingles that an item has, as (item_id, n, at)."""
-    slot = F.pmod(F.explode("elements"), F.lit(rule.bitmap))
+    slots = items.select(F.explode("elements").alias("s")).select(F.pmod("s", F.lit(rule.bitmap)).alias("s"))
     marked = np.zeros(rule.bitmap, bool)
-    marked[items.select(slot.alias("s")).distinct().toArrow()["s"].to_numpy()] = True  # at most `bitmap` rows
+    marked[slots.distinct().toArrow()["s"].to_numpy()] = True  # at most `bitmap` rows
     known = docs.sparkSession.sparkContext.broadcast(np.packbits(marked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

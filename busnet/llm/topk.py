@@ -165,9 +165,9 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings = Settings()
     rows, queries = blocks(clean, row_blocks, 0), blocks(clean.filter(is_query), query_blocks, 1)
     shape = ["side", "ids", "v", "far", "floor"]
     meet = rows.select(
-        F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("long").alias("q"), *shape
+        F.col("block").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("q"), *shape
     ).unionByName(
-        queries.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).cast("long").alias("r"), F.col("block").alias("q"), *shape)
+        queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("r"), F.col("block").alias("q"), *shape)
     )
 
     def compare(group: pa.Table) -> pa.Table:

@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Tokens are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased, hashed to a fixed
-number of slots.  Log-odds between toxic and clean documents carry a Dirichlet prior in proportion to
+Tokens are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased; a token and its
+beginnings of a few letters are hashed to a fixed number of slots.  A token scores by the most specific
+of these that is known well enough, so inflected forms never seen before take after their stem.  Log-odds between toxic and clean documents carry a Dirichlet prior in proportion to
 the whole training corpus (Monroe, Colaresi and Quinn, 2008) and are pulled to zero by their
 standard error, so a word seen a few times says nothing.  Each token scores its log-odds less a
 drift; all maximal scoring segments of a document are found in one linear scan (Ruzzo and Tompa,
@@ -9,7 +10,8 @@ drift; all maximal scoring segments of a document are found in one linear scan (
 1 - exp(-K n exp(-lambda S)) (Karlin and Altschul, 1990), lambda and K from clean documents; a
 two-parameter logistic curve over minus its logarithm turns it into a score from 0 to 1.
 
-Counts, K and the curve use all labelled rows given; what tasks and driver hold is bounded by `slots`
+K and the curve come from labelled documents scored by the counts of the others, so they hold for new
+ones.  Counts, K and the curve use all labelled rows given; what tasks and driver hold is bounded by `slots`
 and `bins`.  Rows: null and empty texts have no segment and get the score of such documents.  Rows with
 a null label are not learned from; without rows of both classes every score is the share of toxic rows.
 """
@@ -28,12 +30,17 @@ from busnet.llm import arrow, hashing
 
 @dataclass(frozen=True)
 class Settings:
-    slots: int = 1 << 18
+    slots: int = 1 << 20
+    #: Code points of the beginnings, most specific first.
+    beginnings: tuple[int, ...] = (10, 8, 7, 6, 5, 4, 3)
+    #: A slot is known if its standard errors (times doubt) are below this.
+    known: float = 1.5
     #: Weight of the prior against the training tokens.
     prior: float = 0.05
     #: Standard errors by which log-odds are pulled to zero.
-    doubt: float = 2.0
-    drift: float = 0.5
+    doubt: float = 1.0
+    #: What a token costs a segment.
+    drift: float = 0.05
     bins: int = 256
 
 
@@ -44,14 +51,27 @@ for _low, _high in (("0", "9"), ("A", "Z"), ("a", "z")):
     _GAP[ord(_low) : ord(_high) + 1] = False
 
 
-def tokens(block: pa.RecordBatch, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(slot of each token, first token of each document and the end, byte starts, byte ends)."""
+def tokens(block: pa.RecordBatch, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots of each token, one row a level; first token of each document and the end; byte starts; byte ends).
+
+    The first level is the whole token, the others its beginnings (-1 where the token is no longer than that).
+    """
     data, offsets = arrow.utf8(block.column("text"))
     starts, ends = hashing.word_bounds(data, offsets, _GAP)
+    slots = np.full((1 + len(settings.beginnings), len(starts)), -1, np.int64)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), starts, ends
-    hashed = hashing.mix(hashing.substring(hashing.prefix_sums(hashing.LOWER[data]), starts, ends))
-    return (hashed % np.uint64(slots)).astype(np.int64), np.searchsorted(starts, offsets), starts, ends
+        return slots, np.zeros(len(offsets), np.int64), starts, ends
+    sums = hashing.prefix_sums(hashing.LOWER[data])
+    lead = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of code points
+    first = np.searchsorted(lead, starts)
+    size = np.uint64(settings.slots)
+    slots[0] = (hashing.mix(hashing.substring(sums, starts, ends)) % size).astype(np.int64)
+    for level, points in enumerate(settings.beginnings, 1):
+        stop = lead[np.minimum(first + points, len(lead) - 1)]
+        longer = (first + points < len(lead)) & (stop < ends)
+        part = hashing.substring(sums, starts[longer], stop[longer]) + np.uint64(points * 0x10001)
+        slots[level, longer] = (hashing.mix(part) % size).astype(np.int64)
+    return slots, np.searchsorted(starts, offsets), starts, ends
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -76,14 +96,28 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
+def _decide(slots: np.ndarray, scores: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Score of each token by its most specific known level."""
+    out = np.zeros(slots.shape[1])
+    for level in slots[::-1]:
+        decides = (level >= 0) & known[level]
+        out[decides] = scores[level[decides]]
+    return out
+
+
 @dataclass
 class Model:
     settings: Settings
     scores: np.ndarray  # of each slot, without the drift
+    known: np.ndarray  # whether the slot decides
     rate: float  # lambda
     k: float
     curve: tuple[float, float]
 
+    def weigh(self, slots: np.ndarray) -> np.ndarray:
+        """Score of each token, the drift taken off."""
+        return _decide(slots, self.scores, self.known) - self.settings.drift
+
     def evidence(self, best: float, n: int) -> float:
         """Minus the natural logarithm of the extreme-value probability, at most 600."""
         if best <= 0 or not n:
@@ -108,10 +142,11 @@ def _counts(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray, np.nda
         count = np.zeros((2, settings.slots + 1), np.int64)  # the last column counts documents
         for batch in batches:
             for block in arrow.blocks(batch):
-                slot, first, _, _ = tokens(block, settings.slots)
+                slots, first, _, _ = tokens(block, settings)
                 toxic = block.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-                side = np.repeat(toxic, np.diff(first))
-                count += np.bincount(side * (settings.slots + 1) + slot, minlength=count.size).reshape(count.shape)
+                side = np.repeat(toxic, np.diff(first)) * (settings.slots + 1)
+                where, n = np.unique((slots + side)[slots >= 0], return_counts=True)
+                count.ravel()[where] += n
                 count[:, -1] += np.bincount(toxic, minlength=2)
         where = np.flatnonzero(count.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(count[0, where]), pa.array(count[1, where])], ["slot", "clean", "toxic"])
@@ -123,15 +158,18 @@ def _counts(labelled: DataFrame, settings: Settings) -> tuple[np.ndarray, np.nda
     return count[:, :-1], count[:, -1]
 
 
-def log_odds(count: np.ndarray, settings: Settings) -> np.ndarray:
-    total = count.sum()
+def log_odds(count: np.ndarray, totals: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of slots with these counts (clean and toxic row), pulled to zero, and whether they are known well enough.
+
+    totals: tokens of the clean and the toxic documents.
+    """
     prior = settings.prior * (count.sum(0) + 0.01)
-    rest = prior.sum()
-    side = [np.log((c + prior) / (c.sum() + rest - c - prior)) for c in count]
+    weight = settings.prior * (totals.sum() + 0.01 * settings.slots)
+    side = [np.log((c + prior) / (t + weight - c - prior)) for c, t in zip(count, totals)]
     odds = side[1] - side[0]
-    error = np.sqrt(1 / (count[0] + prior) + 1 / (count[1] + prior))
-    out = np.sign(odds) * np.maximum(0, np.abs(odds) - settings.doubt * error)
-    return out if total else np.zeros_like(out)
+    error = settings.doubt * np.sqrt(1 / (count[0] + prior) + 1 / (count[1] + prior))
+    out = np.sign(odds) * np.maximum(0, np.abs(odds) - error)
+    return out, (out != 0) | (error < settings.known)
 
 
 def _decay(scores: np.ndarray, share: np.ndarray) -> float:
@@ -148,12 +186,32 @@ def _decay(scores: np.ndarray, share: np.ndarray) -> float:
     return high
 
 
+def _heaviest(scores: np.ndarray) -> float:
+    return max((w for _, _, w in segments(scores)), default=0.0) if (scores > 0).any() else 0.0
+
+
 def _best(block: pa.RecordBatch, model: Model) -> Iterator[tuple[float, int]]:
-    slot, first, _, _ = tokens(block, model.settings.slots)
-    scores = model.scores[slot] - model.settings.drift
-    for i in range(block.num_rows):
-        own = scores[first[i] : first[i + 1]]
-        yield (max((s for _, _, s in segments(own)), default=0.0) if (own > 0).any() else 0.0), len(own)
+    """(weight of the best segment, tokens) of each document."""
+    slots, first, _, _ = tokens(block, model.settings)
+    scores = model.weigh(slots)
+    for a, b in zip(first, first[1:]):
+        yield _heaviest(scores[a:b]), int(b - a)
+
+
+def _best_without_own(block: pa.RecordBatch, count: np.ndarray, settings: Settings) -> Iterator[tuple[float, int]]:
+    """As `_best` for the labelled documents themselves, each by the counts of all the others."""
+    slots, first, _, _ = tokens(block, settings)
+    totals = count.sum(1)
+    for toxic, a, b in zip(block.column("toxic").to_pylist(), first, first[1:]):
+        own = slots[:, a:b]
+        distinct, where, n = np.unique(own, return_inverse=True, return_counts=True)
+        others = count[:, distinct].astype(np.float64)
+        others[toxic] -= n * (distinct >= 0)
+        left = totals.astype(np.float64)
+        left[toxic] -= (own >= 0).sum()
+        scores, known = log_odds(np.maximum(others, 0), left, settings)
+        local = np.where(own >= 0, where.reshape(own.shape), -1)
+        yield _heaviest(_decide(local, scores, known) - settings.drift), int(b - a)
 
 
 def _logistic(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> tuple[float, float]:
@@ -172,22 +230,23 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from (text, toxic 0 or 1); read twice, so give a stored table."""
     labelled = labelled.filter("toxic IN (0, 1)").select("text", "toxic")
     count, documents = _counts(labelled, settings)
-    scores = log_odds(count, settings)
+    scores, known = log_odds(count, count.sum(1), settings)
     share = (count[0] + 1e-3) / (count[0].sum() + 1e-3 * settings.slots)
-    model = Model(settings, scores, _decay(scores - settings.drift, share), 0.1, (0.0, 0.0))
+    rate = _decay(scores - settings.drift, share) if count.any() else 1.0
+    model = Model(settings, scores.astype(np.float32), known, rate, 0.1, (0.0, 0.0))
     if not documents.all():
         level = documents[1] / max(1, documents.sum())
         level = min(max(level, 1e-6), 1 - 1e-6)
         model.curve = (float(np.log(level / (1 - level))), 0.0)
         return model
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = labelled.sparkSession.sparkContext.broadcast(count.astype(np.int32) if count.max() < 2**31 else count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Histogram over (score in half steps, logarithm of the tokens, class)."""
         seen: dict[tuple[int, int, int], int] = {}
         for batch in batches:
             for block in arrow.blocks(batch):
-                for (best, n), toxic in zip(_best(block, sent.value), block.column("toxic").to_pylist()):
+                for (best, n), toxic in zip(_best_without_own(block, sent.value, settings), block.column("toxic").to_pylist()):
                     key = (min(int(best * 2), settings.bins - 1), int(np.log2(n + 1) * 2), toxic)
                     seen[key] = seen.get(key, 0) + 1
         rows = [(*k, v) for k, v in sorted(seen.items())]
@@ -200,7 +259,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     best, size = best / 2 + 0.25 * (best > 0), 2 ** (size / 2)
     # K: clean documents whose best segment passes a level, per token, at that level
     clean = toxic == 0
-    level = 2 * settings.drift
+    level = 1.0
     above = n[clean & (best > level)].sum()
     model.k = float((above + 0.5) / ((n * size)[clean].sum() + 1) * np.exp(model.rate * level))
     evidence = np.array([model.evidence(b, s) for b, s in zip(best, size)])
@@ -232,8 +291,8 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in arrow.blocks(batch):
-                slot, first, starts, ends = tokens(block, sent.value.settings.slots)
-                scores = sent.value.scores[slot] - sent.value.settings.drift
+                slots, first, starts, ends = tokens(block, sent.value.settings)
+                scores = sent.value.weigh(slots)
                 _, offsets = arrow.utf8(block.column("text"))
                 rows = []
                 for i, doc in enumerate(block.column("doc_id").to_pylist()):
