@@ -36,10 +36,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 13
+    bits: int = 12
     longest: int = 4
     #: Labelled rows of a language that are learned from at most.
-    sample: int = 600
+    sample: int = 400
     cost: float = 4.0
     epochs: int = 12
     #: Code points of a text looked at together.
@@ -190,14 +190,14 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model | None:
                 ) if v is not None
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].tobytes() for r in rows], pa.binary())], ["lang", "x"]
+                [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1].astype(np.float16).tobytes() for r in rows], pa.binary())], ["lang", "x"]
             )
 
     rows = chosen.mapInArrow(run, "lang string, x binary").toArrow()
     if not rows.num_rows:
         return None
     order = np.argsort([a + str(b) for a, b in zip(rows["lang"].to_pylist(), rows["x"].to_pylist())], kind="stable")
-    x = np.array([np.frombuffer(v, np.float32) for v in rows["x"].to_pylist()])[order]
+    x = np.array([np.frombuffer(v, np.float16) for v in rows["x"].to_pylist()], np.float32)[order]
     return Model(x, np.array(rows["lang"].to_pylist())[order], settings)
 
 
