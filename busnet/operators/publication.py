@@ -28,8 +28,12 @@ def write_id_lists(stops: DataFrame, routes: DataFrame, path: str) -> None:
     id_lists(stops, routes).write.mode("overwrite").partitionBy("kind").text(path)
 
 
-def write_documents(docs: DataFrame, keys: list[str], path: str, parts: int) -> None:
+_PER_FOLDER = 20_000
+
+
+def write_documents(docs: DataFrame, keys: list[str], path: str, parts: int | None) -> None:
     """One JSON document per row, spread over `part` folders by a hash of the key."""
+    parts = parts or -(-docs.count() // _PER_FOLDER) or 1
     part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
     docs.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").option(
         "ignoreNullFields", "false"

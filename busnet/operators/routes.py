@@ -11,9 +11,9 @@ from busnet.functions.tags import NODE, WAY
 MIN_SPACING = 10  # metres; closer stops count as one
 ROUTE_COLUMNS = ["osm_id", "ref", "name", "network", "operator", "origin", "destination", "colour"]
 
-# A route is cut into blocks of 2^18 member indexes.  The index is a 32-bit int, so a block holds
-# at most 262,144 members and a route at most 8,192 blocks: no group grows with the data.
-_BLOCK_BITS = 18
+# A route is cut into blocks of 2^12 member indexes, so a block holds at most 4,096 members, however
+# long the route is.
+_BLOCK_BITS = 12
 
 
 def is_stop_role(role: Column) -> Column:
@@ -70,10 +70,12 @@ def with_centroid(df: DataFrame, centroid: Column | None = None) -> DataFrame:
 
 
 def _spacing_blocks(members: DataFrame, block_bits: int) -> DataFrame:
-    """(rel_osm_id, block, stops): stop-role members in order, each with the metres from the one before."""
-    stops = with_centroid(
-        members.filter(is_stop_role(F.col("member_role")) & F.col("geom").isNotNull())
-    )
+    """(rel_osm_id, block, stops): stop-role members in order, each with the metres from the one before.
+
+    A member without geometry (a relation, or not in the extract) keeps its place: its own distance
+    and that of the next stop are NULL.
+    """
+    stops = with_centroid(members.filter(is_stop_role(F.col("member_role"))))
     blocks = (
         stops.withColumn("block", F.shiftright("member_index", block_bits))
         .groupBy("rel_osm_id", "block")

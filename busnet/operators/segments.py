@@ -23,8 +23,12 @@ _SET = ["set_a", "set_b"]
 
 
 def _fingerprint(names: list[str], *parts: Column) -> list[Column]:
-    """Two independent 64-bit hashes, used together as one 128-bit identity."""
-    return [F.xxhash64(*parts, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    """Two 64-bit hashes, used together as one 128-bit identity.
+
+    The salt comes first: each part is hashed with the state of those before it, so a salt at the
+    end would make both hashes functions of one 64-bit state.
+    """
+    return [F.xxhash64(F.lit(i), *parts).alias(n) for i, n in enumerate(names)]
 
 
 def way_routes(routes: DataFrame, member_refs: DataFrame, element_geometry: DataFrame) -> DataFrame:
@@ -69,8 +73,8 @@ def route_sets(used: DataFrame) -> DataFrame:
         F.count("*").cast("int").alias("number_of_routes"),
         F.min(rel).alias("first_rel"),
         F.max(rel).alias("last_rel"),
-        F.bit_xor(F.xxhash64(rel, F.lit(0))).alias("xa"),
-        F.bit_xor(F.xxhash64(rel, F.lit(1))).alias("xb"),
+        F.bit_xor(F.xxhash64(F.lit(0), rel)).alias("xa"),
+        F.bit_xor(F.xxhash64(F.lit(1), rel)).alias("xb"),
     )
     parts = [F.col(c) for c in ("xa", "xb", "number_of_routes", "first_rel", "last_rel")]
     return folded.select(*_SHAPE, *_fingerprint(_SET, *parts), "max_diameter", "number_of_routes")
@@ -135,7 +139,7 @@ def segments_merged(sets: DataFrame, shapes: DataFrame) -> DataFrame:
     edges only, the one place where they must sit together (they are one value of the result).
     """
     sets = cut_lineage(sets)
-    edge_id = F.xxhash64("set_a", "set_b", "a", "b")
+    edge_id = F.struct(*_fingerprint(["p", "q"], *(F.col(c) for c in (*_SET, "a", "b"))))
     edges = cut_lineage(_edges(sets, shapes).withColumn("eid", edge_id))
     at_vertex = (
         edges.select(*_SET, "eid", F.explode(F.array("a", "b")).alias("v"))
@@ -187,5 +191,5 @@ def segments_of_routes(merged: DataFrame, routes_of_set: DataFrame) -> DataFrame
 
 
 def segments_by_route(pairs: DataFrame) -> DataFrame:
-    """d_routes_ways_ids (a relation has at most 32,000 members, so the list is bounded)."""
+    """d_routes_ways_ids: the list is the value of the result; `segments_of_routes` is its row form."""
     return pairs.groupBy("rel_osm_id").agg(F.sort_array(F.collect_list("id")).alias("ways_ids"))

@@ -365,13 +365,18 @@ def stop_clusters(members: DataFrame) -> DataFrame:
     )
 
 
-def stop_statistics(positions: DataFrame, routes: DataFrame) -> DataFrame:
-    """Per stop: largest diameter and spacing, number of visits, distinct (ref, colour) pairs."""
+def stop_statistics(positions: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """Per stop: largest diameter and spacing, number of visits, distinct (ref, colour) pairs.
+
+    Positions that are no stops (a stop_position node, for example) are left out first.
+    """
+    known_stops = stops.select(F.col("osm_type").alias("member_type"), F.col("osm_id").alias("member_osm_id"))
     known = routes.select(
         F.col("osm_id").alias("rel_osm_id"), "ref", "colour", "diameter", "avg_distance"
     )
     return (
         positions.select("rel_osm_id", "member_type", "member_osm_id")
+        .join(known_stops, ["member_type", "member_osm_id"], "left_semi")
         .join(known, "rel_osm_id")
         .groupBy(F.col("member_type").alias("osm_type"), F.col("member_osm_id").alias("osm_id"))
         .agg(

@@ -122,7 +122,8 @@ def assign_tiles(
     )
 
     def span(lo: str, hi: str, axis: str) -> str:
-        start = f"CAST(greatest(0, first_{axis}, floor(({lo}) / tile_size)) AS INT)"
+        # the far border of the map belongs to the last tile
+        start = f"CAST(greatest(0, first_{axis}, least(n_tiles - 1, floor(({lo}) / tile_size))) AS INT)"
         stop = f"CAST(least(n_tiles - 1, last_{axis}, floor(({hi}) / tile_size)) AS INT)"
         return f"explode(IF({start} <= {stop}, sequence({start}, {stop}), CAST(array() AS ARRAY<INT>))) AS {axis}_tile"
 

@@ -151,7 +151,7 @@ class Network:
 
     @cached_property
     def stop_statistics(self) -> DataFrame:
-        return self._keep("t_stop_statistics", stops.stop_statistics(self.position_refs, self.i_routes))
+        return self._keep("t_stop_statistics", stops.stop_statistics(self.position_refs, self.i_routes, self.i_stops))
 
     @cached_property
     def stops_enriched(self) -> DataFrame:

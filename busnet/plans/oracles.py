@@ -131,7 +131,7 @@ VIEWS: dict[str, str] = {
         {_andoyer('lon', 'lat', 'plon', 'plat')} AS distance
       FROM (SELECT m.rel_osm_id, m.member_index, e.lon, e.lat,
           lag(e.lon,1,e.lon) OVER w AS plon, lag(e.lat,1,e.lat) OVER w AS plat
-        FROM mem m JOIN elem e ON e.t=m.member_type AND e.id=m.member_osm_id
+        FROM mem m LEFT JOIN elem e ON e.t=m.member_type AND e.id=m.member_osm_id
         WHERE m.member_role LIKE '%stop%'
         WINDOW w AS (PARTITION BY m.rel_osm_id ORDER BY m.member_index)) t""",
     "kept": "SELECT rel_osm_id, distance, lon, lat FROM spc WHERE distance > 10",
@@ -167,7 +167,8 @@ VIEWS: dict[str, str] = {
     "stat": """SELECT t.*, pairs.routes_ref_colour FROM (
         SELECT p.member_type AS osm_type, p.member_osm_id AS osm_id, max(r.diameter) AS max_diameter,
           max(r.avg_distance) AS max_avg_distance, CAST(count(*) AS INT) AS number_of_routes
-        FROM posn p JOIN iroute r ON r.osm_id=p.rel_osm_id GROUP BY p.member_type, p.member_osm_id) t
+        FROM posn p JOIN iroute r ON r.osm_id=p.rel_osm_id
+        SEMI JOIN stop s ON s.osm_type=p.member_type AND s.osm_id=p.member_osm_id GROUP BY p.member_type, p.member_osm_id) t
       JOIN pairs USING (osm_type, osm_id)""",
     "dstop": """SELECT s.*, max_diameter, max_avg_distance, number_of_routes, routes_ref_colour
       FROM stop s LEFT JOIN stat USING (osm_type, osm_id)""",
@@ -253,7 +254,7 @@ VIEWS: dict[str, str] = {
       FROM wseg s JOIN vtx o ON o.way_id=s.way_id AND o.pos=0""",
     "rcen": """SELECT way_id, any_value(ox)+sum((ax+bx)*(ax*by_-bx*ay))/(3*sum(ax*by_-bx*ay)) AS x,
         any_value(oy)+sum((ay+by_)*(ax*by_-bx*ay))/(3*sum(ax*by_-bx*ay)) AS y FROM ring
-      WHERE way_id>=2000000 AND way_id<3000000 GROUP BY way_id""",
+      WHERE way_id>=2000000000000000 AND way_id<3000000000000000 GROUP BY way_id""",
     "dstation": f"""SELECT s.osm_type, s.osm_id, s.name, s.geom_type='ST_Polygon' AS has_polygon,
         coalesce(c.x, {_mx('s.lon')}) AS x, coalesce(c.y, {_my('s.lat')}) AS y
       FROM station s LEFT JOIN rcen c ON c.way_id=s.way_id""",

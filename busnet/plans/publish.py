@@ -101,9 +101,12 @@ def published_network(store: Store) -> Network:
 
 
 def export_static(
-    store: Store, path: str, parts: int = 64, zooms=None, extent: tiles.Extent = tiles.WORLD
+    store: Store, path: str, parts: int | None = None, zooms=None, extent: tiles.Extent = tiles.WORLD
 ) -> None:
-    """Id lists, all documents and all tiles of the published version, as files."""
+    """Id lists, all documents and all tiles of the published version, as files.
+
+    Documents are spread over `parts` folders; by default one for each 20,000 of them.
+    """
     net = published_network(store)
     publication.write_id_lists(net.i_stops, net.d_routes, f"{path}/ids")
     publication.write_documents(net.route_documents, ["osm_id"], f"{path}/routes", parts)

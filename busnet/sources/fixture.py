@@ -31,17 +31,30 @@ def _geom(lon_e7: str, lat_e7: str) -> str:
     )
 
 
+# Each kind of way has an id range of its own that no key of the tables can leave.
+_STREET, _RING, _PRIVATE = 10**15, 2 * 10**15, 3 * 10**15
+
+
 def _scatter(key: str) -> tuple[str, str]:
     """Pseudo-random spot (lon, lat in 1e-7 degrees) in a small town."""
     return f"20000000 + ({key} * 104729) % 997 * 500", f"450000000 + ({key} * 7919) % 1000 * 400"
 
 
+def _town(key: str) -> tuple[str, str]:
+    """Offset (lon, lat) of the town of 1,000 keys on a grid of 300 by 30 towns, used again beyond that."""
+    return f"{key} DIV 30000 % 300 * 5000000", f"{key} DIV 1000 % 30 * 1000000"
+
+
 def _chain(ways: DataFrame, first_id: int, lat_e7: int) -> DataFrame:
-    """Street w joins vertices 2w, 2w+1, 2w+2 of one snake-shaped chain."""
+    """Street w joins vertices 2w, 2w+1, 2w+2 of one snake-shaped chain of 40-vertex columns.
+
+    100,000 columns make a band from west to east; the next band lies north of it, 300 in all.
+    """
+    column = "(2 * w + pos) DIV 40"
     return ways.selectExpr("w", "explode(array(0, 1, 2)) AS pos").selectExpr(
         f"w + {first_id} AS way_id", "pos",
-        "20000000 + (2 * w + pos) DIV 40 * 12000 AS lon_e7",
-        f"{lat_e7} + 10000 * IF((2 * w + pos) DIV 40 % 2 = 0, "
+        f"20000000 + {column} % 100000 * 12000 AS lon_e7",
+        f"{lat_e7} + {column} DIV 100000 % 300 * 1000000 + 10000 * IF({column} % 2 = 0, "
         "(2 * w + pos) % 40, 39 - (2 * w + pos) % 40) AS lat_e7",
     )
 
@@ -61,7 +74,7 @@ class FixtureFeatures:
 
     @cached_property
     def nodes_bus_stop(self) -> DataFrame:
-        lon, lat = _scatter("p_partkey")
+        lon, lat = (f"{spot} + {town}" for spot, town in zip(_scatter("p_partkey"), _town("p_partkey")))
         return self._table("part").selectExpr(
             "p_partkey + 1 AS id", "p_partkey AS osm_id",
             "CASE WHEN p_size % 17 = 0 THEN NULL WHEN p_size % 10 = 0 THEN '' ELSE p_name END AS name",
@@ -69,7 +82,7 @@ class FixtureFeatures:
             "p_size % 5 = 0 AS has_tactile_paving", "p_size % 7 = 0 AS has_departures_board",
             "p_size % 4 = 0 AS is_wheelchair_ok", "p_brand AS local_ref",
             "'bus_stop' AS highway", "'platform' AS public_transport",
-            _geom(lon, f"{lat} + p_partkey DIV 1000 * 1000000"),
+            _geom(lon, lat),
         )
 
     @cached_property
@@ -86,15 +99,15 @@ class FixtureFeatures:
 
     @cached_property
     def nodes_bus_station(self) -> DataFrame:
-        return self._table("customer").filter("c_custkey % 20 = 10").selectExpr(
+        return self._table("customer").filter("c_custkey % 2 = 1").selectExpr(
             "c_custkey + 1 AS id", "c_custkey AS osm_id", "c_name AS name", "'ST_Point' AS geom_type",
             _geom(*_scatter("c_custkey")),
         )
 
     @cached_property
     def ways_bus_station(self) -> DataFrame:
-        rings = self._table("customer").filter("c_custkey % 20 = 0").selectExpr(
-            "c_custkey", "c_name", "2000000 + c_custkey AS way_id", "c_custkey % 100 = 20 AS multi"
+        rings = self._table("customer").filter("c_custkey % 2 = 0").selectExpr(
+            "c_custkey", "c_name", f"{_RING} + c_custkey AS way_id", "c_custkey % 10 = 4 AS multi"
         )
         return rings.join(self._lines, "way_id").selectExpr(
             "c_custkey + 1 AS id", "IF(multi, -way_id, way_id) AS osm_id", "c_name AS name",
@@ -123,15 +136,17 @@ class FixtureFeatures:
         steps = rows.selectExpr("*", "explode(IF(l_returnflag = 'R', array(0, 1), array(0))) AS j")
         return steps.selectExpr(
             "-(l_orderkey + 1) AS rel_osm_id",
-            "CASE WHEN l_returnflag = 'R' AND l_orderkey % 40 = 0 THEN 3000000 + 2 * (l_orderkey DIV 40) + j "
-            "WHEN l_returnflag = 'R' THEN 1000000 + 2 * l_suppkey + j "
+            f"CASE WHEN l_returnflag = 'R' AND l_orderkey % 40 = 0 THEN {_PRIVATE} + 2 * (l_orderkey DIV 40) + j "
+            f"WHEN l_returnflag = 'R' THEN {_STREET} + 2 * l_suppkey + j "
             "WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN l_suppkey ELSE l_partkey END AS member_osm_id",
             "CAST(rn * 10 + j AS INT) AS member_index",
             "CASE WHEN l_returnflag = 'R' THEN '' "
             "WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'stop' "
             "WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'stop_entry_only' "
             "ELSE 'platform' END AS member_role",
-            "IF(l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'O'), 1, 0) AS member_type",
+            # a few stops are relations, which have no geometry
+            "CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'O') THEN 1 "
+            "WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_partkey % 50 = 7 THEN 2 ELSE 0 END AS member_type",
         )
 
     @cached_property
@@ -142,20 +157,20 @@ class FixtureFeatures:
             "s_suppkey AS way_id", "pos", f"{lon} + 100 AS lon_e7", f"{lat} + 100 + 900 * pos AS lat_e7"
         )
         lon, lat = _scatter("c_custkey")
-        rings = customer.filter("c_custkey % 20 = 0").selectExpr(
+        rings = customer.filter("c_custkey % 2 = 0").selectExpr(
             "c_custkey", "explode(array(0, 1, 2, 3, 4)) AS pos"
         ).selectExpr(
-            "2000000 + c_custkey AS way_id", "pos", f"{lon} + IF(pos IN (1, 2), 4000, 0) AS lon_e7",
+            f"{_RING} + c_custkey AS way_id", "pos", f"{lon} + IF(pos IN (1, 2), 4000, 0) AS lon_e7",
             f"{lat} + IF(pos IN (2, 3), 3000, 0) AS lat_e7",
         )
         streets = _chain(
-            supplier.selectExpr("explode(array(2 * s_suppkey, 2 * s_suppkey + 1)) AS w"), 1000000, 450000000
+            supplier.selectExpr("explode(array(2 * s_suppkey, 2 * s_suppkey + 1)) AS w"), _STREET, 450000000
         )
         private = _chain(
             orders.filter("o_orderkey % 40 = 0").selectExpr(
                 "explode(array(2 * (o_orderkey DIV 40), 2 * (o_orderkey DIV 40) + 1)) AS w"
             ),
-            3000000, 450450000,
+            _PRIVATE, 450450000,
         )
         vertices = streets.unionByName(private).unionByName(stops).unionByName(rings)
         return vertices.selectExpr(

@@ -45,4 +45,4 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry_point.entry(spark).count() == 4032
+    assert entry_point.entry(spark).count() == 4009
