@@ -63,13 +63,10 @@ def substring(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return (sums[ends] - sums[starts]) * back[starts]
 
 
-def kgrams(data: np.ndarray, k: int) -> np.ndarray:
-    """Mixed hash of the k bytes at each position that has as many after it."""
-    if len(data) < k:
-        return np.zeros(0, np.uint64)
-    sums = prefix_sums(data)
+def kgrams(sums: np.ndarray, k: int) -> np.ndarray:
+    """Mixed hash of the k bytes at each position that has as many after it, from the prefix sums."""
     _, back = _tables(len(sums))
-    return mix((sums[k:] - sums[:-k]) * back[: len(data) - k + 1])
+    return mix((sums[k:] - sums[:-k]) * back[: len(sums) - k])
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:

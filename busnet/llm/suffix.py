@@ -2,11 +2,12 @@
 
 Every window of `length` bytes belongs to the smallest hash among its k-byte strings; neighbouring windows
 with one such anchor form a segment.  Equal windows have equal anchors, so an anchor that only one
-document holds has no shared window, and the segments of one anchor meet in one shard.  Per
-shard, segments with equal bytes are one (their smallest doc_id stands for them); what still differs is
-put into one text whose suffix array, by induced sorting, brings equal windows together: a run of
-suffixes with permuted common prefixes of at least `length`.  The smallest doc_id of the run
-decides for each window.  Hashes only choose what is compared; equality is decided on bytes.
+document holds has no shared window, and the segments of one anchor meet in one shard.  Equal segments
+(by anchor and a hash of their bytes, 128 bits together) are one; their smallest doc_id stands for
+them, and an anchor with a single segment is settled by it.  The segments of any other anchor are put
+into a text whose suffix array, by induced sorting, brings equal windows together: a run of suffixes
+with permuted common prefixes of at least `length`.  The smallest doc_id of the run decides for each
+window.
 
 Documents are handled in batches of about `batch` bytes (a longer document is a batch).  A batch
 speaks once for an anchor and once for a segment, however many of its documents hold it, so a passage in
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from busnet.llm import arrow, hashing, induced
@@ -34,8 +36,12 @@ _LAST = 2**63 - 1
 class Settings:
     length: int = 50
     #: Bytes of an anchor.
-    anchor: int = 24
+    anchor: int = 20
     batch: int = 8 << 20
+    #: Shards for each batch.
+    shards: int = 2
+    #: Bytes of segments sorted together; one anchor's segments always are.
+    text: int = 1 << 19
     #: Windows of a segment at most; longer ones (texts that repeat themselves) are cut.
     most: int = 512
 
@@ -55,8 +61,8 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, number of windows, anchor) of the segments of all documents."""
+def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.ndarray, ...]:
+    """(document, start, number of windows, anchor, hash of the bytes) of the segments of all documents."""
     found = []
     last, size = len(offsets) - 1, arrow.BLOCK
     at = 0
@@ -66,7 +72,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.
         base = offsets[at]
         own, bounds = data[base : offsets[end]], offsets[at : end + 1] - base
         if len(own) >= rule.length:
-            anchor = _smallest(hashing.kgrams(own, rule.anchor), rule.length - rule.anchor + 1)
+            sums = hashing.prefix_sums(own)
+            anchor = _smallest(hashing.kgrams(sums, rule.anchor), rule.length - rule.anchor + 1)
             n = len(anchor)
             cut = np.ones(n, bool)
             cut[1:] = anchor[1:] != anchor[:-1]
@@ -83,11 +90,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.
             inner = _ragged(np.zeros(len(pieces), np.int64), pieces) * rule.most
             starts, doc = np.repeat(starts, pieces) + inner, np.repeat(doc, pieces)
             windows = np.minimum(np.repeat(windows, pieces) - inner, rule.most)
-            found.append((doc + at, starts + base, windows, anchor[starts]))
+            content = hashing.substring(sums, starts, starts + windows + rule.length - 1)
+            found.append((doc + at, starts + base, windows, anchor[starts], hashing.mix(content + windows.astype(np.uint64))))
         at = end
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -97,37 +105,47 @@ class Batch:
     def __init__(self, table: pa.Table, rule: Settings, anchors: np.ndarray | None = None):
         self.rule = rule
         self.data, self.offsets = arrow.utf8(table["text"])
-        ids = table["doc_id"]
-        self.ids = ids.combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False)
-        self.doc, self.start, self.windows, self.anchor = segments(self.data, self.offsets, rule)
+        self.ids = table["doc_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False)
+        found = segments(self.data, self.offsets, rule)
         if anchors is not None:
-            mine = np.isin(self.anchor, anchors)
-            self.doc, self.start, self.windows, self.anchor = (c[mine] for c in (self.doc, self.start, self.windows, self.anchor))
+            mine = np.isin(found[3], anchors)
+            found = tuple(c[mine] for c in found)
+        self.doc, self.start, self.windows, self.anchor, self.content = found
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors and whether two documents of the batch hold it."""
         order = np.argsort(self.anchor, kind="stable")
         anchor, ids = self.anchor[order], self.ids[self.doc[order]]
-        first = np.flatnonzero(np.diff(anchor, prepend=~anchor[:1]) != 0) if len(anchor) else np.zeros(0, np.int64)
+        first = _heads(anchor)
         if not len(first):
             return anchor, np.zeros(0, bool)
         return anchor[first], np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
 
-    def distinct(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes, anchor, smallest doc_id) of the distinct segments by anchor and bytes, and each segment's number."""
-        raw = self.data.tobytes()
-        length = self.windows + self.rule.length - 1
-        content = [raw[a : a + n] for a, n in zip(self.start.tolist(), length.tolist())]
-        order = sorted(range(len(content)), key=lambda i: (self.anchor[i], content[i]))
-        number = np.zeros(len(content), np.int64)
-        kept: list[int] = []
-        for i in order:
-            if not kept or content[i] != content[kept[-1]] or self.anchor[i] != self.anchor[kept[-1]]:
-                kept.append(i)
-            number[i] = len(kept) - 1
-        least = np.full(len(kept), _LAST)
-        np.minimum.at(least, number, self.ids[self.doc])
-        return [content[i] for i in kept], self.anchor[kept], least, number
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """One segment of each kind, by anchor and hash of the bytes, and the number of each segment's kind."""
+        order = np.lexsort((self.content, self.anchor))
+        first = _heads(self.anchor[order], self.content[order])
+        number = np.zeros(len(order), np.int64)
+        number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        return order[first], number
+
+    def least(self, number: np.ndarray, kinds: int) -> np.ndarray:
+        """Smallest doc_id of each kind."""
+        out = np.full(kinds, _LAST)
+        np.minimum.at(out, number, self.ids[self.doc])
+        return out
+
+    def bytes_of(self, some: np.ndarray) -> list[bytes]:
+        return [self.data[a : a + n].tobytes() for a, n in zip(self.start[some].tolist(), (self.windows[some] + self.rule.length - 1).tolist())]
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def first_holders(content: list[bytes], holder: np.ndarray, rule: Settings) -> list[np.ndarray]:
@@ -167,109 +185,176 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64) if a.dtype == np.uint64 else a
 
 
-def _unsigned(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+def _flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """All entries of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(values)))
+
+
+def _lengths(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+_OPEN = -(2**63)  # stands for a doc_id that is still to be decided
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_VERDICT = "batch long, bucket long, sorted boolean, anchors array<long>, counts array<long>, windows array<long>, firsts array<long>"
+
+
+def _empty(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    return pa.table({n: pa.array([], kinds[k]) for n, k in (f.split(" ") for f in schema.split(", "))})
 
 
 def without_repeats(docs: DataFrame, rule: Settings = Settings()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; one row per input row."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, -(-total // rule.batch))
+    buckets = batches * rule.shards
     texts = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch"))
     by_batch = texts.groupBy("batch")
 
-    def speak(table: pa.Table) -> pa.Table:
-        anchor, several = Batch(table, rule).anchors()
-        rows = [(b, _signed(anchor[s]), several[s]) for b, s in _by_bucket(anchor, batches)]
+    def rows(batch: pa.Table, anchor: np.ndarray, **lists: list | np.ndarray) -> pa.Table:
+        """A row for each bucket with its part of the lists, which follow the sorted anchors."""
+        parts = _by_bucket(anchor, buckets)
+        kinds = {"several": pa.bool_(), "content": pa.binary()}
         return pa.table({
-            "bucket": pa.array([r[0] for r in rows], pa.int64()), "batch": pa.array([table["batch"][0].as_py()] * len(rows), pa.int64()),
-            "anchors": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "several": pa.array([r[2] for r in rows], pa.list_(pa.bool_())),
+            "bucket": pa.array([b for b, _ in parts], pa.int64()), "batch": pa.array(batch["batch"].to_pylist()[:1] * len(parts), pa.int64()),
+            **{
+                n: pa.array([v[s] if isinstance(v, list) else _signed(v[s]) for _, s in parts], pa.list_(kinds.get(n, pa.int64())))
+                for n, v in {"anchors": anchor, **lists}.items()
+            },
         })
 
+    # 1. anchors that two documents hold
+    def speak(table: pa.Table) -> pa.Table:
+        anchor, several = Batch(table, rule).anchors()
+        return rows(table, anchor, several=several)
+
     spoken = by_batch.applyInArrow(speak, "bucket long, batch long, anchors array<long>, several array<boolean>")
 
     def agree(table: pa.Table) -> pa.Table:
-        """Anchors that two documents hold, for each batch that has them."""
-        lists = table["anchors"].combine_chunks()
-        anchor, several = lists.flatten().to_numpy(), table["several"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        anchor, several, lengths = _flat(table["anchors"]), _flat(table["several"]), _lengths(table["anchors"])
         order = np.argsort(anchor, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(anchor[order]) != 0]))
+        first = _heads(anchor[order])
+        if not len(first):
+            return _empty("batch long, anchors array<long>")
         count = np.diff(np.append(first, len(order)))
-        shared = np.repeat((count > 1) | np.logical_or.reduceat(several[order], first), count)
         mine = np.zeros(len(anchor), bool)
-        mine[order] = shared
-        anchor, row = anchor[mine], row[mine]
-        cuts = np.searchsorted(row, np.arange(len(lists) + 1))
-        return pa.table({"batch": table["batch"], "anchors": pa.array([anchor[a:b] for a, b in zip(cuts, cuts[1:])], pa.list_(pa.int64()))})
+        mine[order] = np.repeat((count > 1) | np.logical_or.reduceat(several[order], first), count)
+        kept = np.bincount(np.repeat(np.arange(len(lengths)), lengths), mine, len(lengths)).astype(np.int64)
+        return pa.table({"batch": table["batch"], "anchors": _lists(anchor[mine], kept)})
 
     shared = spoken.groupBy("bucket").applyInArrow(agree, "batch long, anchors array<long>")
 
-    def send(table: pa.Table, anchors: pa.Table) -> pa.Table:
-        rows = []
-        if table.num_rows and anchors.num_rows:
-            content, anchor, least, _ = Batch(table, rule, _unsigned(anchors["anchors"].combine_chunks().flatten())).distinct()
-            rows = [(b, content[s], _signed(anchor[s]), least[s]) for b, s in _by_bucket(anchor, batches)]
+    # 2. the segments of these, by hash; an anchor with one kind of segment is settled
+    def tell(table: pa.Table, anchors: pa.Table) -> pa.Table:
+        if not (table.num_rows and anchors.num_rows):
+            return _empty("bucket long, batch long, anchors array<long>, hashes array<long>, least array<long>")
+        batch = Batch(table, rule, _flat(anchors["anchors"]).view(np.uint64))
+        some, number = batch.distinct()
+        return rows(table, batch.anchor[some], hashes=batch.content[some], least=batch.least(number, len(some)))
+
+    told = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(
+        tell, "bucket long, batch long, anchors array<long>, hashes array<long>, least array<long>"
+    )
+
+    def settle(table: pa.Table) -> pa.Table:
+        anchor, content, least = (_flat(table[c]) for c in ("anchors", "hashes", "least"))
+        order = np.lexsort((content, anchor))
+        by_anchor = _heads(anchor[order])
+        if not len(by_anchor):
+            return _empty(_VERDICT)
+        count = np.diff(np.append(by_anchor, len(order)))
+        kinds = np.zeros(len(order) + 1, np.int64)
+        kinds[_heads(anchor[order], content[order])] = 1
+        single = np.add.reduceat(kinds[:-1], by_anchor) == 1
+        firsts = np.empty(len(order), np.int64)
+        firsts[order] = np.repeat(np.where(single, np.minimum.reduceat(least[order], by_anchor), _OPEN), count)
+        lengths = _lengths(table["anchors"])
+        none = pa.array([[]] * table.num_rows, pa.list_(pa.int64()))
         return pa.table({
-            "bucket": pa.array([r[0] for r in rows], pa.int64()),
-            "batch": pa.array([table["batch"][0].as_py()] * len(rows) if rows else [], pa.int64()),
-            "content": pa.array([r[1] for r in rows], pa.list_(pa.binary())), "anchors": pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-            "least": pa.array([r[3] for r in rows], pa.list_(pa.int64())),
+            "batch": table["batch"], "bucket": table["bucket"], "sorted": pa.array([False] * table.num_rows),
+            "anchors": table["anchors"], "counts": none, "windows": none, "firsts": _lists(firsts, lengths),
         })
 
-    sent = by_batch.cogroup(shared.groupBy("batch")).applyInArrow(
-        send, "bucket long, batch long, content array<binary>, anchors array<long>, least array<long>"
+    settled = told.groupBy("bucket").applyInArrow(settle, _VERDICT)
+
+    # 3. the bytes of the others, sorted in shards
+    def send(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+        if not (table.num_rows and verdicts.num_rows):
+            return _empty("bucket long, batch long, anchors array<long>, content array<binary>, least array<long>")
+        verdicts = verdicts.sort_by("bucket")
+        batch = Batch(table, rule, _flat(verdicts["anchors"]).view(np.uint64))
+        some, number = batch.distinct()
+        left = _flat(verdicts["firsts"]) == _OPEN
+        least = batch.least(number, len(some))
+        return rows(table, batch.anchor[some][left], content=batch.bytes_of(some[left]), least=least[left])
+
+    sent = by_batch.cogroup(settled.groupBy("batch")).applyInArrow(
+        send, "bucket long, batch long, anchors array<long>, content array<binary>, least array<long>"
     )
 
     def sort(table: pa.Table) -> pa.Table:
         """For each batch and segment the smallest doc_id of each window, as runs (windows, doc_id)."""
+        content = table["content"].combine_chunks().flatten().to_pylist()
+        anchor, least, lengths = _flat(table["anchors"]), _flat(table["least"]), _lengths(table["anchors"])
         holder: dict[bytes, int] = {}
-        anchor_of: dict[bytes, int] = {}
-        rows = table.select(["content", "anchors", "least"]).to_pydict()
-        for content, anchors, least in zip(*rows.values()):
-            for c, a, d in zip(content, anchors, least):
-                if d < holder.get(c, _LAST + 1):
-                    holder[c] = d
-                anchor_of[c] = a
-        members: dict[int, list[bytes]] = {}
-        for c, a in anchor_of.items():
-            members.setdefault(a, []).append(c)
-        # an anchor with one segment needs no order: its windows are equal to no others
-        several = [c for group in members.values() if len(group) > 1 for c in group]
-        runs: dict[bytes, tuple[list[int], list[int]]] = {}
-        if several:
-            for c, at in zip(several, first_holders(several, np.array([holder[c] for c in several]), rule)):
-                heads = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                runs[c] = (np.diff(np.append(heads, len(at))).tolist(), at[heads].tolist())
-        out: dict[str, list] = {"anchors": [], "counts": [], "windows": [], "firsts": []}
-        for content, anchors, _ in zip(*rows.values()):
-            found = [runs.get(c) or ([len(c) - rule.length + 1], [holder[c]]) for c in content]
-            out["anchors"].append(anchors)
-            out["counts"].append([len(w) for w, _ in found])
-            out["windows"].append([x for w, _ in found for x in w])
-            out["firsts"].append([x for _, f in found for x in f])
+        at: dict[bytes, int] = {}
+        for c, a, d in zip(content, anchor.tolist(), least.tolist()):
+            holder[c] = min(d, holder.get(c, d))
+            at[c] = a
+        pending, size, runs = [], 0, {}
+
+        def work() -> None:
+            for c, found in zip(pending, first_holders(pending, np.array([holder[c] for c in pending], np.int64), rule)):
+                heads = _heads(found)
+                runs[c] = (np.diff(np.append(heads, len(found))), found[heads])
+
+        inner = sorted(at, key=at.__getitem__)
+        for k, c in enumerate(inner):
+            if size > rule.text and at[c] != at[inner[k - 1]]:
+                work()
+                pending, size = [], 0
+            pending.append(c)
+            size += len(c)
+        if pending:
+            work()
+        counts = np.array([len(runs[c][0]) for c in content], np.int64)
+        of_row = np.bincount(np.repeat(np.arange(len(lengths)), lengths), counts, len(lengths)).astype(np.int64)
+        none = np.zeros(0, np.int64)
+        windows, firsts = (np.concatenate([runs[c][k] for c in content] or [none]) for k in (0, 1))
         return pa.table({
-            "batch": table["batch"], "bucket": table["bucket"],
-            **{k: pa.array(v, pa.list_(pa.int64())) for k, v in out.items()},
+            "batch": table["batch"], "bucket": table["bucket"], "sorted": pa.array([True] * table.num_rows), "anchors": table["anchors"],
+            "counts": _lists(counts, lengths), "windows": _lists(windows, of_row), "firsts": _lists(firsts, of_row),
         })
 
-    sorted_ = sent.groupBy("bucket").applyInArrow(
-        sort, "batch long, bucket long, anchors array<long>, counts array<long>, windows array<long>, firsts array<long>"
-    )
+    ordered = sent.groupBy("bucket").applyInArrow(sort, _VERDICT)
 
+    # 4. back to the documents
     def remove(table: pa.Table, verdicts: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in _RESULT})
+            return _empty(_RESULT)
         verdicts = verdicts.sort_by("bucket")
-        anchors = _unsigned(verdicts["anchors"].combine_chunks().flatten()) if verdicts.num_rows else np.zeros(0, np.uint64)
-        batch = Batch(table, rule, anchors)
-        n = len(batch.data)
-        cover = np.zeros(n + 1, np.int64)
+        told, more = (verdicts.filter(pa.compute.equal(verdicts["sorted"], v)) for v in (False, True))
+        batch = Batch(table, rule, _flat(told["anchors"]).view(np.uint64) if told.num_rows else np.zeros(0, np.uint64))
+        cover = np.zeros(len(batch.data) + 1, np.int64)
         if len(batch.doc):
-            number = batch.distinct()[3]
-            counts, windows, firsts = (verdicts[c].combine_chunks().flatten().to_numpy() for c in ("counts", "windows", "firsts"))
-            lead = np.concatenate([[0], np.cumsum(counts)])
-            # the runs of each segment, one after the other
+            some, number = batch.distinct()
+            # the runs of each kind of segment, one after the other: one for a settled one, else those found by sorting
+            single = _flat(told["firsts"])
+            still = single == _OPEN
+            counts, windows, firsts = np.ones(len(some), np.int64), batch.windows[some], single
+            if still.any():
+                counts[still] = _flat(more["counts"])
+                where = np.repeat(still, counts)
+                windows, firsts = np.repeat(windows, counts), np.repeat(firsts, counts)
+                windows[where], firsts[where] = _flat(more["windows"]), _flat(more["firsts"])
+            lead = np.cumsum(counts) - counts
             runs = _ragged(lead[number], counts[number])
             segment = np.repeat(np.arange(len(number)), counts[number])
             length = windows[runs]
@@ -292,9 +377,4 @@ def without_repeats(docs: DataFrame, rule: Settings = Settings()) -> DataFrame:
             "n_spans": pa.array(opened[b] - opened[a]), "kept_sha256": pa.array(digests),
         })
 
-    return by_batch.cogroup(sorted_.groupBy("batch")).applyInArrow(
-        remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
-
-
-_RESULT = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
+    return by_batch.cogroup(settled.unionByName(ordered).groupBy("batch")).applyInArrow(remove, _RESULT)
