@@ -100,6 +100,13 @@ def runs(matches: DataFrame, run: int) -> DataFrame:
     )
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, made longer until docs has no such column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def without_repeats(docs: DataFrame, run: int = 2) -> DataFrame:
     """docs with later repeated runs cut out of text, and n_lines, n_removed, n_runs, emptied.
 
@@ -107,18 +114,19 @@ def without_repeats(docs: DataFrame, run: int = 2) -> DataFrame:
     four names are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs", "emptied")
+    spans_of, doc_of = _free(docs, "spans"), _free(docs, "doc")
     spans = (
         runs(repeated(docs, run), run).groupBy("doc_id")
-        .agg(F.collect_list(F.struct("th", "first", "last")).alias("_spans")).withColumnRenamed("doc_id", "_doc")
+        .agg(F.collect_list(F.struct("th", "first", "last")).alias(spans_of)).withColumnRenamed("doc_id", doc_of)
     )
-    joined = docs.join(spans, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    joined = docs.join(spans, F.col("doc_id") == F.col(doc_of), "left").drop(doc_of)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in arrow.blocks(batch):
                 data, offsets = arrow.utf8(block.column("text"))
-                spans = block.column("_spans").to_pylist()
+                spans = block.column(spans_of).to_pylist()
                 texts = []
                 counts: list[list[int]] = [[], [], []]
                 for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):

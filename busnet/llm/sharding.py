@@ -92,7 +92,8 @@ def _numbered(df: DataFrame, name: str, key: list[str], order: list[str], bucket
 def assign(items: DataFrame, shards: int) -> DataFrame:
     """items (id, size, grp and others) with shard and slot; items of a grp stay together.
 
-    size is 1 at least.  Rows with equal ids are placed each; a null grp is one group like any other.
+    size is 1 at least.  Rows with equal ids are placed each; a null grp is one group like any other.  Columns
+    of items must not begin with an underscore.
     """
     groups = keep(items.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
     plan = keep(_schedule(groups.groupBy("bytes").agg(F.count("*").alias("n")), shards), "shard-plan")
