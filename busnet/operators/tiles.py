@@ -37,6 +37,7 @@ class Layer:
     shape: str  # 'point' (x, y columns) or 'line' (geom column)
     properties: tuple[str, ...]
     queries: tuple[LayerQuery, ...] = field(default=())
+    key: tuple[str, ...] = ()  # of a line feature
 
 
 def _asc(*names: str) -> Callable[[], list[Column]]:
@@ -66,6 +67,7 @@ STATIONS = Layer(
 STATION_AREAS = Layer(
     "stations_area", 1, "line", ("name",),
     (LayerQuery(13, MAX_ZOOM, 1000, _asc("osm_type", "osm_id")),),
+    ("osm_type", "osm_id"),
 )
 
 
@@ -80,6 +82,7 @@ WAYS = Layer(
         LayerQuery(11, 11, 999, _longest, "max_diameter > 6000 OR number_of_routes > 1"),
         LayerQuery(12, MAX_ZOOM, 999, _longest),
     ),
+    ("id",),
 )
 POSITIONS = Layer(
     "routes_position", 0, "point", ("id",),
@@ -138,7 +141,10 @@ def layer_rows(
     df: DataFrame, layer: Layer, query: LayerQuery, zooms: Sequence[int] | None = None,
     extent: Extent = WORLD,
 ) -> DataFrame:
-    """The features of every tile of one zoom range, ranked from 1 within (z, x_tile, y_tile)."""
+    """The features of every tile of one zoom range, ranked from 1 within (z, x_tile, y_tile).
+
+    Lines are ranked without their vertices, which are joined to what the limit leaves.
+    """
     served = [z for z in (zooms or range(MIN_ZOOM, MAX_ZOOM + 1)) if query.minzoom <= z <= query.maxzoom]
     rows = df if query.condition is None else df.filter(query.condition)
     box = ["x", "y", "x", "y"]
@@ -149,14 +155,17 @@ def layer_rows(
             "array_min(transform(_pts, p -> p.x)) AS _west", "array_min(transform(_pts, p -> p.y)) AS _south",
             "array_max(transform(_pts, p -> p.x)) AS _east", "array_max(transform(_pts, p -> p.y)) AS _north",
             "round(array_min(_pts).x, 3) AS tie_x", "round(array_min(_pts).y, 3) AS tie_y",
-        ).drop("_pts")
+        ).drop("_pts", "geom")
     in_tile = Window.partitionBy("z", "x_tile", "y_tile").orderBy(*query.order())
-    return (
+    ranked = (
         assign_tiles(rows, box, served, layer.buffer, extent)
         .withColumn("rank", F.row_number().over(in_tile))
         .filter(F.col("rank") <= query.limit)
         .drop("_west", "_south", "_east", "_north", "tie_x", "tie_y")
     )
+    if layer.shape == "line":
+        return ranked.join(df.select(*layer.key, "geom"), list(layer.key))
+    return ranked
 
 
 def snap(pts: Column) -> Column:
