@@ -27,7 +27,7 @@ class Network:
     # --- inputs --------------------------------------------------------------
     @cached_property
     def relations(self) -> DataFrame:
-        return positive_route_ids(self.features.relations_route, "osm_id")
+        return self._keep("t_relations", positive_route_ids(self.features.relations_route, "osm_id"))
 
     @cached_property
     def member_refs(self) -> DataFrame:
@@ -39,7 +39,7 @@ class Network:
 
     @cached_property
     def members(self) -> DataFrame:
-        return attach_member_geometry(self.member_refs, self.element_geometry)
+        return self._keep("t_members", attach_member_geometry(self.member_refs, self.element_geometry))
 
     # --- internal tables -----------------------------------------------------
     @cached_property
@@ -103,7 +103,7 @@ class Network:
 
     @cached_property
     def way_shapes(self) -> DataFrame:
-        return segments.way_shapes(self.element_geometry)
+        return self._keep("t_way_shapes", segments.way_shapes(self.element_geometry))
 
     @cached_property
     def way_sets(self) -> DataFrame:

@@ -58,6 +58,9 @@ class Store:
         if backup is not None:
             self._delete(f"{self._root}/versions/{backup}")
 
+    def drop_version(self, version: str) -> None:
+        self._delete(f"{self._root}/versions/{version}")
+
     def drop_working_tables(self, version: str, tables: list[str]) -> None:
         for table in tables:
             self._delete(self._path(version, table))
@@ -73,8 +76,8 @@ class Store:
 def build_all(spark: SparkSession, features: FeatureTables, root: str) -> Store:
     """Build every table as a new version and publish it.
 
-    Each table is written once and read back by what follows, so nothing is derived twice and a
-    lost executor costs at most the stage it was working on.
+    Each table, and each working table that several others need, is written once and read back by what
+    follows; a lost executor costs at most the stage it was working on.  A version that fails is removed.
     """
     store, version = Store(spark, root), uuid.uuid4().hex
     working: list[str] = []
@@ -85,8 +88,12 @@ def build_all(spark: SparkSession, features: FeatureTables, root: str) -> Store:
         return store.write(version, name, df)
 
     net = Network(features, keep)
-    for name in TABLES:
-        getattr(net, name)
+    try:
+        for name in TABLES:
+            getattr(net, name)
+    except BaseException:
+        store.drop_version(version)
+        raise
     store.drop_working_tables(version, working)
     store.publish(version)
     return store
