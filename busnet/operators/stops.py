@@ -390,23 +390,42 @@ def stop_statistics(positions: DataFrame, routes: DataFrame, stops: DataFrame) -
     )
 
 
+def stop_colours(positions: DataFrame, routes: DataFrame, stops: DataFrame) -> DataFrame:
+    """(osm_type, osm_id, ref, colour): the distinct lines at each stop, in row form."""
+    known_stops = stops.select(F.col("osm_type").alias("member_type"), F.col("osm_id").alias("member_osm_id"))
+    known = routes.select(F.col("osm_id").alias("rel_osm_id"), "ref", "colour")
+    return (
+        positions.select("rel_osm_id", "member_type", "member_osm_id")
+        .join(known_stops, ["member_type", "member_osm_id"], "left_semi")
+        .join(known, "rel_osm_id")
+        .select(F.col("member_type").alias("osm_type"), F.col("member_osm_id").alias("osm_id"), "ref", "colour")
+        .distinct()
+    )
+
+
 def stops_enriched(all_stops: DataFrame, statistics: DataFrame) -> DataFrame:
     """d_stops (with routes_ref_colour): a stop without routes has NULL statistics."""
     return all_stops.join(statistics, ["osm_type", "osm_id"], "left")
 
 
 def cluster_statistics(members: DataFrame, statistics: DataFrame) -> DataFrame:
-    """Per cluster, from its stops' statistics (so hot stops are already reduced)."""
+    """Per cluster, from its stops' statistics (so hot stops are already reduced).
+
+    The (ref, colour) pairs become rows, distinct before they are gathered.
+    """
+    known = members.select("cluster_id", "osm_type", "osm_id").join(statistics, ["osm_type", "osm_id"])
+    pairs = (
+        known.select("cluster_id", F.explode("routes_ref_colour").alias("pair")).distinct()
+        .groupBy("cluster_id").agg(F.collect_list("pair").alias("pairs"))
+    )
     return (
-        members.select("cluster_id", "osm_type", "osm_id")
-        .join(statistics, ["osm_type", "osm_id"])
-        .groupBy("cluster_id")
+        known.groupBy("cluster_id")
         .agg(
             F.max("max_diameter").alias("max_diameter"),
             F.max("max_avg_distance").alias("max_avg_distance"),
             F.sum("number_of_routes").cast("int").alias("number_of_routes"),
-            F.array_distinct(F.flatten(F.collect_set("routes_ref_colour"))).alias("pairs"),
         )
+        .join(pairs, "cluster_id")
         .withColumn("routes_ref_colour", sort_nulls_last(F.col("pairs"), "ref", "colour"))
         .drop("pairs")
     )

@@ -383,6 +383,7 @@ _SELECTS: dict[str, str] = {
         string_agg({_txt('CAST(id AS VARCHAR)')}||'|'||{_txt('ref')}||'|'||{_txt('colour')}, ';' ORDER BY ref NULLS LAST, colour NULLS LAST, id) AS other_routes_at_stop
       FROM conn GROUP BY route_osm_id, stop_osm_id, stop_osm_type, stop_index, stop_name, lon, lat""",
     "stop_stats": "SELECT osm_type, osm_id, max_diameter, max_avg_distance, number_of_routes, routes_ref_colour FROM stat",
+    "stop_colours": "SELECT osm_type, osm_id, ref, colour FROM pair SEMI JOIN stop USING (osm_type, osm_id)",
     "stops_enriched": f"""SELECT osm_type, osm_id, id, name, {_FLAGS}, local_ref, max_diameter, max_avg_distance,
         number_of_routes FROM dstop""",
     "cluster_stats": """SELECT osm_type_id, name, max_diameter, max_avg_distance, number_of_routes, routes_ref_colour FROM dclus""",

@@ -282,6 +282,11 @@ def stop_stats(n: Network) -> DataFrame:
     return n.stop_statistics.select("osm_type", "osm_id", *_STATS, _pairs())
 
 
+@_query
+def stop_colours(n: Network) -> DataFrame:
+    return stops.stop_colours(n.position_refs, n.relations, n.i_stops)
+
+
 @_query
 def stops_enriched(n: Network) -> DataFrame:
     return n.d_stops.select("osm_type", "osm_id", "id", "name", *STOP_FLAGS, "local_ref", *_STATS)
