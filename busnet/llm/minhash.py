@@ -7,12 +7,14 @@ rounds at most, and mostly after one or two (Dahlgaard, Knudsen and Thorup, 2017
 agree with the probability of the Jaccard similarity, with Chernoff-type concentration.
 
 Documents with equal sets form a class and only its smallest doc_id is compared.  Classes that agree
-in a whole band become candidates: first each with the smallest and greatest of its bucket, so that a
-large group of near copies costs one pair a member; then members of one bucket that are still in
-different components.  Links count only if the full sets confirm them.
+in a whole band become candidates: each with the smallest and greatest of its buckets, one at a time,
+so that a large group of near copies costs a pair or two a member.  Members of one bucket that this
+leaves in different components are compared through their rarest shingles, which misses no link.  Links
+count only if the full sets confirm them.
 
 Rows: null or empty texts and texts of white space have an empty set and are linked with nothing.
-Rows that share a doc_id count as one document (each row is returned).  Other columns are ignored.
+Rows that share a doc_id count as one document (each row is returned).  A row without an id is never
+the smallest of its class, and is kept only if it has no copy with an id.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from busnet.llm import arrow, hashing
 from busnet.operators.graph import connected_components
@@ -33,7 +35,8 @@ from busnet.session import keep
 class Similarity:
     """Two documents are linked if 100 * |A and B| >= percent * |A or B|.
 
-    With 32 bands of 4 rows a pair at 0.8 is missed with a probability of (1 - 0.8^4)^32 = 5e-8.
+    With 32 bands of 4 rows a pair at 0.8 shares no band with a probability of (1 - 0.8^4)^32 = 5e-8, and
+    fewer than two with 1e-6.
     """
 
     shingle: int = 5
@@ -125,15 +128,50 @@ def confirmed(docs: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
     )
 
 
-def _pairs(df: DataFrame, rule: Similarity) -> DataFrame:
-    """Distinct (a, b) with a < b whose set sizes allow a link."""
+def _fits(n: str, m: str, rule: Similarity) -> Column:
+    """Whether the set sizes allow a link."""
+    return 100 * F.least(n, m) >= rule.percent * F.greatest(n, m)
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different groups (an id that groups does not list is a group itself)."""
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("id").alias(end), F.col("component").alias(f"group_{end}")), end, "left")
+    return pairs.filter(F.coalesce("group_a", "a") != F.coalesce("group_b", "b")).select("a", "b")
+
+
+def _by_prefix(docs: DataFrame, members: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs (a, b) of members (rep, n, group) in different groups that can be linked.
+
+    Elements are ordered by how many members hold them, rare ones first (Xiao, Wang, Lin and Yu, 2008).
+    Linked sets share at least s = percent / (100 + percent) of their sizes together.  So they share one
+    of the first elements of both, and what follows the first shared one must still leave room for
+    the rest: of the shorter set the first n - 2 s n + 1, of the longer one n - percent * n / 100 + 1.
+    A member whose own words fill these places meets nobody.  No link is missed.
+    """
+    p = rule.percent
+    sets = keep(_full_sets(docs, members.select(F.col("rep").alias("doc_id")), rule), "minhash-members")
+    rows = sets.select(F.col("id").alias("rep"), F.explode("elements").alias("element"))
+    spread = rows.groupBy("element").agg(F.count("*").alias("spread")).filter("spread > 1")
+    ranked = rows.join(spread, "element", "left").select(
+        "rep", "element", "spread",
+        F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("spread", F.lit(1)), "element")).alias("rank"),
+    )
+    n = F.col("n")
+    prefix = keep(
+        ranked.filter("spread IS NOT NULL").join(members, "rep").filter(F.col("rank") <= n - F.ceil(n * p / 100) + 1)
+        .select("rep", "n", "group", "element", "rank"),
+        "minhash-prefixes",
+    )
+    shorter = prefix.filter(F.col("rank") <= n - F.ceil(n * 2 * p / (100 + p)) + 1).select(
+        F.col("rep").alias("other"), F.col("n").alias("m"), F.col("group").alias("group_m"), "element", F.col("rank").alias("rank_m")
+    )
+    room = F.least(n - F.col("rank"), F.col("m") - F.col("rank_m")) + 1
     return (
-        df.filter(
-            (F.col("x.rep") != F.col("y.rep"))
-            & (100 * F.least("x.n", "y.n") >= rule.percent * F.greatest("x.n", "y.n"))
-        )
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-        .distinct()
+        prefix.join(shorter, "element")
+        .filter((F.col("m") <= n) & (F.col("group") != F.col("group_m")) & _fits("n", "m", rule))
+        .filter((100 + p) * room >= p * (n + F.col("m")))
+        .select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
     )
 
 
@@ -148,25 +186,41 @@ def near_duplicates(docs: DataFrame, rule: Similarity = Similarity()) -> DataFra
     )
     ends = banded.groupBy("band").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo.rep < hi.rep")
     shared = keep(banded.join(ends, "band"), "minhash-buckets")  # the buckets that hold two classes at least
-    star = keep(_pairs(shared.select("x", F.explode(F.array("lo", "hi")).alias("y")), rule), "minhash-pairs")
-    links = keep(confirmed(docs, star, rule), "minhash-links")
-    groups = connected_components(links)
 
-    # Members of a bucket that are not connected yet: bring together the members of two components at a time.
-    labelled = (
-        shared.select("band", "x", F.col("x.rep").alias("id")).join(groups, "id", "left")
-        .select("band", "x", F.coalesce("component", "id").alias("group"))
+    # each class with the smallest or greatest of its buckets: first with the one it meets most often ...
+    star = keep(
+        shared.select("x", F.explode(F.array("lo", "hi")).alias("y"))
+        .filter((F.col("x.rep") != F.col("y.rep")) & _fits("x.n", "y.n", rule))
+        .select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y")).groupBy("x", "y").agg(F.count("*").alias("times")),
+        "minhash-star",
+    )
+    pair = (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    first = keep(
+        star.groupBy("x").agg(F.max(F.struct("times", F.negative("y").alias("y"))).alias("most"))
+        .select("x", F.negative("most.y").alias("y")).select(*pair).distinct(),
+        "minhash-first",
     )
+    links = keep(confirmed(docs, first, rule), "minhash-links")
+    groups = connected_components(links)
+
+    # ... then with the others, if that has not connected them
+    second = keep(_apart(star.select(*pair).distinct().join(first, ["a", "b"], "left_anti"), groups), "minhash-second")
+    links = keep(links.unionByName(confirmed(docs, second, rule)), "minhash-links")
+    groups = connected_components(links)
+
+    # members of buckets that still hold two groups; a linked pair shares one bucket only once in a million times
+    labelled = shared.select("band", F.col("x.rep").alias("rep"), F.col("x.n").alias("n")).join(
+        groups.withColumnRenamed("id", "rep"), "rep", "left"
+    ).select("band", "rep", "n", F.coalesce("component", "rep").alias("group"))
     split = labelled.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("band")
-    apart = keep(labelled.join(split, "band", "left_semi"), "minhash-apart")
-    present = apart.select("band", "group").distinct()
-    meeting = present.join(present.withColumnRenamed("group", "other"), "band").filter("group < other")
-    across = meeting.join(apart, ["band", "group"]).join(
-        apart.select("band", F.col("group").alias("other"), F.col("x").alias("y")), ["band", "other"]
+    members = keep(
+        labelled.join(split, "band", "left_semi").groupBy("rep", "n", "group").agg(F.count("*").alias("buckets"))
+        .filter("buckets > 1").drop("buckets"),
+        "minhash-apart",
     )
-    rest = keep(_pairs(across, rule).join(star, ["a", "b"], "left_anti"), "minhash-rest")
-    more = confirmed(docs, rest, rule)
-    groups = connected_components(links.unionByName(more))
+    tested = first.unionByName(second)
+    rest = keep(_by_prefix(docs, members, rule).join(tested, ["a", "b"], "left_anti"), "minhash-rest")
+    groups = connected_components(links.unionByName(confirmed(docs, rest, rule)))
 
     return (
         known.join(classes, identity, "left")
@@ -176,5 +230,5 @@ def near_duplicates(docs: DataFrame, rule: Similarity = Similarity()) -> DataFra
             F.col("n").alias("n_shingles"),
             F.coalesce("component", "rep", "doc_id").alias("component_id"),
         )
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
     )
