@@ -84,7 +84,7 @@ def test_secrets(spark, docs):
         (4, "AKIA" + "A1" * 6 + " " + "0f" * 16, None), (4, "AKIA" + "A1" * 6 + " " + "0f" * 16, None),
     ]
     found = by_id(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, o string"), F.col("o"), F.col("o")), "spans", "n_live", "n_owned", "base_sha256")
-    assert found[1][0][:3] == ("owned:1:25,assign:57:72", 1, 1)
+    assert found[1][0][:3] == ("owned:1:25,assign:58:73", 1, 1)
     assert found[2][0][:3] == ("", 0, 0)
     assert found[3][0][0] == "assign:13:35"
     assert [x[0] for x in found[4]] == ["access:0:16,hex:17:49"] * 2
