@@ -45,7 +45,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    learned = docs.filter(~langid.held_out()).select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+    # labels grow with the documents: one plan at every size
+    learned = docs.filter(~langid.held_out()).select("doc_id", "text").join(labels.hint("merge"), "doc_id").select("text", "toxic")
     model = toxicity.fit(keep(learned, "toxicity-labelled"))
     return toxicity.score(docs, model).select(
         "doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "best"
