@@ -196,9 +196,9 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model | None:
     rows = chosen.mapInArrow(run, "lang string, x binary").toArrow()
     if not rows.num_rows:
         return None
-    order = np.argsort([a + str(b) for a, b in zip(rows["lang"].to_pylist(), rows["x"].to_pylist())], kind="stable")
-    x = np.array([np.frombuffer(v, np.float16) for v in rows["x"].to_pylist()], np.float32)[order]
-    return Model(x, np.array(rows["lang"].to_pylist())[order], settings)
+    learned = sorted(zip(rows["lang"].to_pylist(), rows["x"].to_pylist()))  # whatever order the tasks ended in
+    x = np.array([np.frombuffer(v, np.float16) for _, v in learned], np.float32)
+    return Model(x, np.array([lang for lang, _ in learned]), settings)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
