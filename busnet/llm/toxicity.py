@@ -39,9 +39,10 @@ class Settings:
     prior: float = 0.05
     #: Standard errors by which log-odds are pulled to zero.
     doubt: float = 1.0
-    #: What a token costs a segment.
-    drift: float = 0.05
-    bins: int = 256
+    #: What a token costs a segment; above the log-odds that all words of a language share if it has more
+    #: toxic documents than others.
+    drift: float = 1.0
+    bins: int = 1024
 
 
 #: Bytes that are no part of a token.
@@ -242,12 +243,12 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     sent = labelled.sparkSession.sparkContext.broadcast(count.astype(np.int32) if count.max() < 2**31 else count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Histogram over (score in half steps, logarithm of the tokens, class)."""
+        """Histogram over (weight in eighths, logarithm of the tokens, class)."""
         seen: dict[tuple[int, int, int], int] = {}
         for batch in batches:
             for block in arrow.blocks(batch):
                 for (best, n), toxic in zip(_best_without_own(block, sent.value, settings), block.column("toxic").to_pylist()):
-                    key = (min(int(best * 2), settings.bins - 1), int(np.log2(n + 1) * 2), toxic)
+                    key = (min(int(best * 8), settings.bins - 1), int(np.log2(n + 1) * 2), toxic)
                     seen[key] = seen.get(key, 0) + 1
         rows = [(*k, v) for k, v in sorted(seen.items())]
         yield pa.RecordBatch.from_arrays(
@@ -256,7 +257,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
     table = labelled.mapInArrow(run, "best long, size long, toxic long, n long").groupBy("best", "size", "toxic").sum("n").toArrow()
     best, size, toxic, n = (table.column(i).to_numpy().astype(float) for i in range(4))
-    best, size = best / 2 + 0.25 * (best > 0), 2 ** (size / 2)
+    best, size = best / 8 + (best > 0) / 16, 2 ** (size / 2)
     # K: clean documents whose best segment passes a level, per token, at that level
     clean = toxic == 0
     level = 1.0

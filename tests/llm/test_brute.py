@@ -140,9 +140,12 @@ def test_segments_are_the_maximal_ones():
 
 
 def test_toxicity_held_out(spark):
-    rows = queries.op6_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in rows)
-    assert len(rows) > 60 and right / len(rows) > 0.88
+    """On sf 0.1: with the 40 toxic rows of sf 0.01 there is little to learn from or to count."""
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert len(rows) > 900 and sum(r.predicted == r.toxic for r in rows) / len(rows) > 0.93
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.7
 
 
 def test_language_held_out(spark):
