@@ -1,6 +1,7 @@
 """Operators against plain brute-force versions of themselves."""
 
 import base64
+import hashlib
 import heapq
 import random
 import zlib
@@ -12,10 +13,11 @@ import pytest
 import regex
 import tiktoken
 
-import corpus_pipeline
-from busnet.llm import bpe, decontam, hashing, induced, langid, minhash, queries, sharding, suffix, topk, toxicity
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from busnet.llm import bpe, decontam, hashing, induced, minhash, queries, sharding, suffix, topk, toxicity
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -244,5 +246,4 @@ def test_pipeline(spark, documents):
         if root[doc] == doc and not dirty:
             wanted[doc] = text
     assert set(found) == set(wanted)
-    import hashlib
     assert all(found[d][1] == hashlib.sha256(t.encode()).hexdigest() for d, t in wanted.items())
