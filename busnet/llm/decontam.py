@@ -147,7 +147,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Settings = Settings())
                 )
 
     seen = keep(
-        docs.select("doc_id", "text").join(places, "doc_id")
+        # places grow with the documents: one plan at every size
+        docs.select("doc_id", "text").join(places.hint("merge"), "doc_id")
         .mapInArrow(fingerprint, "doc_id long, at long, n long, fp long, elements array<long>"),
         "decontam-windows",
     )
