@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,11 @@ _SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    # Python workers that see this folder import the package from it; elsewhere it is installed or in --py-files
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    worker = spark.sparkContext.environment
+    if root not in worker.get("PYTHONPATH", "").split(os.pathsep):
+        worker["PYTHONPATH"] = os.pathsep.join(filter(None, [worker.get("PYTHONPATH"), root]))
     return spark
 
 
