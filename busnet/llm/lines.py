@@ -5,7 +5,9 @@ lines the smallest line hash (the rightmost of equals) is selected, so any two e
 lines select the same line: selected lines that occur once in the corpus need no further look.  The
 windows behind the others are joined with the first place (doc_id, text, line) that has the same
 window; neighbouring matches with the same shift are extended into one run.  Each line of a run that
-is not at its first place is deleted; single repeated lines stay.  All is judged on the input.
+is not at its first place is deleted.  With `lone`, so is a single repeated line of at least as many
+words, whatever stands beside it and if it is the only line of its text; without, single repeated lines
+stay.  All is judged on the input.
 
 A window that a third of all documents share has one first place, so it is joined row by row, never
 in pairs.
@@ -41,8 +43,22 @@ def _counted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return solid[ends] > solid[starts]
 
 
-def windows(docs: DataFrame, run: int) -> DataFrame:
-    """doc_id, th (hash of the text), first (counted line the window starts at), key (of its lines), pick (selected hash)."""
+_WINDOWS = ["doc_id", "th", "first", "key", "pick", "line"]
+
+
+def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many words each line has."""
+    begin = ~hashing.SPACE[data]
+    begin[1:] &= hashing.SPACE[data[:-1]]
+    before = np.concatenate([[0], np.cumsum(begin)])
+    return before[ends] - before[starts]
+
+
+def windows(docs: DataFrame, run: int, lone: int | None = None) -> DataFrame:
+    """doc_id, th (hash of the text), first (counted line the window starts at), key (of its lines), pick (selected hash), line.
+
+    key and pick are null where too few lines follow; line is the hash of a line of `lone` words or more, else null.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,8 +70,9 @@ def windows(docs: DataFrame, run: int) -> DataFrame:
                     starts, ends = _line_bounds(own)
                     some = _counted(own, starts, ends)
                     starts, ends = starts[some], ends[some]
-                    n = len(starts) - run + 1
-                    if n < 1:
+                    n = max(0, len(starts) - run + 1)
+                    rows = n if lone is None else len(starts)
+                    if not rows:
                         continue
                     sums = hashing.prefix_sums(own)
                     line = hashing.mix(hashing.substring(sums, starts, ends) + (ends - starts).astype(np.uint64))
@@ -64,16 +81,23 @@ def windows(docs: DataFrame, run: int) -> DataFrame:
                         key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + line[i : i + n])
                         np.minimum(pick, line[i : i + n], out=pick)
                     th = hashing.mix(sums[-1:] + np.uint64(len(own)))
-                    parts.append((np.full(n, doc), np.repeat(th, n).view(np.int64), np.arange(n), key.view(np.int64), pick.view(np.int64)))
-                columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "th", "first", "key", "pick"])
-
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(find, "doc_id long, th long, first long, key long, pick long")
-
-
-def repeated(docs: DataFrame, run: int) -> DataFrame:
-    """doc_id, th, first, from_doc, from_th, from_first of each window that is not at its first place."""
-    found = keep(windows(docs, run).distinct(), "line-windows")
+                    short = np.arange(rows) >= n
+                    few = np.ones(rows, bool) if lone is None else _words(own, starts, ends) < lone
+                    rest = np.zeros(rows - n, np.uint64)
+                    parts.append((
+                        np.full(rows, doc), np.repeat(th, rows).view(np.int64), np.arange(rows), np.concatenate([key, rest]).view(np.int64),
+                        np.concatenate([pick, rest]).view(np.int64), line[:rows].view(np.int64), short, few,
+                    ))
+                *columns, short, few = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6 + [np.zeros(0, bool)] * 2
+                nulls = [None, None, None, short, short, few]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=m) for c, m in zip(columns, nulls)], _WINDOWS)
+
+    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(find, ", ".join(f"{c} long" for c in _WINDOWS))
+
+
+def repeated(found: DataFrame) -> DataFrame:
+    """doc_id, th, first, from_doc, from_th, from_first of each of the windows that is not at its first place."""
+    found = found.filter("key IS NOT NULL")
     place = F.struct("doc_id", "th", "first")
     # a selected line that has one place has no equal window elsewhere
     picks = found.groupBy("pick").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("pick")
@@ -100,6 +124,15 @@ def runs(matches: DataFrame, run: int) -> DataFrame:
     )
 
 
+def lone_repeats(found: DataFrame) -> DataFrame:
+    """doc_id, th, first of each long line of the windows that is not at its first place."""
+    place = F.struct("doc_id", "th", "first")
+    found = found.filter("line IS NOT NULL")
+    # a line that has one place is not joined
+    origin = found.groupBy("line").agg(F.min(place).alias("from"), F.max(place).alias("last")).filter("from < last").select("line", "from")
+    return found.join(origin, "line").filter(place != F.col("from")).select("doc_id", "th", "first")
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """name, made longer until docs has no such column."""
     while name.lower() in (c.lower() for c in docs.columns):
@@ -107,16 +140,22 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def without_repeats(docs: DataFrame, run: int = 2) -> DataFrame:
+def without_repeats(docs: DataFrame, run: int = 2, lone: int | None = None) -> DataFrame:
     """docs with later repeated runs cut out of text, and n_lines, n_removed, n_runs, emptied.
 
+    With `lone`, later repeats of a line of `lone` words or more go even if no line beside them repeats.
+
     A deleted line goes with its newline (the last one with the newline before it).  Own columns of the
     four names are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs", "emptied")
     spans_of, doc_of = _free(docs, "spans"), _free(docs, "doc")
+    found = keep(windows(docs, run, lone).distinct(), "line-windows")
+    cuts = runs(repeated(found), run).select("doc_id", "th", "first", "last")
+    if lone is not None:
+        cuts = cuts.union(lone_repeats(found).withColumn("last", F.col("first")))
     spans = (
-        runs(repeated(docs, run), run).groupBy("doc_id")
+        cuts.groupBy("doc_id")
         .agg(F.collect_list(F.struct("th", "first", "last")).alias(spans_of)).withColumnRenamed("doc_id", doc_of)
     )
     joined = docs.join(spans, F.col("doc_id") == F.col(doc_of), "left").drop(doc_of)

@@ -61,6 +61,26 @@ def test_lines(spark, docs):
     assert cut[4] == [("one", 0, False)] and cut[5] == [("x", 3, False)]
 
 
+def test_lone_lines(spark):
+    """A long line repeated between other lines, and a copy of a text of one line."""
+    long, short = " ".join(f"w{i}" for i in range(55)), "a short line"
+    exact = " ".join(f"v{i}" for i in range(13))
+    below = exact.rsplit(" ", 1)[0]
+    rows = [
+        (1, f"one\n{long}\ntwo"), (2, f"three\n\n{long}\nfour"), (3, long), (4, f"{short}\nfive"), (5, f"{short}\nsix"), (6, short),
+        (7, exact), (8, f"seven\n{exact}"), (9, below), (10, f"eight\n{below}"), (11, f"{exact} end\nnine\n{exact} end"), (12, f"one\n{long}\ntwo"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = by_id(lines.without_repeats(docs, lone=13), "text", "n_removed", "n_runs", "emptied")
+    wanted = {d: (t, 0, 0, False) for d, t in rows} | {
+        2: ("three\n\nfour", 1, 1, False), 3: ("", 1, 1, True), 8: ("seven", 1, 1, False), 11: (f"{exact} end\nnine", 1, 1, False), 12: ("", 3, 1, True),
+    }
+    assert cut == {d: [x] for d, x in wanted.items()}
+    # without the option only runs of two lines go
+    kept = by_id(lines.without_repeats(docs), "n_removed")
+    assert {d for d, [(n,)] in kept.items() if n} == {12}
+
+
 def test_decontamination(spark, docs):
     full, empty = both(docs)
     item = "a b c d e f g h i j k l m n o p q r s t"
