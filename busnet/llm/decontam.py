@@ -1,12 +1,14 @@
 """Passages of a benchmark in documents: SimHash of item-sized windows, Hamming blocks, exact check.
 
-A window of a document has as many words as the item it is held against.  Windows and items are
+A window of a document has as many words as the item it is held against; a document that has fewer is
+the one window.  Windows and items are
 multisets of word shingles; their weighted similarity is sum(min(counts)) / sum(max(counts)).
 
 1. Shingles of a document that can be some item's (a bitmap of fixed size) are joined with the items'
    shingles.  A window that reaches the similarity has at least 2s / (1 + s) of its shingles among
    the item's, and then so has the window that starts at the first of them (or the last window of the
-   document); only such windows are fingerprinted, so none is lost.
+   document); only such windows are fingerprinted, so none is lost.  Of a document of m shingles and an
+   item of n > m, s (m + n) / (1 + s) shingles must be shared.
 2. Each gets a 64-bit SimHash.  Cut into radius + 1 blocks, two fingerprints within the radius agree in
    one block at least, so an equi-join on (words, block, bits) finds them all.
 3. The shingle multisets decide exactly.  Two multisets at 0.8 differ in 9.7 bits on average (deviation
@@ -106,19 +108,20 @@ def _hits(docs: DataFrame, items: DataFrame, rule: Settings) -> DataFrame:
     )
 
 
-def _starts(at: np.ndarray, size: int, least: int, last: int) -> np.ndarray:
-    """Starts of windows of `size` shingles with `least` places in them; at is sorted."""
-    if last < 0 or len(at) < least:
+def _starts(at: np.ndarray, size: int, rule: Settings, count: int) -> np.ndarray:
+    """Starts of windows of `size` shingles, in a document of `count`, with enough places in them; at is sorted."""
+    last = max(0, count - size)
+    least = int(np.ceil(rule.similarity * (size + min(size, count)) / (1 + rule.similarity) - 1e-9))
+    if len(at) < least:
         return np.zeros(0, np.int64)
     enough = np.searchsorted(at, at + size) - np.arange(len(at)) >= least
     return np.unique(np.minimum(at[enough], last))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rule: Settings = Settings()) -> DataFrame:
-    """doc_id, item_id, at (word the window starts at), n_words, similarity of each window that reaches the similarity."""
+    """doc_id, item_id, at (word the window starts at), n_words (of the window), similarity of each window that reaches the similarity."""
     items = keep(_items(benchmark, rule), "decontam-items")
     places = keep(_hits(docs, items, rule), "decontam-places")
-    share = 2 * rule.similarity / (1 + rule.similarity)
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,21 +138,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Settings = Settings())
                         by_item.setdefault((p["item_id"], p["n"]), []).append(p["at"])
                     spans = set()
                     for (_, n), at in by_item.items():
-                        size = n - rule.shingle + 1
-                        least = int(np.ceil(share * size - 1e-9))
-                        spans |= {(n, s) for s in _starts(np.sort(np.array(at)), size, least, len(elements) - size).tolist()}
+                        spans |= {(n, s) for s in _starts(np.sort(np.array(at)), n - rule.shingle + 1, rule, len(elements)).tolist()}
                     for n, s in sorted(spans):
                         part = elements[s : s + n - rule.shingle + 1]
-                        rows.append((doc, s, n, simhash(part), part.view(np.int64).tolist()))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                        # n, the words of the item, is what windows and items are joined by
+                        rows.append((doc, s, n, min(n, len(own)), simhash(part), part.view(np.int64).tolist()))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "at", "n", "fp", "elements"]
+                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "at", "n", "n_words", "fp", "elements"]
                 )
 
     seen = keep(
         # places grow with the documents: one plan at every size
         docs.select("doc_id", "text").join(places.hint("merge"), "doc_id")
-        .mapInArrow(fingerprint, "doc_id long, at long, n long, fp long, elements array<long>"),
+        .mapInArrow(fingerprint, "doc_id long, at long, n long, n_words long, fp long, elements array<long>"),
         "decontam-windows",
     )
     pairs = (
@@ -166,7 +168,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rule: Settings = Settings())
         for batch in batches:
             reached = [similarity(Counter(a), Counter(b)) for a, b in zip(batch.column("elements").to_pylist(), batch.column("item").to_pylist())]
             out = pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "item_id", "at", "n")] + [pa.array(reached, pa.float64())],
+                [batch.column(c) for c in ("doc_id", "item_id", "at", "n_words")] + [pa.array(reached, pa.float64())],
                 ["doc_id", "item_id", "at", "n_words", "similarity"],
             )
             yield out.filter(pa.array([r >= rule.similarity - 1e-12 for r in reached]))

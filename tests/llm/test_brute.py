@@ -92,6 +92,23 @@ def test_decontamination_windows(spark):
     assert found == wanted and len(wanted) > 70
 
 
+def test_documents_shorter_than_the_item(spark):
+    """An item without some of its first or last words, alone in its document: found as far as the similarity goes."""
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i, n in enumerate((24, 60, 100))]
+    cut = [(i, a, b) for i, (_, t) in enumerate(items) for a in (0, 1, 5) for b in (0, 1, 2, 9, 14, 20)]
+    rows = [(d, " ".join(items[i][1].split()[a : len(items[i][1].split()) - b])) for d, (i, a, b) in enumerate(cut)] + [(900, "i0w0 i0w1 i0w2"), (901, "")]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    wanted = {}
+    for d, (i, a, b) in enumerate(cut):
+        whole = len(items[i][1].split()) - 4
+        left = whole - a - b
+        if left > 0 and left / whole >= 0.8:
+            wanted[d] = (i, 0, left + 4, round(left / whole, 9))
+    found = [(r.doc_id, (r.item_id, r.at, r.n_words, round(r.similarity, 9))) for r in decontam.matches(docs, benchmark).collect()]
+    assert dict(found) == wanted and len(found) == len(wanted)
+    assert {r.doc_id for r in decontam.clean(docs, benchmark).collect()} == {d for d, _ in rows} - set(wanted)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     for _ in range(300):
