@@ -14,8 +14,9 @@ multisets of word shingles; their weighted similarity is sum(min(counts)) / sum(
 3. The shingle multisets decide exactly.  Two multisets at 0.8 differ in 9.7 bits on average (deviation
    2.9), so a radius of 20 misses such a pair about once in 5,000; more similar ones hardly ever.
 
-Rows: items of fewer words than a shingle, and null or empty texts, take no part.  Repeated items are
-matched each.  Documents that share a doc_id are searched each and reported under that id.
+Rows: items of fewer words than a shingle, and null or empty texts, take no part.  Documents and items
+are numbered by row, so repeated items are matched each, documents that share a doc_id are searched each
+and reported under that id, and rows without an id are searched and reported with a null id.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def _hits(docs: DataFrame, items: DataFrame, rule: Settings) -> DataFrame:
                     [pa.array(ids[doc], pa.int64()), pa.array(at - first[doc]), pa.array(elements[at].view(np.int64))], ["doc_id", "at", "element"]
                 )
 
-    found = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, at long, element long")
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, at long, element long")
     of_items = items.select("item_id", "n", F.explode(F.array_distinct("elements")).alias("element"))
     return (
         found.distinct().join(of_items, "element").groupBy("doc_id")
@@ -118,8 +119,24 @@ def _starts(at: np.ndarray, size: int, rule: Settings, count: int) -> np.ndarray
     return np.unique(np.minimum(at[enough], last))
 
 
+def _numbered(df: DataFrame, row: str, name: str) -> DataFrame:
+    """df, stored with a number for each row."""
+    return keep(df.withColumn(row, F.monotonically_increasing_id()), name)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rule: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, at (word the window starts at), n_words (of the window), similarity of each window that reaches the similarity."""
+    rows = _numbered(docs.select("doc_id", "text"), "row", "decontam-rows")
+    items = _numbered(benchmark.select("item_id", "text"), "item", "decontam-benchmark")
+    found = _matches(rows.select(F.col("row").alias("doc_id"), "text"), items.select(F.col("item").alias("item_id"), "text"), rule)
+    return (
+        found.withColumnsRenamed({"doc_id": "row", "item_id": "item"}).join(rows.select("row", "doc_id"), "row").join(items.select("item", "item_id"), "item")
+        .select("doc_id", "item_id", "at", "n_words", "similarity").distinct()
+    )
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, rule: Settings) -> DataFrame:
+    """As `matches`, of documents and items whose ids are unique and not null."""
     items = keep(_items(benchmark, rule), "decontam-items")
     places = keep(_hits(docs, items, rule), "decontam-places")
 
@@ -188,5 +205,11 @@ def blocked(df: DataFrame, rule: Settings) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rule: Settings = Settings()) -> DataFrame:
-    """The documents in which no item is found."""
-    return docs.join(matches(docs, benchmark, rule).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The documents in which no item is found; each row is judged by its own text, with or without an id."""
+    row = "row"
+    while row.lower() in (c.lower() for c in docs.columns):
+        row += "_"
+    rows = _numbered(docs, row, "decontam-rows")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_id"), "text")
+    found = _matches(rows.select(F.col(row).alias("doc_id"), "text"), items, rule)
+    return rows.join(found.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ the columns of documents, so stages can be left out or run one by one.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from busnet.llm import bpe, decontam, langid, lines, minhash
 from busnet.llm.queries import RANKS
@@ -35,10 +35,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    """One document of each group of near duplicates: the one with the smallest doc_id.
+
+    Rows without a doc_id, and all but one of those that share one, are documents of their own that come after the others.
+    """
     configure(spark)
-    copies = minhash.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    rows = keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "near-rows")
+    first = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
+    more = keep(rows.select("row").join(first, "row", "left_anti"), "near-more")
+    if more.isEmpty():
+        rows = rows.withColumn("own", F.col("doc_id"))
+    else:
+        # numbered without gaps behind the greatest doc_id, which may be close to the end of its type
+        part, last = F.shiftright("row", 33), rows.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        sizes = rows.groupBy(part.alias("part")).count()
+        starts = sizes.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("start"))
+        place = F.col("start") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+        more = more.withColumn("part", part).join(starts, "part").select("row", (F.lit(last).cast("long") + 1 + place).alias("own"))
+        rows = keep(rows.join(more, "row", "left").withColumn("own", F.coalesce("own", "doc_id")), "near-rows")
+    copies = minhash.near_duplicates(rows.select(F.col("own").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("own"))
+    return rows.join(copies, "own", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from busnet.llm import bpe, decontam, langid, lines, minhash, secrets, sharding, suffix, topk, toxicity
 
 LONG = "many words of one long text " * 4000
@@ -93,6 +94,27 @@ def test_decontamination(spark, docs):
     assert decontam.clean(full, benchmark).count() == len(ROWS)
 
 
+def test_stages_without_ids(spark):
+    """Rows without a doc_id, or with one that other rows have, in the stages that remove documents."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [
+        (1, text(1)), (None, text(1)), (None, text(1) + " more"), (2, text(2)), (2, text(2)), (None, text(3)), (None, text(3)),
+        (4, text(4)), (4, text(1)), (-5, text(5)), (None, None), (None, None), (7, text(7)), (2**63 - 40, text(8)),
+    ]
+    columns = [F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select("*", *columns)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    # which of the two rows of doc_id 4 keeps that id is open; the text of row 1 stays once in either case
+    wanted = [(1, text(1)), (2, text(2)), (None, text(3)), (4, text(4)), (-5, text(5)), (None, None), (None, None), (7, text(7)), (2**63 - 40, text(8))]
+    assert pairs(corpus_pipeline.near_dedup(spark, docs, "")) == sorted(wanted, key=str)
+
+    benchmark = spark.createDataFrame([(None, text(3)), (1, text(2)), (1, text(7))], "item_id long, text string")
+    left = [(d, t) for d, t in rows if t not in (text(2), text(3), text(7))]
+    assert pairs(decontam.clean(docs, benchmark)) == sorted(left, key=str)
+    found = {(r.doc_id, r.item_id) for r in decontam.matches(docs, benchmark).collect()}
+    assert found == {(None, None), (2, 1), (7, 1)}
+
+
 def test_secrets(spark, docs):
     full, empty = both(docs)
     assert secrets.scan(full, F.col("source"), F.col("lang")).filter("spans <> ''").count() == 0
