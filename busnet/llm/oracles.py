@@ -129,5 +129,72 @@ LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+# CRC-32 of a text of ASCII characters: the table of 256 entries is made from its polynomial
+_CRC_TABLE = """
+    list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"""
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+        lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8)))"""
+
+
+# One row per turn read and state of the role grammar: the cheapest edits so far, with their least letters.
+OP11 = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS entries),
+o AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS lot
+    FROM conversations, crc),
+d AS (
+    SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE lot WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM o),
+n AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM d)),
+t AS (
+    SELECT *, left(role, 1) AS initial, CASE WHEN shown = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM n),
+fill(s, z) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+keep(s, initial, z) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+pre AS (SELECT s, s AS m, '' AS letters, 0 AS cost, []::VARCHAR[] AS made FROM fill UNION ALL
+    SELECT s, z, 'I', 3, [CASE z WHEN 2 THEN 'user:' ELSE 'assistant:' END] FROM fill),
+moves AS (
+    SELECT p.s, k.z, letters || 'K' AS letters, cost, made, k.initial, 'K' AS edit FROM pre p JOIN keep k ON k.s = p.m UNION ALL
+    SELECT p.s, f.z, letters || 'R', cost + 3, made, NULL, 'R' FROM pre p JOIN fill f ON f.s = p.m UNION ALL
+    SELECT p.s, p.m, letters || 'D', cost + 4, made, NULL, 'D' FROM pre p),
+p AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, 0 AS s, 0 AS cost, '' AS audit, []::VARCHAR[] AS made FROM conversations
+    UNION ALL
+    SELECT conv_id, i, s, cost, audit, made FROM (
+        SELECT p.conv_id, t.i, m.z AS s, p.cost + m.cost + CASE WHEN m.edit <> 'D' AND t.fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+            p.audit || m.letters AS audit,
+            p.made || m.made || CASE m.edit WHEN 'K' THEN [t.role || ':' || t.text]
+                WHEN 'R' THEN [CASE m.z WHEN 2 THEN 'user:' ELSE 'assistant:' END || t.text] ELSE [] END AS made
+        FROM p JOIN t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1
+        JOIN moves m ON m.s = p.s AND (m.edit = 'D' OR t.fault NOT IN ('blank', 'duplicate') AND (m.edit = 'R' OR m.initial = t.initial)))
+    QUALIFY row_number() OVER (PARTITION BY conv_id, s ORDER BY cost, audit) = 1),
+z AS (
+    SELECT conv_id, i, cost + CASE s WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END AS cost, audit || CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+        made || CASE s WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END AS made
+    FROM p),
+best AS (
+    SELECT z.* FROM z JOIN (SELECT conv_id, max(i) AS i FROM p GROUP BY conv_id) l ON l.conv_id IS NOT DISTINCT FROM z.conv_id AND l.i = z.i
+    QUALIFY row_number() OVER (PARTITION BY z.conv_id ORDER BY cost, audit) = 1),
+c AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+        count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (step IS NOT NULL AND step NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS step FROM t) GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+    coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, cost::BIGINT AS cost, audit,
+    sha256(array_to_string(made, chr(10))) AS repaired_sha256
+FROM best LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1, "op3_secrets": OP3, "op4_suffix": OP4, "op5_minhash": OP5, "op7_lines": OP7}
+    return {"op1_topk": OP1, "op3_secrets": OP3, "op4_suffix": OP4, "op5_minhash": OP5, "op7_lines": OP7, "op11_conversations": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from busnet.llm import bpe, decontam, langid, lines, minhash, secrets, sharding, suffix, topk, toxicity
+from busnet.llm import bpe, conversations, decontam, langid, lines, minhash, secrets, sharding, suffix, topk, toxicity
 from busnet.session import configure, keep
 
 #: Rank file of the byte-level BPE; any other file of that form can be given to `bpe`.
@@ -74,6 +74,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.documents_to_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repaired = conversations.summary(conversations.repair(conversations.damaged(turns)))
+    every = turns.select("conv_id").distinct()
+    found = every.join(repaired.withColumnRenamed("conv_id", "id"), F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -86,4 +97,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
+        "op11_conversations": op11_conversations,
     }
