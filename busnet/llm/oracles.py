@@ -196,5 +196,42 @@ FROM best LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id
 """
 
 
+def _op12(rounds: int = 10) -> str:
+    """Each round measures every vector against every centroid."""
+    parts = ["""
+    v AS MATERIALIZED (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v, row_number() OVER () AS row
+        FROM embeddings
+        WHERE len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+    c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c, v AS m
+        FROM v QUALIFY c < 8)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+    a{i} AS MATERIALIZED (
+        SELECT row, vec_id, v, c, m, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance
+        FROM v, c{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, c) = 1)""")
+        if i < rounds:
+            parts.append(f"""
+    s{i} AS (
+        SELECT c, j, sum(x::BIGINT)::HUGEINT AS s, count(*)::HUGEINT AS n
+        FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS j FROM a{i}) GROUP BY c, j),
+    c{i + 1} AS MATERIALIZED (
+        SELECT c, list((CASE WHEN s < 0 THEN -((-s + n - 1) // n) ELSE s // n END)::DOUBLE ORDER BY j) AS m FROM s{i} GROUP BY c
+        UNION ALL SELECT c, m FROM c{i} WHERE c NOT IN (SELECT c FROM s{i}))""")
+    return f"""
+WITH {", ".join(parts)}
+SELECT vec_id, c::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+    (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(list_transform(m, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM a{rounds}
+"""
+
+
+OP12 = _op12()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1, "op3_secrets": OP3, "op4_suffix": OP4, "op5_minhash": OP5, "op7_lines": OP7, "op11_conversations": OP11}
+    return {
+        "op1_topk": OP1, "op3_secrets": OP3, "op4_suffix": OP4, "op5_minhash": OP5, "op7_lines": OP7, "op11_conversations": OP11,
+        "op12_centroids": OP12,
+    }

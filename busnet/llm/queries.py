@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from busnet.llm import bpe, conversations, decontam, langid, lines, minhash, secrets, sharding, suffix, topk, toxicity
+from busnet.llm import bpe, centroids, conversations, decontam, langid, lines, minhash, secrets, sharding, suffix, topk, toxicity
 from busnet.session import configure, keep
 
 #: Rank file of the byte-level BPE; any other file of that form can be given to `bpe`.
@@ -85,6 +85,11 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, found, _ = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(members, found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -98,4 +103,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": op9_bpe,
         "op10_sharding": op10_sharding,
         "op11_conversations": op11_conversations,
+        "op12_centroids": op12_centroids,
     }
