@@ -230,8 +230,64 @@ FROM a{rounds}
 OP12 = _op12()
 
 
+# measure, its cutoffs from lenient to strict
+_RULES = [
+    ("symbols", [300, 200, 150, 100, 70, 50, 30, 20, 10, 5]),
+    ("repeated_lines", [800, 600, 500, 400, 300, 200, 150, 100, 50]),
+    ("repeated_words", [250, 200, 150, 100, 70, 50, 30]),
+    ("breadth", [200, 150, 120, 110, 100, 95, 90, 85, 80, 75, 70]),
+    ("shouting", [900, 700, 500, 400, 300, 200, 150, 100]),
+]
+_GRID = ", ".join(f"('{name}', {i}, {c})" for name, cutoffs in _RULES for i, c in enumerate(cutoffs))
+
+OP13 = rf"""
+WITH crc AS (SELECT {_CRC_TABLE} AS entries),
+t AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l FROM t),
+g AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
+r AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+c AS (SELECT row, sum(least(8, i - before))::BIGINT AS n FROM (SELECT row, i, lag(i, 1, -8) OVER (PARTITION BY row ORDER BY i) AS before FROM r) GROUP BY row),
+m AS (
+    SELECT row, doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+        coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS upper
+    FROM w LEFT JOIN c USING (row)),
+s AS (
+    SELECT *, coalesce(n_symbols * 1000 // nullif(word_chars, 0), 0) AS symbols, coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0) AS repeated_lines,
+        coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeated_words, coalesce(word_chars * 10 // nullif(n_words, 0), 0) AS breadth,
+        coalesce(upper * 1000 // nullif(word_chars, 0), 0) AS shouting
+    FROM m),
+u AS (UNPIVOT (SELECT row, doc_id, stratum, symbols::BIGINT AS symbols, repeated_lines::BIGINT AS repeated_lines, repeated_words::BIGINT AS repeated_words,
+        breadth::BIGINT AS breadth, shouting::BIGINT AS shouting FROM s) ON symbols, repeated_lines, repeated_words, breadth, shouting INTO NAME rule VALUE x),
+grid(rule, place, cutoff) AS (VALUES {_GRID}),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (
+    SELECT stratum, rule, place, cutoff,
+        count(*) FILTER (half = 0 AND quality = 0 AND x > cutoff) - 5 * count(*) FILTER (half = 0 AND quality > 0 AND x > cutoff) AS gain,
+        count(*) FILTER (half = 1 AND quality > 0) AS n, count(*) FILTER (half = 1 AND quality > 0 AND x > cutoff) AS k
+    FROM (SELECT u.*, q.quality, {_crc32("u.doc_id::VARCHAR")} % 2 AS half FROM crc, u JOIN q USING (doc_id)) JOIN grid USING (rule)
+    GROUP BY stratum, rule, place, cutoff),
+f AS (SELECT *, max(gain) OVER (PARTITION BY stratum, rule) AS most FROM h),
+a AS (SELECT * FROM f WHERE most > 0 QUALIFY place <= min(place) FILTER (gain = most) OVER (PARTITION BY stratum, rule)),
+b AS (
+    SELECT stratum, rule, place, cutoff, CASE WHEN k >= n * 0.01 THEN 1 ELSE (
+            SELECT sum(exp(lgamma(n + 1) - (CASE WHEN j > 0 THEN lgamma(j + 1) ELSE 0 END) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99)))
+            FROM (SELECT unnest(range(k + 1)) AS j)) END AS p
+    FROM a),
+d AS (
+    SELECT stratum, rule, cutoff, max(p) OVER (PARTITION BY stratum, rule ORDER BY place) AS worst FROM b
+    QUALIFY worst <= 0.05 / (SELECT greatest(count(*), 1) FROM (SELECT DISTINCT stratum, rule FROM a))),
+e AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM d GROUP BY stratum, rule),
+o(rule, no) AS (VALUES ('symbols', 0), ('repeated_lines', 1), ('repeated_words', 2), ('breadth', 3), ('shouting', 4)),
+z AS (SELECT row, string_agg(rule, ',' ORDER BY no) AS rejected_by FROM u JOIN e USING (stratum, rule) JOIN o USING (rule) WHERE x > cutoff GROUP BY row)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+FROM s LEFT JOIN z USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_topk": OP1, "op3_secrets": OP3, "op4_suffix": OP4, "op5_minhash": OP5, "op7_lines": OP7, "op11_conversations": OP11,
-        "op12_centroids": OP12,
+        "op12_centroids": OP12, "op13_quality": OP13,
     }

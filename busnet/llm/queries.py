@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from busnet.llm import bpe, centroids, conversations, decontam, langid, lines, minhash, secrets, sharding, suffix, topk, toxicity
+from busnet.llm import bpe, centroids, conversations, decontam, langid, lines, minhash, quality, secrets, sharding, suffix, topk, toxicity
 from busnet.session import configure, keep
 
 #: Rank file of the byte-level BPE; any other file of that form can be given to `bpe`.
@@ -90,6 +90,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(members, found)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("lang"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -104,4 +111,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_conversations": op11_conversations,
         "op12_centroids": op12_centroids,
+        "op13_quality": op13_quality,
     }
