@@ -150,8 +150,7 @@ class Codec:
 
     @staticmethod
     def _keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        lengths = np.diff(offsets).astype(np.uint64)
-        return hashing.mix(hashing.substring(hashing.prefix_sums(data), offsets[:-1], offsets[1:]) + lengths)
+        return hashing.pieces(data, offsets[:-1], offsets[1:])
 
     def resolve(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of distinct pre-tokens: those that are tokens by the perfect hash, the others merged."""

@@ -1,13 +1,16 @@
-"""Vectorised 64-bit hashes of words, shingles and substrings.
+"""Vectorised 64-bit hashes of words, lines and substrings.
 
-A substring hash is the polynomial sum of R[byte] * P^i (mod 2^64) moved to its start, R being one
-random 64-bit number per byte value and P odd; `mix` then spreads the bits.  All seeds are fixed, so
-every task of every run gives the same hashes.
+`pieces` identifies text: eight bytes at a time go through `mix`, so two pieces share a hash only by chance.
+`kgrams`, for short substrings at every position, is the polynomial sum of R[byte] * P^i (mod 2^64) moved to its
+start, R being one random 64-bit number per byte value and P odd; such sums must not identify long text, as there
+are pairs of a thousand letters on which every odd P agrees.  All seeds are fixed, so every task of every run
+gives the same hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 from busnet.llm.arrow import BLOCK
 
@@ -49,20 +52,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LANE = 8
+#: Pieces longer than this are hashed one by one.
+_LONG = 640
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(_LANE)] + [(1 << 64) - 1], np.uint64)
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end]; equal for equal bytes wherever they stand."""
+    lengths = (ends - starts).astype(np.int64)
+    out = mix(lengths.astype(np.uint64) + _KEY)
+    padded = np.concatenate([data, np.zeros(_LANE, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    long = np.flatnonzero(lengths > _LONG)
+    left = np.flatnonzero((lengths > 0) & (lengths <= _LONG))
+    at = 0
+    while len(left):
+        # the bytes of a piece that end inside the lane; the others are masked
+        lane = lanes[starts[left] + at] & _MASKS[np.minimum(lengths[left] - at, _LANE)]
+        out[left] = mix((out[left] + lane) * _KEY ^ (out[left] >> np.uint64(29)))
+        at += _LANE
+        left = left[lengths[left] > at]
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data, seed=_SEED)
+    return out
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums from which `substring` takes the hash of any piece of data; one longer than data."""
+    """Sums from which `kgrams` are taken; one longer than data."""
     out = np.zeros(len(data) + 1, np.uint64)
     power, _ = _tables(len(data))
     np.cumsum(_BYTE[data] * power, out=out[1:])
     return out
 
 
-def substring(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Unmixed hashes of data[start:end]."""
-    _, back = _tables(len(sums))
-    return (sums[ends] - sums[starts]) * back[starts]
-
-
 def kgrams(sums: np.ndarray, k: int) -> np.ndarray:
     """Mixed hash of the k bytes at each position that has as many after it, from the prefix sums."""
     _, back = _tables(len(sums))
@@ -88,7 +112,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE)
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each document and the end), A-Z lower-cased."""
     starts, ends = word_bounds(data, offsets)
-    hashes = mix(substring(prefix_sums(LOWER[data]), starts, ends)) if len(starts) else np.zeros(0, np.uint64)
+    hashes = pieces(LOWER[data], starts, ends)
     return hashes, np.searchsorted(starts, offsets)
 
 

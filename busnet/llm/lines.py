@@ -13,8 +13,10 @@ A window that a third of all documents share has one first place, so it is joine
 in pairs.
 
 Rows: null texts stay null, empty ones empty; neither has lines.  Equal rows (same doc_id and text)
-are one place, so none of them is later than the other.  Blank lines are kept and not counted; a
-document that loses its last counted line is reported with `emptied`.
+are one place, so none of them is later than the other.  Rows without a doc_id are each a document of their own,
+later than all with one, in the order they are read.  Blank lines are kept and not counted; a document that loses
+its last counted line is reported with `emptied`.  Other columns pass through, whatever their names, but for the four
+that are added.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from busnet.llm import arrow, hashing
 from busnet.session import keep
@@ -43,7 +45,18 @@ def _counted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return solid[ends] > solid[starts]
 
 
-_WINDOWS = ["doc_id", "th", "first", "key", "pick", "line"]
+def _whole(data: np.ndarray) -> np.ndarray:
+    """Hash of a whole text, as an array of one."""
+    return hashing.pieces(data, np.zeros(1, np.int64), np.full(1, len(data)))
+
+
+_WINDOWS = ["doc_id", "row", "th", "first", "key", "pick", "line"]
+_LINE = ["doc_id", "row", "th", "first"]
+
+
+def _place() -> Column:
+    """Where a line stands; documents without an id come after the others."""
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), *_LINE)
 
 
 def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -55,7 +68,7 @@ def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def windows(docs: DataFrame, run: int, lone: int | None = None) -> DataFrame:
-    """doc_id, th (hash of the text), first (counted line the window starts at), key (of its lines), pick (selected hash), line.
+    """doc_id, row, th (hash of the text), first (counted line the window starts at), key (of its lines), pick (selected hash), line.
 
     key and pick are null where too few lines follow; line is the hash of a line of `lone` words or more, else null.
     """
@@ -65,7 +78,7 @@ def windows(docs: DataFrame, run: int, lone: int | None = None) -> DataFrame:
             for block in arrow.blocks(batch):
                 data, offsets = arrow.utf8(block.column("text"))
                 parts = []
-                for doc, a, b in zip(block.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
+                for at, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
                     own = data[a:b]
                     starts, ends = _line_bounds(own)
                     some = _counted(own, starts, ends)
@@ -74,44 +87,45 @@ def windows(docs: DataFrame, run: int, lone: int | None = None) -> DataFrame:
                     rows = n if lone is None else len(starts)
                     if not rows:
                         continue
-                    sums = hashing.prefix_sums(own)
-                    line = hashing.mix(hashing.substring(sums, starts, ends) + (ends - starts).astype(np.uint64))
+                    line = hashing.pieces(own, starts, ends)
                     key, pick = np.full(n, run, np.uint64), line[:n].copy()
                     for i in range(run):
                         key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + line[i : i + n])
                         np.minimum(pick, line[i : i + n], out=pick)
-                    th = hashing.mix(sums[-1:] + np.uint64(len(own)))
+                    th = _whole(own)
                     short = np.arange(rows) >= n
                     few = np.ones(rows, bool) if lone is None else _words(own, starts, ends) < lone
                     rest = np.zeros(rows - n, np.uint64)
                     parts.append((
-                        np.full(rows, doc), np.repeat(th, rows).view(np.int64), np.arange(rows), np.concatenate([key, rest]).view(np.int64),
+                        np.full(rows, at), np.repeat(th, rows).view(np.int64), np.arange(rows), np.concatenate([key, rest]).view(np.int64),
                         np.concatenate([pick, rest]).view(np.int64), line[:rows].view(np.int64), short, few,
                     ))
-                *columns, short, few = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6 + [np.zeros(0, bool)] * 2
-                nulls = [None, None, None, short, short, few]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=m) for c, m in zip(columns, nulls)], _WINDOWS)
+                doc, *columns, short, few = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6 + [np.zeros(0, bool)] * 2
+                nulls = [None, None, short, short, few]
+                yield pa.RecordBatch.from_arrays(
+                    [block.column(n).take(pa.array(doc)) for n in ("doc_id", "row")] + [pa.array(c, pa.int64(), mask=m) for c, m in zip(columns, nulls)],
+                    _WINDOWS,
+                )
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(find, ", ".join(f"{c} long" for c in _WINDOWS))
+    return docs.select("doc_id", "row", "text").mapInArrow(find, ", ".join(f"{c} long" for c in _WINDOWS))
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """doc_id, th, first, from_doc, from_th, from_first of each of the windows that is not at its first place."""
-    found = found.filter("key IS NOT NULL")
-    place = F.struct("doc_id", "th", "first")
+    """doc_id, row, th, first and the same of its first place (from_...) of each of the windows that is not there."""
+    found, place = found.filter("key IS NOT NULL"), _place()
     # a selected line that has one place has no equal window elsewhere
     picks = found.groupBy("pick").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("pick")
     shared = found.join(picks, "pick", "left_semi")
     origin = shared.groupBy("key").agg(F.min(place).alias("from"), F.count("*").alias("n")).filter("n > 1").drop("n")
     return (
         shared.join(origin, "key").filter(place != F.col("from"))
-        .select("doc_id", "th", "first", F.col("from.doc_id").alias("from_doc"), F.col("from.th").alias("from_th"), F.col("from.first").alias("from_first"))
+        .select(*_LINE, *[F.col(f"from.{c}").alias(f"from_{c}") for c in _LINE])
     )
 
 
 def runs(matches: DataFrame, run: int) -> DataFrame:
-    """Maximal runs: doc_id, th, first and last counted line, from_doc and from_first; matches of one shift that touch are one."""
-    shift = ["doc_id", "th", "from_doc", "from_th", "shift"]
+    """Maximal runs: doc_id, row, th, first and last counted line, from_doc_id and from_first; matches of one shift that touch are one."""
+    shift = ["doc_id", "row", "th", "from_doc_id", "from_row", "from_th", "shift"]
     by = W.partitionBy(*shift).orderBy("first")
     marked = matches.withColumn("shift", F.col("first") - F.col("from_first")).withColumn(
         "new", (F.col("first") - F.lag("first").over(by) > run).cast("int")
@@ -120,17 +134,16 @@ def runs(matches: DataFrame, run: int) -> DataFrame:
     return (
         marked.withColumn("island", island).groupBy(*shift, "island")
         .agg(F.min("first").alias("first"), (F.max("first") + run - 1).alias("last"), F.min("from_first").alias("from_first"))
-        .select("doc_id", "th", "first", "last", "from_doc", "from_first")
+        .select(*_LINE, "last", "from_doc_id", "from_first")
     )
 
 
 def lone_repeats(found: DataFrame) -> DataFrame:
-    """doc_id, th, first of each long line of the windows that is not at its first place."""
-    place = F.struct("doc_id", "th", "first")
-    found = found.filter("line IS NOT NULL")
+    """doc_id, row, th, first of each long line of the windows that is not at its first place."""
+    found, place = found.filter("line IS NOT NULL"), _place()
     # a line that has one place is not joined
     origin = found.groupBy("line").agg(F.min(place).alias("from"), F.max(place).alias("last")).filter("from < last").select("line", "from")
-    return found.join(origin, "line").filter(place != F.col("from")).select("doc_id", "th", "first")
+    return found.join(origin, "line").filter(place != F.col("from")).select(*_LINE)
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -149,17 +162,26 @@ def without_repeats(docs: DataFrame, run: int = 2, lone: int | None = None) -> D
     four names are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "n_runs", "emptied")
-    spans_of, doc_of = _free(docs, "spans"), _free(docs, "doc")
-    found = keep(windows(docs, run, lone).distinct(), "line-windows")
-    cuts = runs(repeated(found), run).select("doc_id", "th", "first", "last")
+    names, schema = docs.columns, docs.schema
+    spans_of, row_of = _free(docs, "spans"), _free(docs, "row")
+    # rows without an id are places of their own, told apart by a number
+    nameless = keep(docs.filter("doc_id IS NULL").withColumn(row_of, F.monotonically_increasing_id() + 1), "line-nameless")
+    docs = docs.filter("doc_id IS NOT NULL").withColumn(row_of, F.lit(0).cast("long")).unionByName(nameless)
+    plain = docs.select("doc_id", F.col(row_of).alias("row"), "text")
+    found = keep(windows(plain, run, lone).distinct(), "line-windows")
+    cuts = runs(repeated(found), run).select(*_LINE, "last")
     if lone is not None:
         cuts = cuts.union(lone_repeats(found).withColumn("last", F.col("first")))
     spans = (
-        cuts.groupBy("doc_id")
-        .agg(F.collect_list(F.struct("th", "first", "last")).alias(spans_of)).withColumnRenamed("doc_id", doc_of)
+        cuts.groupBy(F.col("doc_id").alias("_of"), F.col("row").alias("_row"))
+        .agg(F.collect_list(F.struct("th", "first", "last")).alias(spans_of))
     )
-    joined = docs.join(spans, F.col("doc_id") == F.col(doc_of), "left").drop(doc_of)
-    names = docs.columns
+    for own in ("_of", "_row"):
+        spans = spans.withColumnRenamed(own, _free(docs, own))
+    of, number = spans.columns[:2]
+    # with an id the row is 0, without one the row decides
+    here = F.coalesce("doc_id", F.lit(0)) == F.coalesce(of, F.lit(0))
+    joined = docs.join(spans, here & (F.col(row_of) == F.col(number)), "left").drop(of, number, row_of)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +197,7 @@ def without_repeats(docs: DataFrame, run: int = 2, lone: int | None = None) -> D
                     gone = np.zeros(len(lines), bool)
                     mine = []
                     if spans[i] and len(lines):
-                        th = int(hashing.mix(hashing.prefix_sums(own)[-1:] + np.uint64(len(own))).view(np.int64)[0])
+                        th = int(_whole(own).view(np.int64)[0])
                         mine = sorted((s["first"], s["last"]) for s in spans[i] if s["th"] == th)
                     for first, last in mine:
                         gone[first : last + 1] = True
@@ -196,5 +218,5 @@ def without_repeats(docs: DataFrame, run: int = 2, lone: int | None = None) -> D
                     [*columns, *(pa.array(c, pa.int64()) for c in counts), pa.array(emptied)], [*names, "n_lines", "n_removed", "n_runs", "emptied"]
                 )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return joined.mapInArrow(cut, f"{fields}, n_lines long, n_removed long, n_runs long, emptied boolean")

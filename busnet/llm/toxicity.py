@@ -62,15 +62,15 @@ def tokens(block: pa.RecordBatch, settings: Settings) -> tuple[np.ndarray, np.nd
     slots = np.full((1 + len(settings.beginnings), len(starts)), -1, np.int64)
     if not len(starts):
         return slots, np.zeros(len(offsets), np.int64), starts, ends
-    sums = hashing.prefix_sums(hashing.LOWER[data])
+    lower = hashing.LOWER[data]
     lead = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of code points
     first = np.searchsorted(lead, starts)
     size = np.uint64(settings.slots)
-    slots[0] = (hashing.mix(hashing.substring(sums, starts, ends)) % size).astype(np.int64)
+    slots[0] = (hashing.pieces(lower, starts, ends) % size).astype(np.int64)
     for level, points in enumerate(settings.beginnings, 1):
         stop = lead[np.minimum(first + points, len(lead) - 1)]
         longer = (first + points < len(lead)) & (stop < ends)
-        part = hashing.substring(sums, starts[longer], stop[longer]) + np.uint64(points * 0x10001)
+        part = hashing.pieces(lower, starts[longer], stop[longer]) + np.uint64(points * 0x10001)
         slots[level, longer] = (hashing.mix(part) % size).astype(np.int64)
     return slots, np.searchsorted(starts, offsets), starts, ends
 
