@@ -6,13 +6,17 @@ votes; one for each pair of languages of that family decides the language.  The
 by dual coordinate descent on a bounded sample of labelled rows (`Settings.sample` per language,
 chosen by a hash of doc_id); nothing else depends on a sample.
 
+`least_score` gives a cutoff for the confidence that texts of a known language hardly ever fall below.
+
 Rows: `und` with score 0 if the text is null or has no letter.  A document of any length is read
 whole, in pieces.  Rows with a null lang are not learned from.  With one language only, that one is
-predicted.
+predicted.  Repeated rows are each predicted, and learned from if drawn; columns of the names lang_pred and score are
+replaced, all others pass through.  An empty table gives none, and no model.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -44,6 +48,8 @@ class Settings:
     epochs: int = 12
     #: Code points of a text looked at together.
     piece: int = 1 << 19
+    #: Ids of the sample that are broadcast at most; more (thousands of languages) are joined by a shuffle.
+    most_ids: int = 1 << 20
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -180,7 +186,11 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model | None:
         .withColumn("at", F.row_number().over(every)).filter(F.col("at") <= settings.sample)
         .select("doc_id", "lang").distinct()
     )
-    chosen = labelled.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"], "left_semi")
+    # the ids are few (a sample for each language), and counted before they go to every task
+    ids = keep(ids, "language-sample")
+    chosen = labelled.select("doc_id", "text", "lang").join(
+        F.broadcast(ids) if ids.count() <= settings.most_ids else ids, ["doc_id", "lang"], "left_semi"
+    )
 
     def run(batches):
         for batch in batches:
@@ -201,6 +211,30 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model | None:
     return Model(x, np.array([lang for lang, _ in learned]), settings)
 
 
+def _tail(n: int, k: int, share: float) -> float:
+    """P(Bin(n, share) <= k)."""
+    log = lambda j: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(share) + (n - j) * math.log1p(-share)
+    return math.fsum(math.exp(log(j)) for j in range(k + 1))
+
+
+def least_score(labelled: DataFrame, model: Model | None, risk: float = 0.001, level: float = 0.05) -> float:
+    """The greatest score, in steps of a thousandth, below which a text of known language falls with at most `risk`.
+
+    labelled (doc_id, text, lang) must be rows the model has not learned from; those that it names rightly count.
+    The bound is an exact binomial one and holds with probability 1 - level; 0 if there are too few rows to give any.
+    """
+    scored = predict(labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL"), model)
+    step = F.floor(F.col("score") * 1000).cast("int")
+    counts = {r["step"]: r["n"] for r in scored.filter("lang = lang_pred").groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    n, k, found = sum(counts.values()), 0, 0
+    for s in range(1, 1001):
+        k += counts.get(s - 1, 0)
+        if k >= n * risk or _tail(n, k, risk) > level:
+            break
+        found = s
+    return found / 1000
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred and score; other columns stay (own columns of these names are replaced)."""
     docs = docs.drop("lang_pred", "score")

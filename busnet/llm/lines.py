@@ -31,6 +31,8 @@ from busnet.llm import arrow, hashing
 from busnet.session import keep
 
 _NEWLINE = 10
+#: Words from which on a single repeated line is deleted too, in the query and the pipeline.
+LONE = 13
 
 
 def _line_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

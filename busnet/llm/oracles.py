@@ -115,8 +115,12 @@ c AS (
     FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 w AS (SELECT doc_id, n, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM c),
 f AS (SELECT *, first_value(struct_pack(doc_id := doc_id, n := n)) OVER (PARTITION BY a, b ORDER BY doc_id, n) AS place FROM w WHERE b IS NOT NULL),
+o AS (
+    SELECT doc_id, n, first_value(struct_pack(doc_id := doc_id, n := n)) OVER (PARTITION BY line ORDER BY doc_id, n) AS place
+    FROM c WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 13),
 r AS (
-    SELECT DISTINCT doc_id, unnest([n, n + 1]) AS n FROM f WHERE place <> struct_pack(doc_id := doc_id, n := n)),
+    SELECT doc_id, unnest([n, n + 1]) AS n FROM f WHERE place <> struct_pack(doc_id := doc_id, n := n)
+    UNION SELECT doc_id, n FROM o WHERE place <> struct_pack(doc_id := doc_id, n := n)),
 g AS (SELECT doc_id, n, lag(n) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM r),
 t AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR n - before > 1) AS n_runs FROM g GROUP BY doc_id),
 k AS (
@@ -243,12 +247,15 @@ _GRID = ", ".join(f"('{name}', {i}, {c})" for name, cutoffs in _RULES for i, c i
 OP13 = rf"""
 WITH crc AS (SELECT {_CRC_TABLE} AS entries),
 t AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^ 	-]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l FROM t),
+w AS (SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS l FROM t),
 g AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM w)),
 r AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
 c AS (SELECT row, sum(least(8, i - before))::BIGINT AS n FROM (SELECT row, i, lag(i, 1, -8) OVER (PARTITION BY row ORDER BY i) AS before FROM r) GROUP BY row),
 m AS (
-    SELECT row, doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-]', '', 'g'))::BIGINT AS word_chars,
+    SELECT row, doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[ 	-
+]', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g')) AS upper
     FROM w LEFT JOIN c USING (row)),

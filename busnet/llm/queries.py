@@ -54,7 +54,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), lone=lines.LONE)
     return docs.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

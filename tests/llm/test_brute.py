@@ -247,6 +247,11 @@ def test_pipeline(spark, documents):
             if key in seen:
                 gone |= {a, b}
             seen.add(key)
+        for a in counted:
+            if len(all_lines[a].split()) >= 13:
+                if all_lines[a] in seen:
+                    gone.add(a)
+                seen.add(all_lines[a])
         if not counted or gone != set(counted):
             cut[doc] = "\n".join(x for i, x in enumerate(all_lines) if i not in gone)
     root = _components({d: _shingles(t, 5) for d, t in cut.items()}, 80)

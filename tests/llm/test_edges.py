@@ -115,6 +115,48 @@ def test_stages_without_ids(spark):
     assert found == {(None, None), (2, 1), (7, 1)}
 
 
+def test_greatest_id(spark):
+    """The greatest id beside rows without one."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(2**63 - 1, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (-(2**63), text(3)), (2**63 - 1, text(3))]
+    columns = [F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select("*", *columns)
+    found = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted([(2**63 - 1, text(1)), (None, text(2)), (-(2**63), text(3))], key=str)
+
+
+def test_lines_without_ids(spark):
+    """Rows without an id are later than all others, and each a document of its own."""
+    text = "first line\nsecond line\nthird line"
+    rows = [(None, text), (None, text), (0, text), (None, "alpha\nbeta"), (None, "alpha\nbeta"), (None, "alpha\nbeta\nfirst line"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("row", F.lit(7)).withColumn("_of", F.lit(7))
+    found = lines.without_repeats(docs)
+    assert set(docs.columns) < set(found.columns) and {r.row for r in found.collect()} == {7}
+    cut = by_id(found, "text", "emptied")
+    assert cut[0] == [(text, False)]
+    assert sorted(cut[None], key=str) in (
+        sorted([("", True)] * 3 + [("alpha\nbeta", False), ("first line", False), (None, False)], key=str),
+        sorted([("", True)] * 4 + [("alpha\nbeta\nfirst line", False), (None, False)], key=str),
+    )
+
+
+def test_language_stage(spark, docs):
+    """Without any label the documents with letters stay; with many, the cutoff rejects few of the right ones."""
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, nothing, "")
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(d or 0 for d, t in ROWS if t and any(c.isalpha() for c in t))
+    assert corpus_pipeline.language(spark, nothing.limit(0), "").count() == 0
+    words = {"en": "the house stands near river bank where water flows", "fr": "la maison est pres de la riviere ou coule eau"}
+    rows = [(i, " ".join(words[k].split()[j:] + words[k].split()[:j]) + f" {i}", k) for i in range(9000) for j in [i % 7] for k in [("en", "fr")[i % 2]]]
+    rows.append((10**6, "zq xv kj qx wz jq", None))
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(some.filter(~langid.held_out()))
+    least = langid.least_score(some.filter(langid.held_out()), model, risk=0.01)
+    scores = [r.score for r in langid.predict(some, model).collect() if r.lang == r.lang_pred]
+    assert 0.5 < least and sum(s < least for s in scores) <= 0.01 * len(scores)
+    assert langid.least_score(some.limit(20), model) == 0.0 and langid.least_score(some.limit(0), model) == 0.0
+
+
 def test_secrets(spark, docs):
     full, empty = both(docs)
     assert secrets.scan(full, F.col("source"), F.col("lang")).filter("spans <> ''").count() == 0
