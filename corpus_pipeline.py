@@ -7,7 +7,7 @@ the columns of documents, so stages can be left out or run one by one.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from busnet.llm import bpe, decontam, langid, lines, minhash
 from busnet.llm.queries import RANKS
@@ -17,44 +17,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled ones are in; without a letter there is none.
+    """Documents with letters whose language is predicted with some confidence; without labels, all with letters.
 
-    A missing lang is filled in; a given one stays.
+    The least confidence is that of `langid.least_score` on the labelled rows held back from learning.  A missing lang is
+    filled in; a given one stays.
     """
     configure(spark)
     model = langid.fit(docs.filter(~langid.held_out()))
-    known = langid.predict(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != langid.UNKNOWN)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    least = langid.least_score(docs.filter(langid.held_out()), model)
+    known = langid.predict(docs.select(*COLUMNS), model).filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without runs of lines that stand earlier in the corpus; documents that lose all lines go."""
+    """Texts without long lines and runs of lines that stand earlier in the corpus; documents that lose all lines go."""
     configure(spark)
-    cut = lines.without_repeats(docs.select(*COLUMNS)).filter(~F.col("emptied"))
+    cut = lines.without_repeats(docs.select(*COLUMNS), lone=lines.LONE).filter(~F.col("emptied"))
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id.
 
-    Rows without a doc_id, and all but one of those that share one, are documents of their own that come after the others.
+    Rows without a doc_id come after the others; of those that share one, or have none, one stays.
     """
     configure(spark)
+    # groups are found by a number for each row, whatever the ids are
     rows = keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "near-rows")
-    first = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("row")).select("row")
-    more = keep(rows.select("row").join(first, "row", "left_anti"), "near-more")
-    if more.isEmpty():
-        rows = rows.withColumn("own", F.col("doc_id"))
-    else:
-        # numbered without gaps behind the greatest doc_id, which may be close to the end of its type
-        part, last = F.shiftright("row", 33), rows.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
-        sizes = rows.groupBy(part.alias("part")).count()
-        starts = sizes.select("part", (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("start"))
-        place = F.col("start") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-        more = more.withColumn("part", part).join(starts, "part").select("row", (F.lit(last).cast("long") + 1 + place).alias("own"))
-        rows = keep(rows.join(more, "row", "left").withColumn("own", F.coalesce("own", "doc_id")), "near-rows")
-    copies = minhash.near_duplicates(rows.select(F.col("own").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("own"))
-    return rows.join(copies, "own", "left_anti").select(*COLUMNS)
+    groups = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = (
+        groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("first")).select("first.row")
+    )
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
