@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from busnet.functions import geo
 from busnet.functions.tags import NODE, WAY, element_label
+from busnet.operators import ids
 from busnet.operators.routes import is_position_role
 from busnet.session import cut_lineage
 
@@ -236,22 +237,17 @@ def best_projection(feet: DataFrame, stops: DataFrame, routes: DataFrame) -> Dat
     )
 
 
-def _point_id() -> Column:
-    return F.xxhash64("x", "y")
+def position_points(best: DataFrame) -> DataFrame:
+    """d_routes_position: each projected point once, numbered by its place, with the number of routes that stop there."""
+    visits = best.select("rel_osm_id", "x", "y").distinct()
+    points = visits.groupBy("x", "y").agg(F.count("*").cast("int").alias("number_of_routes"))
+    return ids.numbered(points, ["x", "y"]).select("id", "x", "y", "number_of_routes")
 
 
-def route_stop_positions(best: DataFrame) -> DataFrame:
+def route_stop_positions(best: DataFrame, points: DataFrame) -> DataFrame:
     """d_route_stop_positions: distinct (route_osm_id, pos, x, y)."""
-    return best.select(
-        F.col("rel_osm_id").alias("route_osm_id"), _point_id().alias("pos"), "x", "y"
-    ).distinct()
-
-
-def position_points(rows: DataFrame) -> DataFrame:
-    """d_routes_position: each projected point once, with the number of routes that stop there."""
-    return rows.groupBy("x", "y").agg(F.count("*").cast("int").alias("number_of_routes")).select(
-        _point_id().alias("id"), "x", "y", "number_of_routes"
-    )
+    visits = best.select(F.col("rel_osm_id").alias("route_osm_id"), "x", "y").distinct()
+    return visits.join(points.select(F.col("id").alias("pos"), "x", "y"), ["x", "y"]).select("route_osm_id", "pos", "x", "y")
 
 
 def positions_by_route(rows: DataFrame) -> DataFrame:

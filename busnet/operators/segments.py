@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from busnet.functions import geo
 from busnet.functions.tags import WAY
-from busnet.operators.graph import connected_components
+from busnet.operators import ids, noding, ranking
 from busnet.operators.routes import path_members
 from busnet.session import cut_lineage
 
-# executors need not have this package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _SHAPE = ["shape_a", "shape_b"]
 _SET = ["set_a", "set_b"]
 
@@ -102,79 +94,39 @@ def _edges(sets: DataFrame, shapes: DataFrame) -> DataFrame:
     )
 
 
-def _walk(flat: np.ndarray) -> list[float]:
-    """Order the edges [ax, ay, bx, by, ...] of one path or ring into a vertex sequence."""
-    edges = [((e[0], e[1]), (e[2], e[3])) for e in np.asarray(flat).reshape(-1, 4).tolist()]
-    at: dict = {}
-    for i, (a, b) in enumerate(edges):
-        at.setdefault(a, []).append(i)
-        at.setdefault(b, []).append(i)
-    ends = [v for v, touching in at.items() if len(touching) == 1]
-    here = min(ends or at)
-    line, used = [here], set()
-    while True:
-        step = next((i for i in sorted(at[here]) if i not in used), None)
-        if step is None:
-            break
-        used.add(step)
-        a, b = edges[step]
-        here = b if here == a else a
-        line.append(here)
-    return [c for v in line for c in v]
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _walk_udf(flat: pd.Series) -> pd.Series:
-    return flat.map(_walk)
-
+def street_lines(sets: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(set_a, set_b, line, u, v, d): the edges of each merged line in order, see `ranking.ranked`.
 
-_walk_udf = _walk_udf.asNondeterministic()
+    Edges of one set are split where they cross or touch; those that then meet at a vertex no third edge of the set
+    touches belong to one line.
+    """
+    edges = cut_lineage(_edges(sets, shapes))
+    return ranking.ranked(noding.noded(edges, _SET), _SET)
 
 
-def segments_merged(sets: DataFrame, shapes: DataFrame) -> DataFrame:
+def segments_merged(sets: DataFrame, lines: DataFrame) -> DataFrame:
     """d_ways plus its set key: (id, set_a, set_b, max_diameter, number_of_routes, n_edges, length, geom).
 
-    Edges of one set that meet at a vertex no third edge of the set touches belong to one line.
-    `length` is the planar Web Mercator length.  A line's vertices are put in order from its own
-    edges only, the one place where they must sit together (they are one value of the result).
+    `length` is the planar Web Mercator length.  The vertices of a line sit together only here, as they are one value
+    of the result; `ranking.vertices` is their row form.  Ids are numbered by least vertex and last edge.
     """
-    sets = cut_lineage(sets)
-    edge_id = F.struct(*_fingerprint(["p", "q"], *(F.col(c) for c in (*_SET, "a", "b"))))
-    edges = cut_lineage(_edges(sets, shapes).withColumn("eid", edge_id))
-    at_vertex = (
-        edges.select(*_SET, "eid", F.explode(F.array("a", "b")).alias("v"))
-        .groupBy(*_SET, "v")
-        .agg(F.count("*").alias("n"), F.min("eid").alias("src"), F.max("eid").alias("dst"))
-    )
-    component = connected_components(at_vertex.filter("n = 2").select("src", "dst"))
-    a, b = F.col("a"), F.col("b")
+    a, b = F.col("u"), F.col("v")
     dx = geo.mercator_x(b["lon"]) - geo.mercator_x(a["lon"])
     dy = geo.mercator_y(b["lat"]) - geo.mercator_y(a["lat"])
-    lines = (
-        edges.join(component.withColumnRenamed("id", "eid"), "eid", "left")
-        .withColumn("line", F.coalesce("component", "eid"))
-        .groupBy(*_SET, "line")
-        .agg(
-            F.count("*").cast("int").alias("n_edges"),
-            F.sum(F.sqrt(dx * dx + dy * dy)).alias("length"),
-            F.flatten(
-                F.sort_array(F.collect_list(F.array(a["lon"], a["lat"], b["lon"], b["lat"])))
-            ).alias("flat"),
-        )
-    )
-    walked = _walk_udf("flat")
-    vertices = F.transform(
-        F.sequence(F.lit(0), (F.size("w") / 2 - 1).cast("int")),
-        lambda i: geo.point(F.get("w", i * 2), F.get("w", i * 2 + 1)),
+    merged = lines.groupBy(*_SET, "line").agg(
+        F.count("*").cast("int").alias("n_edges"),
+        F.sum(F.sqrt(dx * dx + dy * dy)).alias("length"),
+        F.array_sort(F.collect_list(F.struct(F.negative("d").alias("d"), "u"))).alias("path"),
+        F.min(F.struct("d", "v")).alias("last"),
+        F.min(F.least("u", "v")).alias("low"),
     )
     facts = sets.select(*_SET, "max_diameter", "number_of_routes").dropDuplicates(_SET)
-    return (
-        lines.withColumn("w", walked)
-        .join(facts, _SET)
-        .select(
-            F.xxhash64(*_SET, "line").alias("id"), *_SET, "max_diameter", "number_of_routes",
-            "n_edges", "length", vertices.alias("geom"),
-        )
+    rows = merged.join(facts, _SET).select(
+        *_SET, "line", "low", "max_diameter", "number_of_routes", "n_edges", "length",
+        F.concat(F.transform("path", lambda p: p["u"]), F.array("last.v")).alias("geom"),
+    )
+    return ids.numbered(rows, ["low", *_SET, "line"]).select(
+        "id", *_SET, "max_diameter", "number_of_routes", "n_edges", "length", "geom"
     )
 
 

@@ -46,6 +46,7 @@ FROM orders
     "fx_relation_members_route": """
 SELECT -(l_orderkey + 1) AS rel_osm_id,
   CASE WHEN l_returnflag = 'R' AND l_orderkey % 40 = 0 THEN 3000000000000000 + 2 * CAST(floor(l_orderkey / 40) AS BIGINT) + j
+       WHEN l_returnflag = 'R' AND l_orderkey % 40 = 8 THEN 4000000000000000 + 4 * CAST(floor(l_orderkey / 40) AS BIGINT) + (l_linenumber + j) % 4
        WHEN l_returnflag = 'R' THEN 1000000000000000 + 2 * l_suppkey + j
        WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN l_suppkey
        ELSE l_partkey END AS member_osm_id,
@@ -57,7 +58,7 @@ SELECT -(l_orderkey + 1) AS rel_osm_id,
   CASE WHEN l_returnflag = 'R' OR (l_returnflag = 'N' AND l_linestatus = 'O') THEN 1
        WHEN l_returnflag = 'A' AND l_linestatus = 'F' AND l_partkey % 50 = 7 THEN 2 ELSE 0 END AS member_type
 FROM (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus,
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
       l_extendedprice, l_quantity, l_discount, l_tax) AS rn
   FROM lineitem
@@ -84,6 +85,14 @@ FROM (
       CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 AS j) a2 WHERE o_orderkey % 40 = 0) s2
     CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) b2
   UNION ALL
+  -- crossings of the routes with o_orderkey % 40 = 8: an X, a T and an overlap
+  SELECT 4000000000000000 + 4 * CAST(floor(o_orderkey / 40) AS BIGINT) + k AS way_id, pos,
+    20000000 + CAST(floor(o_orderkey / 40) AS BIGINT) % 100000 * 12000 + x AS lon_e7,
+    450900000 + CAST(floor(o_orderkey / 4000000) AS BIGINT) % 300 * 1000000 + y AS lat_e7
+  FROM orders CROSS JOIN (VALUES (0, 0, 0, 0), (0, 1, 8000, 0), (1, 0, 1000, -3000), (1, 1, 3000, 4000),
+    (2, 0, 6000, 0), (2, 1, 6000, 3500), (3, 0, 5000, 0), (3, 1, 10000, 0)) x(k, pos, x, y)
+  WHERE o_orderkey % 40 = 8
+  UNION ALL
   -- stop ways: short two-vertex lines beside the node stop of the same number
   SELECT s_suppkey AS way_id, k AS pos,
     20000000 + ((s_suppkey * 104729) % 997) * 500 + 100 AS lon_e7,

@@ -109,9 +109,13 @@ class Network:
     def way_sets(self) -> DataFrame:
         return self._keep("t_way_sets", segments.route_sets(self.way_routes))
 
+    @cached_property
+    def street_lines(self) -> DataFrame:
+        return self._keep("t_street_lines", segments.street_lines(self.way_sets, self.way_shapes))
+
     @cached_property
     def segments(self) -> DataFrame:
-        return self._keep("t_segments", segments.segments_merged(self.way_sets, self.way_shapes))
+        return self._keep("t_segments", segments.segments_merged(self.way_sets, self.street_lines))
 
     @cached_property
     def d_ways(self) -> DataFrame:
@@ -139,11 +143,13 @@ class Network:
 
     @cached_property
     def d_route_stop_positions(self) -> DataFrame:
-        return self._keep("d_route_stop_positions", positions.route_stop_positions(self.best_projection))
+        return self._keep(
+            "d_route_stop_positions", positions.route_stop_positions(self.best_projection, self.d_routes_position)
+        )
 
     @cached_property
     def d_routes_position(self) -> DataFrame:
-        return self._keep("d_routes_position", positions.position_points(self.d_route_stop_positions))
+        return self._keep("d_routes_position", positions.position_points(self.best_projection))
 
     @cached_property
     def d_routes_position_ids(self) -> DataFrame:

@@ -214,12 +214,38 @@ VIEWS: dict[str, str] = {
     "wset": """SELECT geom, max(diameter) AS max_diameter, CAST(count(*) AS INT) AS number_of_routes,
         string_agg(rel_osm_id, ',' ORDER BY rel_osm_id) AS rels
       FROM wused JOIN iroute r ON r.osm_id=rel_osm_id GROUP BY geom""",
-    "edge": """SELECT *, row_number() OVER () AS eid FROM (
+    "drawn": """SELECT *, CAST(round(a[1]*1e7) AS BIGINT) AS ax, CAST(round(a[2]*1e7) AS BIGINT) AS ay,
+        CAST(round(b[1]*1e7) AS BIGINT) AS bx, CAST(round(b[2]*1e7) AS BIGINT) AS by_ FROM (
       SELECT DISTINCT rels, max_diameter, number_of_routes,
-        least((s.lon1,s.lat1),(s.lon2,s.lat2)) AS a, greatest((s.lon1,s.lat1),(s.lon2,s.lat2)) AS b, s.len
+        least((s.lon1,s.lat1),(s.lon2,s.lat2)) AS a, greatest((s.lon1,s.lat1),(s.lon2,s.lat2)) AS b
       FROM (SELECT rels, max_diameter, number_of_routes, min(way_id) AS way_id
         FROM wset JOIN wline USING (geom) GROUP BY rels, max_diameter, number_of_routes, geom) w
       JOIN wseg s USING (way_id)) t""",
+    # every pair of edges of a route set: which ends lie on the other edge, and where they cross
+    "contact": """SELECT *, sign(sa)*sign(sb)<0 AND sign(sc)*sign(sd)<0 AS crossed,
+        (round(c[1]+(d[1]-c[1])*(sc::DOUBLE/(sc::DOUBLE-sd)),9), round(c[2]+(d[2]-c[2])*(sc::DOUBLE/(sc::DOUBLE-sd)),9)) AS spot
+      FROM (SELECT e.rels, e.a, e.b, f.a AS c, f.b AS d,
+        (e.bx-e.ax)*(f.ay-e.ay)-(e.by_-e.ay)*(f.ax-e.ax) AS sc,
+        (e.bx-e.ax)*(f.by_-e.ay)-(e.by_-e.ay)*(f.bx-e.ax) AS sd,
+        (f.bx-f.ax)*(e.ay-f.ay)-(f.by_-f.ay)*(e.ax-f.ax) AS sa, (f.bx-f.ax)*(e.by_-f.ay)-(f.by_-f.ay)*(e.bx-f.ax) AS sb,
+        e.ax, e.ay, e.bx, e.by_, f.ax AS cx, f.ay AS cy, f.bx AS dx, f.by_ AS dy
+      FROM drawn e JOIN drawn f ON e.rels=f.rels AND (e.a,e.b)<(f.a,f.b) AND least(e.ax,e.bx)<=greatest(f.ax,f.bx)
+        AND least(f.ax,f.bx)<=greatest(e.ax,e.bx) AND least(e.ay,e.by_)<=greatest(f.ay,f.by_)
+        AND least(f.ay,f.by_)<=greatest(e.ay,e.by_)) t""",
+    "cut": """SELECT rels, a, b, c AS p FROM contact WHERE sc=0 AND cx BETWEEN least(ax,bx) AND greatest(ax,bx)
+        AND cy BETWEEN least(ay,by_) AND greatest(ay,by_)
+      UNION SELECT rels, a, b, d FROM contact WHERE sd=0 AND dx BETWEEN least(ax,bx) AND greatest(ax,bx)
+        AND dy BETWEEN least(ay,by_) AND greatest(ay,by_)
+      UNION SELECT rels, c, d, a FROM contact WHERE sa=0 AND ax BETWEEN least(cx,dx) AND greatest(cx,dx)
+        AND ay BETWEEN least(cy,dy) AND greatest(cy,dy)
+      UNION SELECT rels, c, d, b FROM contact WHERE sb=0 AND bx BETWEEN least(cx,dx) AND greatest(cx,dx)
+        AND by_ BETWEEN least(cy,dy) AND greatest(cy,dy)
+      UNION SELECT rels, a, b, spot FROM contact WHERE crossed UNION SELECT rels, c, d, spot FROM contact WHERE crossed
+      UNION SELECT rels, a, b, a FROM drawn UNION SELECT rels, a, b, b FROM drawn""",
+    "edge": f"""SELECT *, row_number() OVER () AS eid, sqrt(({_mx('b[1]')}-{_mx('a[1]')})**2+({_my('b[2]')}-{_my('a[2]')})**2) AS len FROM (
+      SELECT DISTINCT rels, max_diameter, number_of_routes, least(p,q) AS a, greatest(p,q) AS b FROM (
+        SELECT rels, p, lead(p) OVER (PARTITION BY rels, a, b ORDER BY (p[1]-a[1])*(b[1]-a[1])+(p[2]-a[2])*(b[2]-a[2])) AS q FROM cut) c
+      JOIN (SELECT DISTINCT rels, max_diameter, number_of_routes FROM wset) w USING (rels) WHERE q IS NOT NULL AND p<>q) t""",
     "elink": """SELECT min(eid) AS a, max(eid) AS b FROM (
         SELECT rels, a AS v, eid FROM edge UNION ALL SELECT rels, b, eid FROM edge) t
       GROUP BY rels, v HAVING count(*)=2""",
@@ -231,6 +257,14 @@ VIEWS: dict[str, str] = {
         min(least(a,b)) AS low, min({_mx('a[1]')}) AS xmin, max({_mx('b[1]')}) AS xmax,
         min(least({_my('a[2]')},{_my('b[2]')})) AS ymin, max(greatest({_my('a[2]')},{_my('b[2]')})) AS ymax
       FROM edge JOIN (SELECT eid, min(root) AS root FROM ereach GROUP BY eid) USING (eid) GROUP BY root""",
+    # each line walked from its smaller end (a loop's junction, a ring's least vertex), to the smaller neighbour first
+    "half": """SELECT e.rels, r.root, e.u, e.v, count(*) OVER (PARTITION BY e.rels, e.u) AS degree, count(*) OVER (PARTITION BY r.root) AS n2
+      FROM (SELECT rels, eid, a AS u, b AS v FROM edge UNION ALL SELECT rels, eid, b, a FROM edge) e
+      JOIN (SELECT eid, min(root) AS root FROM ereach GROUP BY eid) r USING (eid)""",
+    "walk": """SELECT root, CAST(n2//2 AS INT) AS n, CAST(1 AS INT) AS i, u AS before, v AS here, [u, v] AS path FROM half
+      QUALIFY row_number() OVER (PARTITION BY root ORDER BY degree=2, u, v)=1
+      UNION ALL SELECT w.root, w.n, CAST(w.i+1 AS INT), w.here, h.v, list_append(w.path, h.v) FROM walk w
+      JOIN half h ON h.root=w.root AND h.u=w.here AND h.v<>w.before WHERE w.i<w.n""",
     # --- projection
     "foot": f"""SELECT p.rel_osm_id, p.member_type, p.member_osm_id, p.member_index, w.member_index AS way_index,
         p.lon, p.lat, p.x, p.y, s.ax, s.ay, s.bx, s.by_,
@@ -284,7 +318,7 @@ VIEWS: dict[str, str] = {
       FROM atstop GROUP BY osm_type, osm_id""",
 }
 
-_RECURSIVE = {"sreach", "ereach"}
+_RECURSIVE = {"sreach", "ereach", "walk"}
 
 
 def _statement(select: str) -> str:
@@ -332,6 +366,10 @@ def _tiles(
       WHERE rank <= {limit}"""
 
 
+def _nano(p: str) -> str:
+    return f"CAST(round({p}[1]*1e9) AS BIGINT)||' '||CAST(round({p}[2]*1e9) AS BIGINT)"
+
+
 _SEGMENT = "low[1] AS low_lon, low[2] AS low_lat"
 _LONGEST = f"round(length,3) DESC, round({_mx('low[1]')},3), round({_my('low[2]')},3)"
 _SEGMENT_BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -369,7 +407,10 @@ _SELECTS: dict[str, str] = {
     "route_paths": f"SELECT {_ROUTE}, geometry AS geom FROM rel LEFT JOIN rgeo USING (osm_id)",
     "segment_route_sets": "SELECT geom, max_diameter, number_of_routes, u.rel_osm_id FROM wset JOIN wused u USING (geom)",
     "segments_merged": f"""SELECT max_diameter, number_of_routes, n_edges, round(length,3) AS length, {_SEGMENT},
-        n_edges+1 AS n_vertices FROM sgm""",
+        n_edges+1 AS n_vertices, array_to_string(list_transform(path, lambda p: {_nano('p')}), ',') AS vertices
+      FROM sgm JOIN walk USING (root) WHERE i=n""",
+    "segment_vertices": f"""SELECT CAST(unnest(range(len(path))) AS INT) AS pos,
+        unnest(list_transform(path, lambda p: {_nano('p')})) AS spot FROM walk WHERE i=n""",
     "segments_by_route": f"""SELECT CAST(r AS BIGINT) AS rel_osm_id, CAST(count(*) AS INT) AS n_segments,
         string_agg(CAST(round(low[1]*1e7) AS BIGINT)||' '||CAST(round(low[2]*1e7) AS BIGINT), ',' ORDER BY low) AS segments
       FROM (SELECT low, unnest(string_split(rels, ',')) AS r FROM sgm) t GROUP BY r""",
@@ -377,7 +418,9 @@ _SELECTS: dict[str, str] = {
         dist, round(fx,3) AS x, round(fy,3) AS y FROM proj WHERE dist < 20""",
     "best_projection": "SELECT rel_osm_id, stop_key, dist, x, y FROM best",
     "route_position_points": "SELECT x, y, CAST(count(*) AS INT) AS number_of_routes FROM rpos GROUP BY x, y",
-    "positions_by_route": "SELECT route_osm_id AS rel_osm_id, CAST(count(*) AS INT) AS n_positions FROM rpos GROUP BY route_osm_id",
+    "positions_by_route": """SELECT route_osm_id AS rel_osm_id, CAST(count(*) AS INT) AS n_positions,
+        string_agg(CAST(round(x*1000) AS BIGINT)||' '||CAST(round(y*1000) AS BIGINT), ',' ORDER BY x, y) AS positions
+      FROM rpos GROUP BY route_osm_id""",
     "route_stop_positions": "SELECT route_osm_id, x, y FROM rpos",
     "route_stop_connections": f"""SELECT route_osm_id, stop_osm_id, stop_osm_type, stop_index, stop_name,
         string_agg({_txt('CAST(id AS VARCHAR)')}||'|'||{_txt('ref')}||'|'||{_txt('colour')}, ';' ORDER BY ref NULLS LAST, colour NULLS LAST, id) AS other_routes_at_stop

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from busnet.functions import geo
 from busnet.functions.tags import NODE, WAY
-from busnet.operators import documents, positions, publication, routes, stops, tiles
+from busnet.operators import documents, positions, publication, ranking, routes, stops, tiles
 from busnet.plans.network import Network
 from busnet.schemas import STOP_FLAGS
 from busnet.session import configure
@@ -227,10 +227,22 @@ def _low(field: str) -> Column:
 def segments_merged(n: Network) -> DataFrame:
     return n.segments.select(
         "max_diameter", "number_of_routes", "n_edges", *_r3("length"), _low("lon"), _low("lat"),
-        F.size("geom").alias("n_vertices"),
+        F.size("geom").alias("n_vertices"), F.array_join(F.transform("geom", lambda v: _nano(v["lon"], v["lat"])), ",").alias("vertices"),
     )
 
 
+def _nano(lon: Column, lat: Column) -> Column:
+    """A vertex in whole 1e-9 degrees, to which crossings are rounded."""
+    return F.concat_ws(" ", *[F.round(v * F.lit(1e9)).cast("long").cast("string") for v in (lon, lat)])
+
+
+@_query
+def segment_vertices(n: Network) -> DataFrame:
+    """The vertices of all streets in row form."""
+    rows = ranking.vertices(n.street_lines, ["set_a", "set_b"])
+    return rows.select(F.col("pos").cast("int").alias("pos"), _nano(F.col("lon"), F.col("lat")).alias("spot"))
+
+
 @_query
 def segments_by_route(n: Network) -> DataFrame:
     low = n.segments.select("id", F.array_min("geom").alias("low"))
@@ -261,7 +273,14 @@ def route_position_points(n: Network) -> DataFrame:
 
 @_query
 def positions_by_route(n: Network) -> DataFrame:
-    return n.d_routes_position_ids.select("rel_osm_id", F.size("positions_ids").alias("n_positions"))
+    spots = n.d_routes_position.select(
+        F.col("id").alias("position"), F.struct(*[F.round(F.col(c) * 1000).cast("long").alias(c) for c in ("x", "y")]).alias("spot")
+    )
+    rows = n.d_routes_position_ids.select("rel_osm_id", F.explode("positions_ids").alias("position")).join(spots, "position")
+    return rows.groupBy("rel_osm_id").agg(
+        F.count("*").cast("int").alias("n_positions"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("spot")), lambda p: F.concat_ws(" ", p["x"], p["y"])), ",").alias("positions"),
+    )
 
 
 @_query

@@ -32,7 +32,11 @@ def _geom(lon_e7: str, lat_e7: str) -> str:
 
 
 # Each kind of way has an id range of its own that no key of the tables can leave.
-_STREET, _RING, _PRIVATE = 10**15, 2 * 10**15, 3 * 10**15
+_STREET, _RING, _PRIVATE, _CROSS = 10**15, 2 * 10**15, 3 * 10**15, 4 * 10**15
+
+# Ends (x0, y0, x1, y1) of the four streets of a crossing, in 1e-7 degrees: the second crosses the first, the third
+# begins on it, the fourth overlaps it.
+_CROSSING = ((0, 0, 8000, 0), (1000, -3000, 3000, 4000), (6000, 0, 6000, 3500), (5000, 0, 10000, 0))
 
 
 def _scatter(key: str) -> tuple[str, str]:
@@ -137,6 +141,7 @@ class FixtureFeatures:
         return steps.selectExpr(
             "-(l_orderkey + 1) AS rel_osm_id",
             f"CASE WHEN l_returnflag = 'R' AND l_orderkey % 40 = 0 THEN {_PRIVATE} + 2 * (l_orderkey DIV 40) + j "
+            f"WHEN l_returnflag = 'R' AND l_orderkey % 40 = 8 THEN {_CROSS} + 4 * (l_orderkey DIV 40) + (l_linenumber + j) % 4 "
             f"WHEN l_returnflag = 'R' THEN {_STREET} + 2 * l_suppkey + j "
             "WHEN l_returnflag = 'N' AND l_linestatus = 'O' THEN l_suppkey ELSE l_partkey END AS member_osm_id",
             "CAST(rn * 10 + j AS INT) AS member_index",
@@ -172,7 +177,12 @@ class FixtureFeatures:
             ),
             _PRIVATE, 450450000,
         )
-        vertices = streets.unionByName(private).unionByName(stops).unionByName(rings)
+        ends = ", ".join(f"named_struct('k', {k}, 'pos', {pos}, 'x', {e[2 * pos]}, 'y', {e[2 * pos + 1]})" for k, e in enumerate(_CROSSING) for pos in (0, 1))
+        crossings = orders.filter("o_orderkey % 40 = 8").selectExpr("o_orderkey DIV 40 AS g", f"explode(array({ends})) AS e").selectExpr(
+            f"{_CROSS} + 4 * g + e.k AS way_id", "e.pos AS pos", "20000000 + g % 100000 * 12000 + e.x AS lon_e7",
+            "450900000 + g DIV 100000 % 300 * 1000000 + e.y AS lat_e7",
+        )
+        vertices = streets.unionByName(private).unionByName(stops).unionByName(rings).unionByName(crossings)
         return vertices.selectExpr(
             "way_id", "pos", "CAST(lon_e7 AS DOUBLE) / 1e7D AS lon", "CAST(lat_e7 AS DOUBLE) / 1e7D AS lat"
         )

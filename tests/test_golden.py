@@ -1,5 +1,7 @@
 """Small hand-made networks with known answers."""
 
+from itertools import product
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -167,9 +169,120 @@ def test_other_route_set_is_other_line(spark):
     assert lines(spark, {1: [A, B], 2: [B, C]}, {1: [1, 2], 2: [2]}) == [(1, [A, B]), (2, [B, C])]
 
 
-@pytest.mark.xfail(reason="streets are split at shared vertices only", strict=True)
 def test_crossing_without_shared_vertex(spark):
-    assert len(lines(spark, {1: [A, (2.0, 2.0)], 2: [C, (0.0, 2.0)]}, {1: [1, 2]})) == 4
+    mid = (1.0, 1.0)
+    got = lines(spark, {1: [A, (2.0, 2.0)], 2: [C, (0.0, 2.0)]}, {1: [1, 2]})
+    assert got == sorted((1, sorted([end, mid])) for end in (A, C, (0.0, 2.0), (2.0, 2.0)))
+
+
+def test_streets_of_other_routes_are_not_split(spark):
+    assert len(lines(spark, {1: [A, (2.0, 2.0)], 2: [C, (0.0, 2.0)]}, {1: [1], 2: [2]})) == 2
+
+
+def test_touching_street_splits(spark):
+    got = lines(spark, {1: [A, C], 2: [B, D]}, {1: [1, 2]})
+    assert got == sorted([(1, [A, B]), (1, [B, C]), (1, [B, D])])
+
+
+def test_overlapping_streets_are_one(spark):
+    # 0-2 and 1-3 on one straight line, and a part of the first drawn once more
+    got = lines(spark, {1: [A, C], 2: [(3.0, 0.0), B], 3: [(0.5, 0.0), B]}, {1: [1, 2, 3]})
+    assert got == [(1, [A, (0.5, 0.0), B, C, (3.0, 0.0)])]
+
+
+def test_loop_at_a_junction_begins_there(spark):
+    north, east = (1.0, 1.0), (2.0, 0.5)
+    got = lines(spark, {1: [B, north, (0.0, 1.0), A, B], 2: [B, C], 3: [B, east]}, {1: [1, 2, 3]})
+    assert got == sorted([(1, [B, A, (0.0, 1.0), north, B]), (1, [B, C]), (1, [B, east])])
+
+
+def plain_split(edges):
+    """Brute force: parts between all points in which an edge meets another."""
+    from fractions import Fraction as Q
+
+    def side(p, q, r):
+        return (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+
+    out = set()
+    for a, b in edges:
+        cuts = {a, b}
+        for c, d in edges:
+            if (a, b) == (c, d):
+                continue
+            s, t, u, v = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+            for p, z in ((c, s), (d, t)):
+                if z == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1]):
+                    cuts.add(p)
+            if s * t < 0 and u * v < 0:
+                f = Q(s) / Q(s - t)
+                cuts.add((c[0] + (d[0] - c[0]) * f, c[1] + (d[1] - c[1]) * f))
+        spots = sorted(cuts, key=lambda p: (p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1]))
+        spots = [(round(float(x) / 1e7, 9), round(float(y) / 1e7, 9)) for x, y in spots]
+        out |= {tuple(sorted(pair)) for pair in zip(spots, spots[1:])}
+    return out
+
+
+def test_noding_equals_brute_force(spark):
+    """Random edges of two groups: a crowded corner, long ones across it, and many on a coarse grid."""
+    from busnet.operators.noding import noded
+
+    rng = np.random.default_rng(11)
+    edges = {"x": set(), "y": set()}
+    for group in edges:
+        for span, count in ((40, 120), (9, 60), (4_000_000, 15)):
+            for p in rng.integers(0, span, size=(count, 4)).tolist():
+                a, b = sorted([(p[0], p[1]), (p[2], p[3])])
+                if a != b:
+                    edges[group].add((a, b))
+    rows = [(g, *[(x / 1e7, y / 1e7) for x, y in e]) for g, es in edges.items() for e in es]
+    df = spark.createDataFrame(rows, "g string, a struct<lon: double, lat: double>, b struct<lon: double, lat: double>")
+    got = {}
+    for r in noded(df, ["g"]).collect():
+        got.setdefault(r.g, []).append((tuple(round(v, 9) for v in r.a), tuple(round(v, 9) for v in r.b)))
+    for g, es in edges.items():
+        # a crossing half-way between two spots of 1e-9 degrees may go to either
+        nano = lambda e: tuple(round(v * 1e9) for p in e for v in p)
+        wanted = {nano(e) for e in plain_split(es) if e[0] != e[1]}
+        found = {nano(e) for e in got[g]}
+        assert len(got[g]) == len(found) == len(wanted)
+        for e in found - wanted:
+            assert any(tuple(v + s for v, s in zip(e, step)) in wanted for step in product((-1, 0, 1), repeat=4))
+
+
+def test_long_lines_and_rings_are_ranked(spark):
+    """A line of 3,000 edges, a ring of 1,000, a lasso and single edges, against a walk."""
+    from busnet.operators import ranking
+
+    rng = np.random.default_rng(3)
+    edges = [((i, 0), (i + 1, 0)) for i in range(3000)]
+    names = rng.permutation(1000).tolist()
+    edges += [((names[i], 5), (names[(i + 1) % 1000], 5)) for i in range(1000)]
+    edges += [((0, 9), (1, 9)), ((1, 9), (2, 9)), ((2, 9), (3, 9)), ((3, 9), (1, 9)), ((7, 9), (8, 9))]
+    edges = [tuple(sorted(e)) for e in edges]
+    spot = "struct<lon: double, lat: double>"
+    df = spark.createDataFrame(
+        [(1, tuple(map(float, a)), tuple(map(float, b))) for a, b in edges], f"g int, a {spot}, b {spot}"
+    ).repartition(8)
+    got = {}
+    for r in ranking.vertices(ranking.ranked(df, ["g"]), ["g"]).collect():
+        got.setdefault(r.line, {})[r.pos] = (int(r.lon), int(r.lat))
+    paths = sorted([p[i] for i in range(len(p))] for p in got.values())
+    at = names.index(0)
+    ring = [(names[(at + i) % 1000], 5) for i in range(1001)]
+    if ring[1] > ring[-2]:
+        ring.reverse()
+    assert paths == sorted([
+        [(i, 0) for i in range(3001)], ring, [(0, 9), (1, 9)], [(1, 9), (2, 9), (3, 9), (1, 9)], [(7, 9), (8, 9)],
+    ])
+
+
+def test_ids_are_gapless_and_repeatable(spark):
+    from busnet.operators.ids import numbered
+
+    df = spark.range(5000).selectExpr("id * 7919 % 5003 AS k", "id AS v").repartition(13)
+    got = numbered(df, ["k"], "no").orderBy("k").collect()
+    assert [r.no for r in got] == list(range(1, 5001)) and [r.k for r in got] == sorted(r.k for r in got)
+    assert numbered(df.limit(0), ["k"], "no").count() == 0
 
 
 def test_components_of_a_path_and_a_star(spark):
