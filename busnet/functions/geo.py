@@ -146,6 +146,44 @@ def polygon_centroid(geom: Column) -> Column:
     return F.coalesce(let(planar(geom), of), line_centroid(geom))
 
 
+def rings_centroid(geom: Column, rings: Column) -> Column:
+    """Area-weighted centroid (x, y) of a closed ring and further ones (hole, geom); holes count as less.
+
+    Rings may run either way round; without an area it is the centroid of the first ring's outline.
+    """
+    every = F.concat(F.array(F.struct(F.lit(False).alias("hole"), geom.alias("geom"))), rings)
+    flat = F.transform(every, lambda r: F.struct(r["hole"].alias("hole"), planar(r["geom"]).alias("pts")))
+
+    def of(all_rings: Column) -> Column:
+        x0, y0 = all_rings[0]["pts"][0]["x"], all_rings[0]["pts"][0]["y"]
+
+        def moments(ring: Column) -> Column:
+            def cross(s: Column) -> Column:
+                return (s["a"]["x"] - x0) * (s["b"]["y"] - y0) - (s["b"]["x"] - x0) * (s["a"]["y"] - y0)
+
+            return F.aggregate(
+                segments(ring["pts"]), _no_weight(),
+                lambda acc, s: let(
+                    cross(s), lambda w: _weighted(acc, w, s["a"]["x"] + s["b"]["x"] - x0 * 2, s["a"]["y"] + s["b"]["y"] - y0 * 2)
+                ),
+                lambda acc: let(
+                    F.signum(acc["w"]) * F.when(ring["hole"], -1.0).otherwise(1.0),
+                    lambda k: F.struct((acc["w"] * k).alias("w"), (acc["x"] * k).alias("x"), (acc["y"] * k).alias("y")),
+                ),
+            )
+
+        return F.aggregate(
+            F.transform(all_rings, moments), _no_weight(),
+            lambda acc, m: F.struct((acc["w"] + m["w"]).alias("w"), (acc["x"] + m["x"]).alias("x"), (acc["y"] + m["y"]).alias("y")),
+            lambda acc: F.when(
+                acc["w"] != 0,
+                F.struct((x0 + acc["x"] / (acc["w"] * 3)).alias("x"), (y0 + acc["y"] / (acc["w"] * 3)).alias("y")),
+            ),
+        )
+
+    return F.coalesce(let(flat, of), line_centroid(geom))
+
+
 def spheroid_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """Geodesic metres on WGS 84: Lambert's first-order correction on reduced latitudes."""
 

@@ -1,4 +1,7 @@
-"""Bus stations: points and areas."""
+"""Bus stations: points and areas.
+
+An area is its first outer ring (geom) and further ones (rings: hole, geom).
+"""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ def stations_union(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 def stations(all_stations: DataFrame) -> DataFrame:
     """d_stations: name, whether the station is drawn as a (simple) polygon, centroid."""
     is_area = F.col("geom_type").isin("ST_Polygon", "ST_MultiPolygon")
-    centroid = F.when(is_area, geo.polygon_centroid(F.col("geom"))).otherwise(
+    centroid = F.when(is_area, geo.rings_centroid(F.col("geom"), F.col("rings"))).otherwise(
         geo.line_centroid(F.col("geom"))
     )
     return with_centroid(all_stations, centroid).select(
@@ -31,7 +34,7 @@ def stations(all_stations: DataFrame) -> DataFrame:
 
 
 def station_areas(all_stations: DataFrame) -> DataFrame:
-    """d_stations_area: simple polygons only."""
+    """d_stations_area: polygons of one part, with their holes."""
     return all_stations.filter(F.col("geom_type") == "ST_Polygon").select(
-        "osm_type", "osm_id", "name", "geom"
+        "osm_type", "osm_id", "name", "geom", F.transform("rings", lambda r: r["geom"]).alias("holes")
     )

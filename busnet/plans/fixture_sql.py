@@ -105,6 +105,15 @@ FROM (
     450000000 + ((c_custkey * 7919) % 1000) * 400 + CASE WHEN k IN (2, 3) THEN 3000 ELSE 0 END AS lat_e7
   FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k UNION ALL SELECT 4 AS k) d
   WHERE c_custkey % 2 = 0
+  UNION ALL
+  -- holes of the stations with the last digit 6, second parts of those with 4
+  SELECT CASE WHEN c_custkey % 10 = 6 THEN 5000000000000000 ELSE 6000000000000000 END + c_custkey AS way_id, k AS pos,
+    20000000 + ((c_custkey * 104729) % 997) * 500 + CASE WHEN c_custkey % 10 = 6 THEN 500 + CASE WHEN k IN (1, 2) THEN 1000 ELSE 0 END
+      ELSE 6000 + CASE WHEN k IN (1, 2) THEN 2000 ELSE 0 END END AS lon_e7,
+    450000000 + ((c_custkey * 7919) % 1000) * 400 + CASE WHEN c_custkey % 10 = 6 THEN 700 + CASE WHEN k IN (2, 3) THEN 800 ELSE 0 END
+      ELSE 1000 + CASE WHEN k IN (2, 3) THEN 1500 ELSE 0 END END AS lat_e7
+  FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k UNION ALL SELECT 3 AS k UNION ALL SELECT 4 AS k) d2
+  WHERE c_custkey % 10 IN (4, 6)
 ) v
 """,
 }

@@ -284,11 +284,15 @@ VIEWS: dict[str, str] = {
     "station": """SELECT 0 AS osm_type, osm_id, name, 'ST_Point' AS geom_type, CAST(NULL AS BIGINT) AS way_id, lon, lat FROM fx_nodes_bus_station
       UNION ALL SELECT 1, osm_id, name, geom_type, CASE WHEN osm_id<0 THEN -osm_id ELSE osm_id END, NULL, NULL
       FROM fx_ways_bus_station""",
+    # rings of a station under its own way id; holes count as less, whichever way round they run
+    "rsize": """SELECT s.way_id AS own, abs(sum((s.ax-o.x)*(s.by_-o.y)-(s.bx-o.x)*(s.ay-o.y))/2)*CASE WHEN s.way_id//1000000000000000=5 THEN -1 ELSE 1 END AS size
+      FROM wseg s JOIN vtx o ON o.way_id=s.way_id AND o.pos=0 WHERE s.way_id//1000000000000000 IN (2, 5, 6) GROUP BY s.way_id""",
     "ring": """SELECT s.way_id, s.pos, s.ax-o.x AS ax, s.ay-o.y AS ay, s.bx-o.x AS bx, s.by_-o.y AS by_, o.x AS ox, o.y AS oy
-      FROM wseg s JOIN vtx o ON o.way_id=s.way_id AND o.pos=0""",
-    "rcen": """SELECT way_id, any_value(ox)+sum((ax+bx)*(ax*by_-bx*ay))/(3*sum(ax*by_-bx*ay)) AS x,
-        any_value(oy)+sum((ay+by_)*(ax*by_-bx*ay))/(3*sum(ax*by_-bx*ay)) AS y FROM ring
-      WHERE way_id>=2000000000000000 AND way_id<3000000000000000 GROUP BY way_id""",
+      FROM wseg s JOIN vtx o ON o.way_id=s.way_id AND o.pos=0 WHERE s.way_id//1000000000000000 IN (2, 5, 6)""",
+    "rone": """SELECT way_id AS own, any_value(ox)+sum((ax+bx)*(ax*by_-bx*ay))/(3*sum(ax*by_-bx*ay)) AS x,
+        any_value(oy)+sum((ay+by_)*(ax*by_-bx*ay))/(3*sum(ax*by_-bx*ay)) AS y FROM ring GROUP BY way_id""",
+    "rcen": """SELECT 2000000000000000+own%1000000000000000 AS way_id, sum(x*size)/sum(size) AS x, sum(y*size)/sum(size) AS y
+      FROM rone JOIN rsize USING (own) GROUP BY 1""",
     "dstation": f"""SELECT s.osm_type, s.osm_id, s.name, s.geom_type='ST_Polygon' AS has_polygon,
         coalesce(c.x, {_mx('s.lon')}) AS x, coalesce(c.y, {_my('s.lat')}) AS y
       FROM station s LEFT JOIN rcen c ON c.way_id=s.way_id""",
@@ -432,7 +436,8 @@ _SELECTS: dict[str, str] = {
     "cluster_stats": """SELECT osm_type_id, name, max_diameter, max_avg_distance, number_of_routes, routes_ref_colour FROM dclus""",
     "stop_shields": "SELECT osm_type, osm_id, i, ref, colour FROM shield",
     "stations": "SELECT osm_type, osm_id, name, has_polygon, round(x,3) AS x, round(y,3) AS y FROM dstation",
-    "stations_area": "SELECT osm_type, osm_id, name, geom FROM area JOIN wline USING (way_id)",
+    "stations_area": """SELECT a.osm_type, a.osm_id, a.name, l.geom, coalesce(h.geom, '') AS holes
+      FROM area a JOIN wline l USING (way_id) LEFT JOIN wline h ON h.way_id=a.way_id+3000000000000000""",
     "routes_at_stop": "SELECT * FROM atstop",
     "route_properties": f"SELECT {_ROUTE} FROM rel",
     "route_geometry": "SELECT osm_id, geometry FROM rel LEFT JOIN rgeo USING (osm_id)",

@@ -330,7 +330,8 @@ def stations(n: Network) -> DataFrame:
 
 @_query
 def stations_area(n: Network) -> DataFrame:
-    return n.d_stations_area.select("osm_type", "osm_id", "name", _line(F.col("geom")).alias("geom"))
+    holes = F.array_join(F.transform("holes", _line), ";").alias("holes")
+    return n.d_stations_area.select("osm_type", "osm_id", "name", _line(F.col("geom")).alias("geom"), holes)
 
 
 @_query

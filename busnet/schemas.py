@@ -18,21 +18,24 @@ def _struct(**fields: T.DataType) -> T.StructType:
 _TAGS = T.MapType(T.StringType(), T.StringType())
 
 # --- OSM elements -----------------------------------------------------------
-OSM_NODE = _struct(id=T.LongType(), lat=T.DoubleType(), lon=T.DoubleType(), tags=_TAGS)
-OSM_WAY = _struct(id=T.LongType(), nds=T.ArrayType(T.LongType()), tags=_TAGS)
+# version and visible may be missing in stored tables
+_STATE = {"version": T.LongType(), "visible": T.BooleanType()}
+OSM_NODE = _struct(id=T.LongType(), lat=T.DoubleType(), lon=T.DoubleType(), tags=_TAGS, **_STATE)
+OSM_WAY = _struct(id=T.LongType(), nds=T.ArrayType(T.LongType()), tags=_TAGS, **_STATE)
 OSM_RELATION = _struct(
     id=T.LongType(),
     members=T.ArrayType(_struct(type=T.StringType(), ref=T.LongType(), role=T.StringType())),
-    tags=_TAGS,
+    tags=_TAGS, **_STATE,
 )
 
 _XML_TAG = T.ArrayType(_struct(_k=T.StringType(), _v=T.StringType()))
-XML_NODE = _struct(_id=T.LongType(), _lat=T.DoubleType(), _lon=T.DoubleType(), tag=_XML_TAG)
-XML_WAY = _struct(_id=T.LongType(), nd=T.ArrayType(_struct(_ref=T.LongType())), tag=_XML_TAG)
+_XML_STATE = {"_version": T.LongType(), "_visible": T.BooleanType()}
+XML_NODE = _struct(_id=T.LongType(), _lat=T.DoubleType(), _lon=T.DoubleType(), tag=_XML_TAG, **_XML_STATE)
+XML_WAY = _struct(_id=T.LongType(), nd=T.ArrayType(_struct(_ref=T.LongType())), tag=_XML_TAG, **_XML_STATE)
 XML_RELATION = _struct(
     _id=T.LongType(),
     member=T.ArrayType(_struct(_type=T.StringType(), _ref=T.LongType(), _role=T.StringType())),
-    tag=_XML_TAG,
+    tag=_XML_TAG, **_XML_STATE,
 )
 
 # --- feature tables ---------------------------------------------------------
@@ -49,6 +52,7 @@ BUS_STOP = T.StructType(
 )
 BUS_STATION = _struct(
     id=T.LongType(), osm_id=T.LongType(), name=T.StringType(), geom_type=T.StringType(), geom=LINE,
+    rings=T.ArrayType(_struct(hole=T.BooleanType(), geom=LINE)),
 )
 RELATIONS_ROUTE = _struct(
     osm_id=T.LongType(), name=T.StringType(), ref=T.StringType(), network=T.StringType(),

@@ -32,7 +32,7 @@ def _geom(lon_e7: str, lat_e7: str) -> str:
 
 
 # Each kind of way has an id range of its own that no key of the tables can leave.
-_STREET, _RING, _PRIVATE, _CROSS = 10**15, 2 * 10**15, 3 * 10**15, 4 * 10**15
+_STREET, _RING, _PRIVATE, _CROSS, _INNER, _PART = (k * 10**15 for k in range(1, 7))
 
 # Ends (x0, y0, x1, y1) of the four streets of a crossing, in 1e-7 degrees: the second crosses the first, the third
 # begins on it, the fourth overlaps it.
@@ -63,6 +63,9 @@ def _chain(ways: DataFrame, first_id: int, lat_e7: int) -> DataFrame:
     )
 
 
+_NO_RINGS = "CAST(array() AS ARRAY<STRUCT<hole: BOOLEAN, geom: ARRAY<STRUCT<lon: DOUBLE, lat: DOUBLE>>>>) AS rings"
+
+
 class FixtureFeatures:
     """The feature tables, each built on first use."""
 
@@ -105,7 +108,7 @@ class FixtureFeatures:
     def nodes_bus_station(self) -> DataFrame:
         return self._table("customer").filter("c_custkey % 2 = 1").selectExpr(
             "c_custkey + 1 AS id", "c_custkey AS osm_id", "c_name AS name", "'ST_Point' AS geom_type",
-            _geom(*_scatter("c_custkey")),
+            _geom(*_scatter("c_custkey")), _NO_RINGS,
         )
 
     @cached_property
@@ -113,9 +116,13 @@ class FixtureFeatures:
         rings = self._table("customer").filter("c_custkey % 2 = 0").selectExpr(
             "c_custkey", "c_name", f"{_RING} + c_custkey AS way_id", "c_custkey % 10 = 4 AS multi"
         )
-        return rings.join(self._lines, "way_id").selectExpr(
+        more = self._lines.filter(f"way_id >= {_INNER} AND way_id < {_PART + 10**15}").selectExpr(
+            f"{_RING} + way_id % {10**15} AS way_id", f"array(named_struct('hole', way_id < {_PART}, 'geom', geom)) AS other"
+        )
+        return rings.join(self._lines, "way_id").join(more, "way_id", "left").selectExpr(
             "c_custkey + 1 AS id", "IF(multi, -way_id, way_id) AS osm_id", "c_name AS name",
             "IF(multi, 'ST_MultiPolygon', 'ST_Polygon') AS geom_type", "geom",
+            f"coalesce(other, {_NO_RINGS.removesuffix(' AS rings')}) AS rings",
         )
 
     @cached_property
@@ -168,6 +175,14 @@ class FixtureFeatures:
             f"{_RING} + c_custkey AS way_id", "pos", f"{lon} + IF(pos IN (1, 2), 4000, 0) AS lon_e7",
             f"{lat} + IF(pos IN (2, 3), 3000, 0) AS lat_e7",
         )
+        # stations with the last digit 6 have a hole, those with 4 a second part
+        more = customer.filter("c_custkey % 10 IN (4, 6)").selectExpr(
+            "c_custkey", "c_custkey % 10 = 6 AS hole", "explode(array(0, 1, 2, 3, 4)) AS pos"
+        ).selectExpr(
+            f"IF(hole, {_INNER}, {_PART}) + c_custkey AS way_id", "pos",
+            f"{lon} + IF(hole, 500, 6000) + IF(pos IN (1, 2), IF(hole, 1000, 2000), 0) AS lon_e7",
+            f"{lat} + IF(hole, 700, 1000) + IF(pos IN (2, 3), IF(hole, 800, 1500), 0) AS lat_e7",
+        )
         streets = _chain(
             supplier.selectExpr("explode(array(2 * s_suppkey, 2 * s_suppkey + 1)) AS w"), _STREET, 450000000
         )
@@ -182,7 +197,7 @@ class FixtureFeatures:
             f"{_CROSS} + 4 * g + e.k AS way_id", "e.pos AS pos", "20000000 + g % 100000 * 12000 + e.x AS lon_e7",
             "450900000 + g DIV 100000 % 300 * 1000000 + e.y AS lat_e7",
         )
-        vertices = streets.unionByName(private).unionByName(stops).unionByName(rings).unionByName(crossings)
+        vertices = streets.unionByName(private).unionByName(stops).unionByName(rings).unionByName(more).unionByName(crossings)
         return vertices.selectExpr(
             "way_id", "pos", "CAST(lon_e7 AS DOUBLE) / 1e7D AS lon", "CAST(lat_e7 AS DOUBLE) / 1e7D AS lat"
         )
