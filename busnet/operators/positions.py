@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from busnet.functions import geo
-from busnet.functions.tags import NODE, WAY, element_label
+from busnet.functions.tags import element_label
 from busnet.operators import ids
-from busnet.operators.routes import is_position_role
 from busnet.session import cut_lineage
 
 MAX_DISTANCE = 20  # compared with degrees by default, as in the published maps
@@ -15,23 +14,6 @@ _TIE = 9  # distances equal to 1e-9 degrees (0.1 mm) are ties; OSM stores 1e-7
 _GRID = 3  # a projected point is identified by whole millimetres
 
 
-def busy_routes(member_refs: DataFrame, pair_limit: int) -> DataFrame:
-    """(rel_osm_id) of routes with more than pair_limit (stop, way) combinations.
-
-    Such a route has over 2*sqrt(pair_limit) members, so there are few of them at any size.
-    """
-    is_way = F.col("member_type") == WAY
-    role = F.col("member_role")
-    path = is_way & ~role.contains("stop") & ~role.contains("platform")
-    stop = F.col("member_type").isin(NODE, WAY) & is_position_role(role)
-    return (
-        member_refs.groupBy("rel_osm_id")
-        .agg(F.count_if(path).alias("ways"), F.count_if(stop).alias("stops"))
-        .filter(F.col("ways") * F.col("stops") > pair_limit)
-        .select("rel_osm_id")
-    )
-
-
 _SPOT = ["x", "y", "lon", "lat"]
 
 
@@ -84,12 +66,6 @@ def _with_segments(ways: DataFrame) -> DataFrame:
 _MEMBER = ["rel_osm_id", "member_type", "member_osm_id", "member_index"]
 
 
-def nearest_ways(positions: DataFrame, ways: DataFrame, unit: str = "degree") -> DataFrame:
-    """Foot of every (route, position) on every way of the route within the distance filter."""
-    pairs = positions.select(*_MEMBER, *_SPOT).join(_with_segments(ways).drop("geom"), "rel_osm_id")
-    return _feet(pairs, [*_MEMBER, "way_index"], unit)
-
-
 def _box(prefix: str, lon_lo: Column, lon_hi: Column, lat_lo: Column, lat_hi: Column) -> list[Column]:
     return [lon_lo.alias(f"{prefix}w"), lon_hi.alias(f"{prefix}e"),
             lat_lo.alias(f"{prefix}s"), lat_hi.alias(f"{prefix}n")]
@@ -114,12 +90,13 @@ def _quadrant(df: DataFrame, p: str, level: int) -> DataFrame:
     )
 
 
-def _busy_feet(positions: DataFrame, ways: DataFrame, unit: str, pair_limit: int) -> DataFrame:
-    """Nearest feet per spot of routes too large to compare every stop with every way.
+def projected_feet(positions: DataFrame, ways: DataFrame, unit: str = "degree", leaf: int = 4096) -> DataFrame:
+    """Foot of every (route, position) on the nearest way of its route within the distance filter.
 
     Stops and ways are sorted into quadrants, level by level.  For a quadrant of stops, a quadrant
     of ways further off than the surest hit of another one cannot hold the nearest way and is
-    dropped.  What is left when the quadrants hold few elements is compared exactly.
+    dropped.  Pairs of quadrants that hold at most `leaf` pairs of elements are compared exactly, all
+    others are quartered; the result does not depend on `leaf`.
     """
     spots = cut_lineage(
         positions.select("rel_osm_id", "x", "y", "lon", "lat").distinct()
@@ -169,7 +146,7 @@ def _busy_feet(positions: DataFrame, ways: DataFrame, unit: str, pair_limit: int
         pairs = cut_lineage(
             pairs.select("rel_osm_id", "p_cx", "p_cy", "w_cx", "w_cy", "p_count", "w_count")
         )
-        again = (F.col("p_count") * F.col("w_count") > pair_limit) & F.lit(level < _LEVELS)
+        again = (F.col("p_count") * F.col("w_count") > leaf) & F.lit(level < _LEVELS)
         small = pairs.filter(~again).select("rel_osm_id", "p_cx", "p_cy", "w_cx", "w_cy")
         joined = small.join(p, p_keys).join(w, w_keys)
         feet.append(_feet(joined, ["rel_osm_id", "spot", "way_index"], unit))
@@ -191,23 +168,6 @@ def _busy_feet(positions: DataFrame, ways: DataFrame, unit: str, pair_limit: int
     )
 
 
-def projected_feet(
-    positions: DataFrame, ways: DataFrame, member_refs: DataFrame,
-    unit: str = "degree", pair_limit: int = 1_000_000,
-) -> DataFrame:
-    """Feet that can win: all of them for ordinary routes, the nearest per spot for busy ones."""
-    busy = cut_lineage(busy_routes(member_refs, pair_limit))
-    if busy.isEmpty():
-        return nearest_ways(positions, ways, unit)
-
-    def only(df: DataFrame, how: str) -> DataFrame:
-        return df.join(busy, "rel_osm_id", how)
-
-    plain = nearest_ways(only(positions, "left_anti"), only(ways, "left_anti"), unit)
-    crowded = _busy_feet(only(positions, "left_semi"), only(ways, "left_semi"), unit, pair_limit)
-    return plain.unionByName(crowded.select(*plain.columns))
-
-
 def best_projection(feet: DataFrame, stops: DataFrame, routes: DataFrame) -> DataFrame:
     """One projected point per route and stop name: (rel_osm_id, stop_key, dist, x, y).
 

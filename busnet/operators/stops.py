@@ -179,18 +179,18 @@ def _near_cells(cells: DataFrame) -> DataFrame:
     return probes.join(_side(cells, "b_"), ["b_key", "b_row", "b_col"])
 
 
-def _cell_links(cells: DataFrame, pieces: DataFrame, pair_limit: int) -> DataFrame:
+def _cell_links(cells: DataFrame, pieces: DataFrame, leaf: int) -> DataFrame:
     """(src, dst) representatives of cells that touch within REACH.
 
-    Boxes decide most pairs of cells.  Open pairs with few pieces compare them; open pairs of
-    crowded cells are halved until the boxes decide or few pieces are left.
+    Boxes decide most pairs of cells.  Open pairs of at most `leaf` pairs of pieces compare them; others
+    are quartered until the boxes decide or so few are left.  The result does not depend on `leaf`.
     """
     pairs = cut_lineage(_near_cells(cells).withColumn("close", _verdict()).filter(
         F.col("close").isNull() | F.col("close")
     ))
     links = [pairs.filter("close").select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst"))]
     shapes = pieces.select(*_CELL, *_COORDS).distinct()
-    crowded = F.col("a_n") * F.col("b_n") > pair_limit
+    crowded = F.col("a_n") * F.col("b_n") > leaf
     open_pairs = pairs.filter("close IS NULL")
 
     few = open_pairs.filter(~crowded).select(
@@ -200,7 +200,7 @@ def _cell_links(cells: DataFrame, pieces: DataFrame, pair_limit: int) -> DataFra
 
     many = open_pairs.filter(crowded)
     if not many.isEmpty():
-        links.append(_halve(many, shapes, pair_limit))
+        links.append(_halve(many, shapes, leaf))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -221,7 +221,7 @@ def _compare(pairs: DataFrame, shapes: DataFrame, cell: list[str]) -> DataFrame:
 _MAX_LEVEL = 15  # 279 m / 2^15 is under the 1 cm step of OSM coordinates
 
 
-def _halve(pairs: DataFrame, shapes: DataFrame, pair_limit: int) -> DataFrame:
+def _halve(pairs: DataFrame, shapes: DataFrame, leaf: int) -> DataFrame:
     """Links of crowded cell pairs: quarter the cells, let the boxes decide, repeat on the rest."""
     wanted = pairs.select(*[F.col("a_" + c).alias(c) for c in _CELL]).unionByName(
         pairs.select(*[F.col("b_" + c).alias(c) for c in _CELL])
@@ -254,7 +254,7 @@ def _halve(pairs: DataFrame, shapes: DataFrame, pair_limit: int) -> DataFrame:
         ))
         linked = judged.filter("close").select("a_rep", "b_rep").distinct()
         rest = judged.filter("close IS NULL").join(linked, ["a_rep", "b_rep"], "left_anti")
-        crowded = (F.col("a_n") * F.col("b_n") > pair_limit) & F.lit(level < _MAX_LEVEL)
+        crowded = (F.col("a_n") * F.col("b_n") > leaf) & F.lit(level < _MAX_LEVEL)
         keys = [s + c for s in ("a_", "b_") for c in (*_CELL, *spot)]
         few = rest.filter(~crowded).select(*keys, "a_rep", "b_rep")
         found.append(linked.select(F.col("a_rep").alias("src"), F.col("b_rep").alias("dst")))
@@ -285,7 +285,7 @@ def _shape_distance(lon: Column, lat: Column, geom: Column) -> Column:
     return F.array_min(F.transform(geo.segments(geom), one))
 
 
-def cluster_members(shaped: DataFrame, pair_limit: int = 10_000) -> DataFrame:
+def cluster_members(shaped: DataFrame, leaf: int = 10_000) -> DataFrame:
     """(cluster_id, osm_type, osm_id, name, x, y): stops of one name linked by 400 m steps.
 
     Unnamed stops stand alone.  A way stop belongs to the cluster whose 200 m surroundings hold
@@ -315,7 +315,7 @@ def cluster_members(shaped: DataFrame, pair_limit: int = 10_000) -> DataFrame:
     # a way crossing several cells ties them together; a node has one cell only
     crossing = home.filter(F.col("sid") % 2 == WAY).select(F.col("sid").alias("src"), F.col("rep").alias("dst"))
     component = connected_components(
-        _cell_links(cells, pieces, pair_limit).unionByName(crossing)
+        _cell_links(cells, pieces, leaf).unionByName(crossing)
     ).select(F.col("id").alias("rep"), "component")
     cell_cluster = cut_lineage(
         cells.join(component, "rep", "left").select(

@@ -133,7 +133,7 @@ class Network:
 
     @cached_property
     def feet(self) -> DataFrame:
-        return positions.projected_feet(self.i_positions, self.i_ways, self.member_refs)
+        return positions.projected_feet(self.i_positions, self.i_ways)
 
     @cached_property
     def best_projection(self) -> DataFrame:

@@ -419,7 +419,12 @@ _SELECTS: dict[str, str] = {
         string_agg(CAST(round(low[1]*1e7) AS BIGINT)||' '||CAST(round(low[2]*1e7) AS BIGINT), ',' ORDER BY low) AS segments
       FROM (SELECT low, unnest(string_split(rels, ',')) AS r FROM sgm) t GROUP BY r""",
     "stop_projection": """SELECT rel_osm_id, member_type, member_osm_id, member_index, way_index,
-        dist, round(fx,3) AS x, round(fy,3) AS y FROM proj WHERE dist < 20""",
+        dist, round(fx,3) AS x, round(fy,3) AS y FROM proj WHERE dist < 20
+      QUALIFY row_number() OVER (PARTITION BY rel_osm_id, member_type, member_osm_id, member_index ORDER BY dist, way_index)=1""",
+    "stop_projection_metres": f"""SELECT rel_osm_id, member_type, member_osm_id, member_index, way_index,
+        dist, round(fx,3) AS x, round(fy,3) AS y FROM proj
+      WHERE {_andoyer('lon', 'lat', _lon('fx'), _lat('fy'))} < 20
+      QUALIFY row_number() OVER (PARTITION BY rel_osm_id, member_type, member_osm_id, member_index ORDER BY dist, way_index)=1""",
     "best_projection": "SELECT rel_osm_id, stop_key, dist, x, y FROM best",
     "route_position_points": "SELECT x, y, CAST(count(*) AS INT) AS number_of_routes FROM rpos GROUP BY x, y",
     "positions_by_route": """SELECT route_osm_id AS rel_osm_id, CAST(count(*) AS INT) AS n_positions,

@@ -255,7 +255,16 @@ def segments_by_route(n: Network) -> DataFrame:
 
 @_query
 def stop_projection(n: Network) -> DataFrame:
-    return positions.nearest_ways(n.i_positions, n.i_ways).select(
+    return n.feet.select(
+        "rel_osm_id", "member_type", "member_osm_id", "member_index", "way_index", "dist",
+        F.round("fx", 3).alias("x"), F.round("fy", 3).alias("y"),
+    )
+
+
+@_query
+def stop_projection_metres(n: Network) -> DataFrame:
+    """The distance filter in ground metres."""
+    return positions.projected_feet(n.i_positions, n.i_ways, "metre").select(
         "rel_osm_id", "member_type", "member_osm_id", "member_index", "way_index", "dist",
         F.round("fx", 3).alias("x"), F.round("fy", 3).alias("y"),
     )

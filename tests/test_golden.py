@@ -78,11 +78,11 @@ def test_circle_of_repeated_and_collinear_points():
 
 # --- clusters -------------------------------------------------------------------
 
-def clusters(spark, nodes=None, ways=None, pair_limit=10_000):
+def clusters(spark, nodes=None, ways=None, leaf=10_000):
     f = SmallFeatures(spark, nodes=nodes or {}, stop_ways=ways or {})
     shaped = Network(f).stops_with_shape
     found: dict = {}
-    for r in stops.cluster_members(shaped, pair_limit).collect():
+    for r in stops.cluster_members(shaped, leaf).collect():
         found.setdefault(r["cluster_id"], []).append((r["osm_type"], r["osm_id"]))
     return sorted(sorted(v) for v in found.values())
 
@@ -131,7 +131,7 @@ def test_clusters_equal_brute_force_however_crowded(spark):
     expected = sorted(sorted((0, int(i) + 1) for i in np.flatnonzero(label == c)) for c in set(label))
     nodes = {i: ("A", p) for i, p in xy.items()}
     assert clusters(spark, nodes) == expected
-    assert clusters(spark, nodes, pair_limit=2) == expected
+    assert clusters(spark, nodes, leaf=2) == expected
 
 
 # --- segments -------------------------------------------------------------------
@@ -328,14 +328,21 @@ def test_busy_routes_give_the_same_points(spark, unit):
         q = p + rng.normal(size=2) * 200
         streets[1000 + i] = [at(*map(float, p)), at(*map(float, q))]
     net = projection_net(spark, nodes, streets)
-    plain = positions.projected_feet(net.i_positions, net.i_ways, net.member_refs, unit)
-    busy = positions.projected_feet(net.i_positions, net.i_ways, net.member_refs, unit, pair_limit=50)
-
-    def best(feet):
-        return sorted(map(tuple, positions.best_projection(feet, net.i_stops, net.relations).collect()))
-
-    assert busy.count() < plain.count() or unit == "metre"
-    assert best(busy) == best(plain) and best(plain)
+    rows = lambda feet: sorted(map(tuple, feet.collect()))
+    plain = rows(positions.projected_feet(net.i_positions, net.i_ways, unit))
+    assert plain and rows(positions.projected_feet(net.i_positions, net.i_ways, unit, leaf=50)) == plain
+    # against every pair: the nearest way in degrees, ties to the smaller index
+    if unit == "degree":
+        for row in plain[:20]:
+            x, y = row[4], row[5]
+            found = []
+            for i, street in enumerate(streets.values()):
+                (ax, ay), (bx, by) = [(lon * np.pi / 180 * 6378137, np.log(np.tan(np.pi / 4 + lat * np.pi / 360)) * 6378137) for lon, lat in street]
+                t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+                fx, fy = ax + (bx - ax) * t, ay + (by - ay) * t
+                lon, lat = np.degrees(fx / 6378137), np.degrees(2 * np.arctan(np.exp(fy / 6378137)) - np.pi / 2)
+                found.append((round(float(np.hypot(lon - row[6], lat - row[7])), 9), i))
+            assert (row[9], row[8]) == min(found)
 
 
 # --- connections and documents ----------------------------------------------------
