@@ -3,7 +3,7 @@
 Suffixes are smaller (S) or larger (L) than the one after them; an S right after an L starts a
 leftmost-smaller substring.  Sorting those induces the order of all L suffixes in one pass from the
 left and of all S suffixes in one from the right (Nong, Zhang and Chan, 2009).  Over bytes the passes go
-bucket by bucket with numpy; the shorter text of substring names is sorted recursively with lists.
+bucket by bucket with numpy; over the shorter text of substring names, sorted recursively, they walk a list.
 """
 
 from __future__ import annotations
@@ -11,59 +11,75 @@ from __future__ import annotations
 import numpy as np
 
 
-def _induce_lists(text: list[int], size: int, small: list[bool], stars: list[int]) -> list[int]:
-    """Order of all suffixes from the leftmost-smaller ones in the given order."""
+def _induce_lists(text: np.ndarray, size: int, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
+    """Order of all suffixes from the leftmost-smaller ones in the given order; for texts of many characters."""
     n = len(text)
-    counts = [0] * size
-    for c in text:
-        counts[c] += 1
-    heads, tails, total = [0] * size, [0] * size, 0
-    for c in range(size):
-        heads[c] = total
-        total += counts[c]
-        tails[c] = total
-    order = [-1] * n
-    at = tails[:]
-    for i in reversed(stars):
-        at[text[i]] -= 1
-        order[at[text[i]]] = i
-    for k in range(n):
-        j = order[k] - 1
-        if j >= 0 and not small[j]:
-            order[heads[text[j]]] = j
-            heads[text[j]] += 1
-    at = tails
-    for k in range(n - 1, -1, -1):
-        j = order[k] - 1
-        if j >= 0 and small[j]:
-            at[text[j]] -= 1
-            order[at[text[j]]] = j
-    return order
-
-
-def sort_lists(text: list[int], size: int) -> list[int]:
-    """Suffix array of a list of numbers below size that ends with its only 0."""
+    ends = np.cumsum(np.bincount(text, minlength=size))
+    order = np.full(n, -1, np.int64)
+    # the given ones at the ends of their buckets
+    first = text[stars]
+    by_char = np.argsort(first, kind="stable")
+    count = np.bincount(first, minlength=size)
+    place = ends[first[by_char]] - count[first[by_char]] + np.arange(len(stars)) - np.repeat(np.cumsum(count) - count, count)
+    order[place] = stars[by_char]
+    order = order.tolist()
+    # the character before each suffix, if that is to be put in; -1 stands for none, also for an empty place
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = np.where(small[:-1], -1, text[:-1])
+    put, at = before.tolist(), (ends - np.bincount(text, minlength=size)).tolist()
+    for i in order:  # the list grows ahead of the loop
+        c = put[i]
+        if c >= 0:
+            order[at[c]] = i - 1
+            at[c] += 1
+    before[1:n] = np.where(small[:-1], text[:-1], -1)
+    put, at = before.tolist(), ends.tolist()
+    for i in reversed(order):
+        c = put[i]
+        if c >= 0:
+            at[c] -= 1
+            order[at[c]] = i - 1
+    return np.array(order)
+
+
+def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Names of the leftmost-smaller substrings, equal for equal ones, in their order; stars are in text order."""
+    n = len(text)
+    number = np.zeros(n, np.int64)
+    number[stars] = np.arange(len(stars))
+    length = np.diff(np.append(stars, n)) + 1  # up to and with the first character of the next one
+    length[-1] = 1
+    mine = length[number[order]]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = mine[1:] != mine[:-1]
+    live = np.flatnonzero(~fresh)
+    step = 0
+    while len(live):  # neighbours of equal length: compare character by character
+        a, b = order[live], order[live - 1]
+        other = text[a + step] != text[b + step]
+        fresh[live[other]] = True
+        live = live[~other & (mine[live] > step + 1)]
+        step += 1
+    names = np.zeros(len(stars), np.int64)
+    names[number[order]] = np.cumsum(fresh) - 1
+    return names
+
+
+def sort_names(text: np.ndarray, size: int) -> np.ndarray:
+    """Suffix array of numbers below size that end with their only 0."""
     n = len(text)
     if n == 1:
-        return [0]
-    small = [True] * n
-    for i in range(n - 2, -1, -1):
-        small[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and small[i + 1])
-    stars = [i for i in range(1, n) if small[i] and not small[i - 1]]
+        return np.zeros(1, np.int64)
+    small = _types(text)
+    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(stars) > 1:
-        rank = {p: k for k, p in enumerate(stars)}
-        ends = stars[1:] + [n - 1]
-        order = [p for p in _induce_lists(text, size, small, stars) if p in rank]
-        name, names, last = -1, [0] * len(stars), None
-        for p in order:
-            piece = text[p : ends[rank[p]] + 1]
-            if piece != last:
-                name, last = name + 1, piece
-            names[rank[p]] = name
-        if name + 1 < len(stars):
-            stars = [stars[k] for k in sort_lists(names, name + 1)]
-        else:
-            stars = order
+        is_star = np.zeros(n, bool)
+        is_star[stars] = True
+        order = _induce_lists(text, size, small, stars)
+        order = order[is_star[order]]
+        names = _names(text, stars, order)
+        count = int(names.max()) + 1
+        stars = order if count == len(stars) else stars[sort_names(names, count)]
     return _induce_lists(text, size, small, stars)
 
 
@@ -136,39 +152,36 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         is_star = np.zeros(n, bool)
         is_star[stars] = True
         order = np.concatenate([s[is_star[s]] for _, s in _induce(text, size, small, stars)])
-        number = np.zeros(n, np.int64)
-        number[stars] = np.arange(len(stars))
-        length = np.diff(np.append(stars, n)) + 1  # up to and with the first character of the next one
-        length[-1] = 1
-        mine = length[number[order]]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = mine[1:] != mine[:-1]
-        live = np.flatnonzero(~fresh)
-        step = 0
-        while len(live):  # neighbours of equal length: compare character by character
-            a, b = order[live], order[live - 1]
-            other = text[a + step] != text[b + step]
-            fresh[live[other]] = True
-            live = live[~other & (mine[live] > step + 1)]
-            step += 1
-        names = np.zeros(len(stars), np.int64)
-        names[number[order]] = np.cumsum(fresh) - 1
-        count = int(fresh.sum())
-        stars = order if count == len(stars) else stars[np.array(sort_lists(names.tolist(), count))]
+        names = _names(text, stars, order)
+        count = int(names.max()) + 1
+        stars = order if count == len(stars) else stars[sort_names(names, count)]
     parts = _induce(text, size, small, stars)
     return np.concatenate([p for pair in parts for p in pair])[1:]
 
 
+_LANE = 4  # characters compared at once
+
+
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """At each position the common prefix of its suffix and the one before it in order, up to most."""
+    """At each position the common prefix of its suffix and the one before it in order, up to most.
+
+    Four characters (below 65536) are compared at once.
+    """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     shared = np.zeros(n, np.int64)
+    padded = np.concatenate([text.astype("<u2"), np.zeros(_LANE, "<u2")])
+    lanes = np.ndarray((n + 1,), np.dtype("<u8"), padded, strides=(2,))
     live = np.flatnonzero(before >= 0)
-    for step in range(most):
-        a, b = live + step, before[live] + step
-        live = live[(np.maximum(a, b) < n)]
-        live = live[text[live + step] == text[before[live] + step]]
-        shared[live] = step + 1
-    return shared
+    other = before[live]
+    for step in range(0, most, _LANE):
+        differs = lanes[np.minimum(live + step, n)] ^ lanes[np.minimum(other + step, n)]
+        same = differs == 0
+        # equal characters at the beginning of a lane that differs
+        lead = sum(((differs & np.uint64((1 << (16 * k)) - 1)) == 0).astype(np.int64) for k in range(1, _LANE))
+        shared[live] = step + np.where(same, _LANE, lead)
+        live, other = live[same], other[same]
+    # what stands beyond the end is no character
+    some = before >= 0
+    return np.minimum(np.where(some, np.minimum(shared, n - np.maximum(np.arange(n), before)), 0), most)

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from busnet.llm import arrow, hashing, induced
 
 _LAST = 2**63 - 1
+_ANCHOR = np.uint64(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
@@ -62,7 +63,7 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.ndarray, ...]:
-    """(document, start, number of windows, anchor, hash of the bytes) of the segments of all documents."""
+    """(document, start, number of windows, anchor) of the segments of all documents."""
     found = []
     last, size = len(offsets) - 1, arrow.BLOCK
     at = 0
@@ -73,7 +74,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.
         own, bounds = data[base : offsets[end]], offsets[at : end + 1] - base
         if len(own) >= rule.length:
             sums = hashing.prefix_sums(own)
-            anchor = _smallest(hashing.kgrams(sums, rule.anchor), rule.length - rule.anchor + 1)
+            # a minimum is a small number: mixed again, so that buckets are filled evenly
+            anchor = hashing.mix(_smallest(hashing.kgrams(sums, rule.anchor), rule.length - rule.anchor + 1) + _ANCHOR)
             n = len(anchor)
             cut = np.ones(n, bool)
             cut[1:] = anchor[1:] != anchor[:-1]
@@ -90,12 +92,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.
             inner = _ragged(np.zeros(len(pieces), np.int64), pieces) * rule.most
             starts, doc = np.repeat(starts, pieces) + inner, np.repeat(doc, pieces)
             windows = np.minimum(np.repeat(windows, pieces) - inner, rule.most)
-            content = hashing.substring(sums, starts, starts + windows + rule.length - 1)
-            found.append((doc + at, starts + base, windows, anchor[starts], hashing.mix(content + windows.astype(np.uint64))))
+            found.append((doc + at, starts + base, windows, anchor[starts]))
         at = end
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
@@ -110,7 +111,7 @@ class Batch:
         if anchors is not None:
             mine = np.isin(found[3], anchors)
             found = tuple(c[mine] for c in found)
-        self.doc, self.start, self.windows, self.anchor, self.content = found
+        self.doc, self.start, self.windows, self.anchor = found
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors and whether two documents of the batch hold it."""
@@ -123,6 +124,7 @@ class Batch:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """One segment of each kind, by anchor and hash of the bytes, and the number of each segment's kind."""
+        self.content = hashing.pieces(self.data, self.start, self.start + self.windows + self.rule.length - 1)
         order = np.lexsort((self.content, self.anchor))
         first = _heads(self.anchor[order], self.content[order])
         number = np.zeros(len(order), np.int64)
