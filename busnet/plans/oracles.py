@@ -434,6 +434,8 @@ _SELECTS: dict[str, str] = {
     "route_stop_connections": f"""SELECT route_osm_id, stop_osm_id, stop_osm_type, stop_index, stop_name,
         string_agg({_txt('CAST(id AS VARCHAR)')}||'|'||{_txt('ref')}||'|'||{_txt('colour')}, ';' ORDER BY ref NULLS LAST, colour NULLS LAST, id) AS other_routes_at_stop
       FROM conn GROUP BY route_osm_id, stop_osm_id, stop_osm_type, stop_index, stop_name, lon, lat""",
+    "stop_routes": """SELECT DISTINCT p.member_type, p.member_osm_id, p.rel_osm_id, r.osm_id AS id, r.ref, r.colour
+      FROM posn p LEFT JOIN rel r ON r.osm_id=p.rel_osm_id""",
     "stop_stats": "SELECT osm_type, osm_id, max_diameter, max_avg_distance, number_of_routes, routes_ref_colour FROM stat",
     "stop_colours": "SELECT osm_type, osm_id, ref, colour FROM pair SEMI JOIN stop USING (osm_type, osm_id)",
     "stops_enriched": f"""SELECT osm_type, osm_id, id, name, {_FLAGS}, local_ref, max_diameter, max_avg_distance,
@@ -477,6 +479,11 @@ _SELECTS: dict[str, str] = {
     "tile_shields": _tiles("(SELECT h.*, s.x, s.y FROM shield h JOIN stop s USING (osm_type, osm_id))",
                            "osm_type, osm_id, i, ref, colour", range(14, 17), "osm_type, osm_id, i", 1000),
     "tile_stations": _tiles("dstation", "name, has_polygon", range(6, 17), "osm_type, osm_id", 1000),
+    "tile_payload": f"""SELECT 'stations' AS layer, z, x_tile, y_tile, CAST(count(*) AS INT) AS n, string_agg(rank||'|'||
+        CAST(floor(((x+{_HALF})/(2*{_HALF}/(1<<z))-x_tile)*256) AS INT)||' '||CAST(floor((({_HALF}-y)/(2*{_HALF}/(1<<z))-y_tile)*256) AS INT)||'|'||
+        to_json(struct_pack(name:=name, has_polygon:=has_polygon)), ';' ORDER BY rank) AS features
+      FROM ({_tiles("dstation", "x, y, name, has_polygon", range(6, 17), "osm_type, osm_id", 1000)}) t
+      WHERE z IN (6, 12, 14, 16) GROUP BY z, x_tile, y_tile""",
     "tile_station_areas": _tiles(
         "(SELECT a.*, b.* EXCLUDE (way_id) FROM area a JOIN (SELECT way_id, min(x) AS xmin, min(y) AS ymin,"
         " max(x) AS xmax, max(y) AS ymax FROM vtx GROUP BY way_id) b USING (way_id))",

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from busnet.operators import publication, tiles
 from busnet.plans.network import TABLES, Network
 from busnet.sources.features import FeatureTables
 
-_POINTER = "seq LONG, version STRING, previous STRING"
-
-
 class Store:
-    """Versions under root/versions, and root/pointer, a table whose last row names the current one.
+    """Versions under root/versions, and root/pointer, whose empty files name them in order: <seq>-<version>.
 
-    A version is written completely before its pointer row is appended, so readers see either the
-    old tables or the new ones.  The version before stays as backup; older ones are deleted.
+    A version is written completely before its file is made, so readers see either the old tables or the new ones.
+    Two builders at once make two files, perhaps of one seq; the name then decides, the same for every reader, and
+    neither is lost.  The version before the last stays as backup; older ones are deleted.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -41,22 +39,30 @@ class Store:
         df.write.mode("overwrite").parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
+    def _published(self) -> list[tuple[int, str]]:
+        """(seq, version) in order."""
+        folder = f"{self._root}/pointer"
+        if not self._exists(folder):
+            return []
+        target = self._spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = target.getFileSystem(self._spark._jsc.hadoopConfiguration()).listStatus(target)
+        names = sorted(f.getPath().getName() for f in found)
+        return [(int(seq), version) for seq, _, version in (n.partition("-") for n in names) if seq.isdigit()]
+
     def pointer(self) -> tuple[int, str | None, str | None]:
         """(seq, current version, previous version)."""
-        path = f"{self._root}/pointer"
-        if not self._exists(path):
+        order = self._published()
+        if not order:
             return 0, None, None
-        row = self._spark.read.schema(_POINTER).parquet(path).orderBy(F.col("seq").desc()).first()
-        return row["seq"], row["version"], row["previous"]
+        return *order[-1], order[-2][1] if len(order) > 1 else None
 
     def publish(self, version: str) -> None:
-        """current -> backup, version -> current; the former backup and working tables go away."""
-        seq, current, backup = self.pointer()
-        self._spark.createDataFrame([(seq + 1, version, current)], _POINTER).coalesce(1).write.mode(
-            "append"
-        ).parquet(f"{self._root}/pointer")
-        if backup is not None:
-            self._delete(f"{self._root}/versions/{backup}")
+        """current -> backup, version -> current; former backups go away."""
+        seq = self.pointer()[0] + 1
+        target = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._root}/pointer/{seq:012d}-{version}")
+        target.getFileSystem(self._spark._jsc.hadoopConfiguration()).create(target, False).close()
+        for _, old in self._published()[:-2]:
+            self.drop_version(old)
 
     def drop_version(self, version: str) -> None:
         self._delete(f"{self._root}/versions/{version}")

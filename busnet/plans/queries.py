@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from busnet.functions import geo
 from busnet.functions.tags import NODE, WAY
-from busnet.operators import documents, positions, publication, ranking, routes, stops, tiles
+from busnet.operators import connections, documents, positions, publication, ranking, routes, stops, tiles
 from busnet.plans.network import Network
 from busnet.schemas import STOP_FLAGS
 from busnet.session import configure
@@ -305,6 +305,12 @@ def route_stop_connections(n: Network) -> DataFrame:
     )
 
 
+@_query
+def stop_routes(n: Network) -> DataFrame:
+    """The routes at each stop in row form, of which the connection lists are made."""
+    return connections.stop_routes(n.i_positions, n.relations)
+
+
 @_query
 def stop_stats(n: Network) -> DataFrame:
     return n.stop_statistics.select("osm_type", "osm_id", *_STATS, _pairs())
@@ -483,6 +489,17 @@ def tile_stations(n: Network) -> DataFrame:
     return rows.select(*_TILE, "name", "has_polygon")
 
 
+@_query
+def tile_payload(n: Network) -> DataFrame:
+    """The files of the stations' tiles: pixels and properties of each feature, in order."""
+    rows = tiles.layer_rows(n.d_stations, tiles.STATIONS, tiles.STATIONS.queries[0], [6, 12, 14, 16])
+    pixels = lambda f: F.array_join(F.transform(f["pixels"], lambda p: F.concat_ws(" ", p["px"], p["py"])), ",")
+    return tiles.tile_payload(tiles.layer_features(rows, tiles.STATIONS)).select(
+        "layer", "z", "x_tile", "y_tile", F.size("features").alias("n"),
+        F.array_join(F.transform("features", lambda f: F.concat_ws("|", f["rank"], pixels(f), f["properties"])), ";").alias("features"),
+    )
+
+
 @_query
 def tile_station_areas(n: Network) -> DataFrame:
     rows = tiles.layer_rows(n.d_stations_area, tiles.STATION_AREAS, tiles.STATION_AREAS.queries[0])

@@ -21,6 +21,23 @@ def test_three_versions(spark, tmp_path):
     assert not (tmp_path / "versions" / "v1").exists()
 
 
+def test_builders_at_once(spark, tmp_path):
+    """Every version of several builders is published once, and all readers agree on the last."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, str(tmp_path))
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(store.publish, [f"v{i}" for i in range(24)]))
+    order = store._published()
+    assert sorted(v for _, v in order) == sorted(f"v{i}" for i in range(24))
+    assert [s for s, _ in order] == sorted(s for s, _ in order)
+    seq, current, previous = Store(spark, str(tmp_path)).pointer()
+    assert (seq, current) == order[-1] and previous == order[-2][1]
+    store.write("last", "i_x", spark.range(3))
+    store.publish("last")
+    assert store.pointer()[1] == "last" and store.table("i_x").count() == 3
+
+
 def test_build_and_export(spark, tmp_path):
     f = SmallFeatures(
         spark,
