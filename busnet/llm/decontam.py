@@ -10,7 +10,8 @@ multisets of word shingles; their weighted similarity is sum(min(counts)) / sum(
    document); only such windows are fingerprinted, so none is lost.  Of a document of m shingles and an
    item of n > m, s (m + n) / (1 + s) shingles must be shared.
 2. Each gets a 64-bit SimHash.  Cut into radius + 1 blocks, two fingerprints within the radius agree in
-   one block at least, so an equi-join on (words, block, bits) finds them all.
+   one block at least, so an equi-join on (item, block, bits) finds them all.  A window meets the items only that
+   share its shingles in step 1: blocks of three bits alone would let most pairs meet.
 3. The shingle multisets decide exactly.  Two multisets at 0.8 differ in 9.7 bits on average (deviation
    2.9), so a radius of 20 misses such a pair about once in 5,000; more similar ones hardly ever.
 
@@ -153,31 +154,33 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rule: Settings) -> DataFrame
                     by_item: dict[tuple[int, int], list[int]] = {}
                     for p in block.column("places")[i].as_py():
                         by_item.setdefault((p["item_id"], p["n"]), []).append(p["at"])
-                    spans = set()
-                    for (_, n), at in by_item.items():
-                        spans |= {(n, s) for s in _starts(np.sort(np.array(at)), n - rule.shingle + 1, rule, len(elements)).tolist()}
-                    for n, s in sorted(spans):
+                    # a window of n words, and the items that ask for it
+                    asked: dict[tuple[int, int], list[int]] = {}
+                    for (item, n), at in by_item.items():
+                        for s in _starts(np.sort(np.array(at)), n - rule.shingle + 1, rule, len(elements)).tolist():
+                            asked.setdefault((n, s), []).append(item)
+                    for (n, s), by in sorted(asked.items()):
                         part = elements[s : s + n - rule.shingle + 1]
-                        # n, the words of the item, is what windows and items are joined by
-                        rows.append((doc, s, n, min(n, len(own)), simhash(part), part.view(np.int64).tolist()))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                        rows.append((doc, s, n, min(n, len(own)), simhash(part), part.view(np.int64).tolist(), by))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "at", "n", "n_words", "fp", "elements"]
+                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                    ["doc_id", "at", "n", "n_words", "fp", "elements", "asked"],
                 )
 
     seen = keep(
         # places grow with the documents: one plan at every size
         docs.select("doc_id", "text").join(places.hint("merge"), "doc_id")
-        .mapInArrow(fingerprint, "doc_id long, at long, n long, n_words long, fp long, elements array<long>"),
+        .mapInArrow(fingerprint, "doc_id long, at long, n long, n_words long, fp long, elements array<long>, asked array<long>"),
         "decontam-windows",
     )
     pairs = (
-        blocked(seen.select("doc_id", "at", "n", "fp"), rule).withColumnRenamed("fp", "fp_w")
-        .join(blocked(items.select("item_id", "n", "fp"), rule), ["n", "block", "bits"])
+        blocked(seen.select("doc_id", "at", "n", "fp", F.explode("asked").alias("item_id")), rule).withColumnRenamed("fp", "fp_w")
+        .join(blocked(items.select("item_id", "fp"), rule), ["item_id", "block", "bits"])
         .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_w"))) <= rule.radius)
         .select("doc_id", "at", "n", "fp_w", "item_id").distinct()
     )
-    both = pairs.join(seen.withColumnRenamed("fp", "fp_w").distinct(), ["doc_id", "at", "n", "fp_w"]).join(
+    both = pairs.join(seen.drop("asked").withColumnRenamed("fp", "fp_w").distinct(), ["doc_id", "at", "n", "fp_w"]).join(
         items.select("item_id", "n", F.col("elements").alias("item")), ["item_id", "n"]
     )
 

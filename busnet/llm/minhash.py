@@ -35,8 +35,7 @@ from busnet.session import keep
 class Similarity:
     """Two documents are linked if 100 * |A and B| >= percent * |A or B|.
 
-    With 32 bands of 4 rows a pair at 0.8 shares no band with a probability of (1 - 0.8^4)^32 = 5e-8, and
-    fewer than two with 1e-6.
+    With 32 bands of 4 rows a pair at 0.8 shares no band with a probability of (1 - 0.8^4)^32 = 5e-8.
     """
 
     shingle: int = 5
@@ -208,14 +207,13 @@ def near_duplicates(docs: DataFrame, rule: Similarity = Similarity()) -> DataFra
     links = keep(links.unionByName(confirmed(docs, second, rule)), "minhash-links")
     groups = connected_components(links)
 
-    # members of buckets that still hold two groups; a linked pair shares one bucket only once in a million times
+    # members of buckets that still hold two groups
     labelled = shared.select("band", F.col("x.rep").alias("rep"), F.col("x.n").alias("n")).join(
         groups.withColumnRenamed("id", "rep"), "rep", "left"
     ).select("band", "rep", "n", F.coalesce("component", "rep").alias("group"))
     split = labelled.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("band")
     members = keep(
-        labelled.join(split, "band", "left_semi").groupBy("rep", "n", "group").agg(F.count("*").alias("buckets"))
-        .filter("buckets > 1").drop("buckets"),
+        labelled.join(split, "band", "left_semi").select("rep", "n", "group").distinct(),
         "minhash-apart",
     )
     tested = first.unionByName(second)

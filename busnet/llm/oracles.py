@@ -71,18 +71,19 @@ WITH d AS (
     SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t
     FROM documents),
 s AS ({" UNION ALL ".join(_kind_rows(i, *k) for i, k in enumerate(_KINDS))}),
-f AS (SELECT value, count(DISTINCT owner) AS owners FROM s GROUP BY value),
+f AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repositories FROM s GROUP BY value),
 r AS (
-    SELECT s.*, f.owners FROM s JOIN f USING (value)
-    WHERE no < 3 OR f.owners = 1 AND NOT EXISTS (
+    SELECT s.*, f.owners, f.repositories, f.owners = 1 AND f.repositories <= 2 AS live FROM s JOIN f USING (value)
+    WHERE no < 3 OR f.owners = 1 AND f.repositories <= 2 AND NOT EXISTS (
         SELECT 1 FROM s b WHERE b.row = s.row AND b.no < 3 AND b.start < s.stop AND b.stop > s.start)),
 e AS (
     SELECT row, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
-        count(*) FILTER (no = 3) AS n_owned, count(*) FILTER (no < 3 AND owners = 1) AS n_live, count(*) FILTER (no < 3 AND owners > 1) AS n_copied,
+        count(*) FILTER (no = 3) AS n_owned, count(*) FILTER (no < 3 AND live) AS n_live, count(*) FILTER (no < 3 AND NOT live) AS n_copied,
+        max(owners) AS owners, max(repositories) AS repositories,
         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) FILTER (no < 3) AS base,
         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, no) AS spans
     FROM r GROUP BY row)
-SELECT doc_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_copied"))},
+SELECT doc_id, {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_copied", "owners", "repositories"))},
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN e USING (row)
 """

@@ -1,10 +1,10 @@
 """Secret scan with corpus-wide ownership frequency, in DataFrame functions only.
 
 Three base kinds are found by pattern.  A fourth kind, `owned`, takes runs of 20 or more key
-characters that mix lower case, upper case and digits, touch no base span, and belong to one owner in
-the whole corpus: the hash of each candidate value is counted by distinct repositories and owners,
-so an example that many owners have copied is told from a credential that looks alive.  Base spans
-always stay; for them the same frequency splits n_live from n_copied.
+characters that mix lower case, upper case and digits, touch no base span, and belong to one owner and few
+repositories in the whole corpus: the hash of each candidate value is counted by distinct repositories and owners,
+so an example that many owners have copied, or one owner in many places, is told from a credential that looks
+alive.  Base spans always stay; for them the same two counts split n_live from n_copied.
 
 Positions: the lengths of matches and of the text between them (`split` by the same pattern) sum up
 to code point offsets.  Candidates are written once without the texts, and everything after that
@@ -94,8 +94,11 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied; one row per input row."""
+def scan(docs: DataFrame, owner: Column, repository: Column, most_owners: int = 1, most_repositories: int = 2) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied; one row per input row.
+
+    `owners` and `repositories` are the greatest counts of a value in the row's spans, 0 without spans.
+    """
     found = keep(candidates(docs, owner, repository), "secret-candidates")
     base = None
     for number, kind in enumerate(BASE):
@@ -115,15 +118,18 @@ def scan(docs: DataFrame, owner: Column, repository: Column, most_owners: int =
         .withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(upto))
         .filter(is_base | F.col("reach").isNull() | (F.col("reach") <= F.col("start")))
     )
-    rated = free.join(ownership(hits), "hash").withColumn("live", F.col("owners") <= most_owners).filter(is_base | F.col("live"))
+    rated = free.join(ownership(hits), "hash").withColumn(
+        "live", (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
+    ).filter(is_base | F.col("live"))
     each = rated.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "no", "end", "kind"))).alias("all"),
         *[F.count(F.when(F.col("no") == i, 1)).alias(f"n_{k.name}") for i, k in enumerate((*BASE, OWNED))],
         F.count(F.when(is_base & F.col("live"), 1)).alias("n_live"),
         F.count(F.when(is_base & ~F.col("live"), 1)).alias("n_copied"),
+        F.max("owners").alias("owners"), F.max("repositories").alias("repositories"),
     )
     only_base = F.filter("all", lambda s: s["no"] < len(BASE))
-    counts = [f"n_{k.name}" for k in (*BASE, OWNED)] + ["n_live", "n_copied"]
+    counts = [f"n_{k.name}" for k in (*BASE, OWNED)] + ["n_live", "n_copied", "owners", "repositories"]
     return found.select("row", "doc_id").join(each, "row", "left").select(
         "doc_id",
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],

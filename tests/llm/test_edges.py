@@ -173,6 +173,15 @@ def test_secrets(spark, docs):
     assert found[3][0][0] == "assign:13:35"
     assert [x[0] for x in found[4]] == ["access:0:16,hex:17:49"] * 2
     assert found[2][0][3] == hashlib.sha256(b"").hexdigest()
+    # one owner's value in three repositories is no longer taken for a live one
+    spread = spark.createDataFrame([(i, f"{own} token: {shared}", "p", f"r{i}") for i in range(3)], "doc_id long, text string, o string, r string")
+    three = by_id(secrets.scan(spread, F.col("o"), F.col("r")), "spans", "n_live", "n_copied", "n_owned", "owners", "repositories")
+    assert three == {i: [("assign:25:59", 0, 1, 0, 1, 3)] for i in range(3)}
+    two = by_id(secrets.scan(spread.limit(2), F.col("o"), F.col("r")), "spans", "n_live", "n_owned", "repositories")
+    assert [x for v in two.values() for x in v] == [("owned:0:24,assign:25:59", 1, 1, 2)] * 2
+    # a secret far inside a long text
+    far = spark.createDataFrame([(1, "x " * 1500000 + "password=abcdefghij " + "y " * 10)], "doc_id long, text string")
+    assert by_id(secrets.scan(far, F.lit("o"), F.lit("r")), "spans")[1] == [("assign:3000000:3000019",)]
 
 
 def test_suffix(spark, docs):
