@@ -11,7 +11,7 @@ FALSE_VALUES = ["", "0", "false", "no"]
 
 # element kinds (fixed values)
 NODE, WAY, RELATION = 0, 1, 2
-ELEMENT_WORDS = {NODE: "node", WAY: "way", RELATION: "relation"}
+KIND_OF = {"node": NODE, "way": WAY, "relation": RELATION}
 
 
 def load_tags(entries: Column) -> Column:
@@ -54,13 +54,11 @@ def element_word(osm_type: Column) -> Column:
 
 
 def element_code(word: str | None) -> int:
-    """Word -> kind; nothing given means node; anything unknown is an error."""
-    if not word:
-        return NODE
-    for code, known in ELEMENT_WORDS.items():
-        if known == word:
-            return code
-    raise ValueError("incorrect type of object")
+    """Kind of element that a word names; a lookup without a word is one of nodes."""
+    kind = KIND_OF.get(word or "node")
+    if kind is None:
+        raise ValueError(f"{word!r} is none of {', '.join(KIND_OF)}")
+    return kind
 
 
 def name_key(name: Column, osm_type: Column, osm_id: Column) -> Column:

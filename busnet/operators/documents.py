@@ -17,6 +17,7 @@ UNKNOWN_TEXT = "??"
 UNKNOWN_COLOUR = "grey"
 UNNAMED_STOP = "pas de nom :("
 
+# keys of a stop's document (fixed values)
 STOP_PROPERTIES = [
     "osm_type", "osm_id", "name", "local_ref", "has_shelter", "has_bench",
     "has_tactile_paving", "has_departures_board", "is_wheelchair_ok",

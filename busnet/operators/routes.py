@@ -9,6 +9,7 @@ from busnet.functions.hull import circle_diameter_udf, hull_udf
 from busnet.functions.tags import NODE, WAY
 
 MIN_SPACING = 10  # metres; closer stops count as one
+# keys of a route's document (fixed values)
 ROUTE_COLUMNS = ["osm_id", "ref", "name", "network", "operator", "origin", "destination", "colour"]
 
 # A route is cut into blocks of 2^12 member indexes, so a block holds at most 4,096 members, however
