@@ -49,7 +49,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = docs.filter(~langid.held_out()).select("doc_id", "text").join(labels.hint("merge"), "doc_id").select("text", "toxic")
     model = toxicity.fit(keep(learned, "toxicity-labelled"))
     return toxicity.score(docs, model).select(
-        "doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "best"
+        "doc_id", langid.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "best", "n_passages"
     )
 
 

@@ -8,11 +8,14 @@ standard error, so a word seen a few times says nothing.  Each token scores its
 drift; all maximal scoring segments of a document are found in one linear scan (Ruzzo and Tompa,
 1999).  The best segment's score S among n tokens gets the extreme-value probability
 1 - exp(-K n exp(-lambda S)) (Karlin and Altschul, 1990), lambda and K from clean documents; a
-two-parameter logistic curve over minus its logarithm turns it into a score from 0 to 1.
+two-parameter logistic curve over minus its logarithm turns it into a score from 0 to 1.  Every segment whose own
+probability is at most `significant` is a passage; `score` counts them and `passages` gives their spans.
 
 K and the curve come from labelled documents scored by the counts of the others, so they hold for new
 ones.  Counts, K and the curve use all labelled rows given; what tasks and driver hold is bounded by `slots`
-and `bins`.  Rows: null and empty texts have no segment and get the score of such documents.  Rows with
+and `bins`.  Features that share a slot are counted together.
+
+Rows: repeated rows are each scored, and learned from; columns other than doc_id and text are not read.  Null and empty texts have no segment and get the score of such documents.  Rows with
 a null label are not learned from; without rows of both classes every score is the share of toxic rows.
 """
 
@@ -43,6 +46,8 @@ class Settings:
     #: toxic documents than others.
     drift: float = 1.0
     bins: int = 1024
+    #: Largest extreme-value probability of a significant passage.
+    significant: float = 0.01
 
 
 #: Bytes that are no part of a token.
@@ -191,16 +196,18 @@ def _heaviest(scores: np.ndarray) -> float:
     return max((w for _, _, w in segments(scores)), default=0.0) if (scores > 0).any() else 0.0
 
 
-def _best(block: pa.RecordBatch, model: Model) -> Iterator[tuple[float, int]]:
-    """(weight of the best segment, tokens) of each document."""
+def _found(block: pa.RecordBatch, model: Model) -> Iterator[tuple[list[tuple[int, int, float, float]], int, int]]:
+    """(segments as first token, last token and one, weight, evidence; first token; tokens) of each document."""
     slots, first, _, _ = tokens(block, model.settings)
     scores = model.weigh(slots)
-    for a, b in zip(first, first[1:]):
-        yield _heaviest(scores[a:b]), int(b - a)
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        own = scores[a:b]
+        found = segments(own) if (own > 0).any() else []
+        yield [(x, y, w, model.evidence(w, b - a)) for x, y, w in found], a, b - a
 
 
 def _best_without_own(block: pa.RecordBatch, count: np.ndarray, settings: Settings) -> Iterator[tuple[float, int]]:
-    """As `_best` for the labelled documents themselves, each by the counts of all the others."""
+    """(weight of the best segment, tokens) of the labelled documents themselves, each by the counts of all the others."""
     slots, first, _, _ = tokens(block, settings)
     totals = count.sum(1)
     for toxic, a, b in zip(block.column("toxic").to_pylist(), first, first[1:]):
@@ -269,40 +276,45 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, best (weight of the best segment); one row per input row."""
+    """doc_id, score, best (weight of the best segment), n_passages (significant ones); one row per input row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    least = -np.log(model.settings.significant)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in arrow.blocks(batch):
-                best = list(_best(block, sent.value))
-                evidence = np.array([sent.value.evidence(b, n) for b, n in best])
+                found = [f for f, _, _ in _found(block, sent.value)]
+                best = [max((w for _, _, w, _ in f), default=0.0) for f in found]
+                evidence = np.array([max((e for _, _, _, e in f), default=0.0) for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), pa.array(sent.value.score(evidence)), pa.array([b for b, _ in best], pa.float64())],
-                    ["doc_id", "score", "best"],
+                    [
+                        block.column("doc_id"), pa.array(sent.value.score(evidence)), pa.array(best, pa.float64()),
+                        pa.array([sum(e >= least for _, _, _, e in f) for f in found], pa.int64()),
+                    ],
+                    ["doc_id", "score", "best", "n_passages"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, best double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, best double, n_passages long")
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, start and end (UTF-8 byte offsets), weight of every maximal scoring segment."""
+    """doc_id, start and end (UTF-8 byte offsets), weight and evidence (-ln of the probability) of each significant passage."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    least = -np.log(model.settings.significant)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in arrow.blocks(batch):
-                slots, first, starts, ends = tokens(block, sent.value.settings)
-                scores = sent.value.weigh(slots)
+                _, _, starts, ends = tokens(block, sent.value.settings)
                 _, offsets = arrow.utf8(block.column("text"))
                 rows = []
-                for i, doc in enumerate(block.column("doc_id").to_pylist()):
-                    at = first[i]
-                    for a, b, s in segments(scores[at : first[i + 1]]):
-                        rows.append((doc, int(starts[at + a] - offsets[i]), int(ends[at + b - 1] - offsets[i]), s))
+                for (found, at, _), doc, begin in zip(_found(block, sent.value), block.column("doc_id").to_pylist(), offsets):
+                    for a, b, weight, evidence in found:
+                        if evidence >= least:
+                            rows.append((doc, int(starts[at + a] - begin), int(ends[at + b - 1] - begin), weight, evidence))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
-                    ["doc_id", "start", "end", "weight"],
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "end", "weight", "evidence"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, weight double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, weight double, evidence double")
