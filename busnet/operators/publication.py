@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from busnet.functions.tags import member_label
+from busnet.operators import tiles
 
 
 def id_lists(stops: DataFrame, routes: DataFrame) -> DataFrame:
@@ -40,5 +41,17 @@ def write_documents(docs: DataFrame, keys: list[str], path: str, parts: int | No
     ).json(path)
 
 
+def store_tiles(payload: DataFrame, path: str) -> None:
+    """Tiles as one table in the order of layer, zoom and a space-filling curve, so that an extent lies in few files."""
+    order = ["layer", "z", "curve"]
+    placed = payload.withColumn("curve", tiles.curve(F.col("x_tile"), F.col("y_tile")))
+    placed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def tiles_in(spark: SparkSession, path: str, layer: str, z: int, extent: tiles.Extent) -> DataFrame:
+    """The stored tiles of one zoom of a layer that meet an extent; only row groups near it are read."""
+    return spark.read.parquet(path).filter((F.col("layer") == layer) & tiles.in_extent(z, extent)).drop("curve")
+
+
 def write_tiles(payload: DataFrame, path: str) -> None:
     payload.write.mode("overwrite").partitionBy("layer", "z").json(path)

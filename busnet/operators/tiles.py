@@ -202,3 +202,63 @@ def tile_payload(features: DataFrame) -> DataFrame:
     return features.groupBy("layer", "z", "x_tile", "y_tile").agg(
         F.sort_array(F.collect_list(F.struct("rank", "pixels", "properties"))).alias("features")
     )
+
+
+# --- a store of tiles that is read by extent --------------------------------------
+
+def curve(x: Column, y: Column) -> Column:
+    """Place of a tile on the space-filling curve of its zoom: the bits of x and y in turn."""
+    out = F.lit(0).cast("long")
+    for i in range(MAX_ZOOM):
+        for v, at in ((x, 2 * i), (y, 2 * i + 1)):
+            bit = F.shiftright(v.cast("long"), i).bitwiseAND(F.lit(1).cast("long"))
+            out = out.bitwiseOR(F.shiftleft(bit, at))
+    return out
+
+
+def curve_ranges(x0: int, x1: int, y0: int, y1: int, most: int = 32) -> list[tuple[int, int]]:
+    """Ranges (first, last) of the curve that hold the tiles of a box; quarters are split while there are fewer than most."""
+    whole, partial = [], [(MAX_ZOOM, 0, 0, 0)]  # (bits, first place, x, y) of a square
+    while partial and len(whole) + len(partial) < most:
+        split = []
+        for bits, first, x, y in partial:
+            half = 1 << (bits - 1)
+            for q in range(4):
+                a, b = x + half * (q & 1), y + half * (q >> 1)
+                square = (bits - 1, first + q * half * half, a, b)
+                if a > x1 or b > y1 or a + half <= x0 or b + half <= y0:
+                    continue
+                inside = a >= x0 and b >= y0 and a + half - 1 <= x1 and b + half - 1 <= y1
+                (whole if inside else split).append(square)
+        partial = split
+    found = []
+    for bits, first, _, _ in sorted(whole + partial, key=lambda s: s[1]):
+        last = first + (1 << 2 * bits) - 1
+        if found and found[-1][1] + 1 == first:
+            found[-1] = (found[-1][0], last)
+        else:
+            found.append((first, last))
+    return found
+
+
+def tile_box(z: int, extent: Extent) -> tuple[int, int, int, int]:
+    """First and last x, first and last y of the tiles of a zoom that meet an extent (west, south, east, north)."""
+    n = 1 << z
+
+    def at(share: float) -> int:
+        return max(0, min(n - 1, math.floor(share * n)))
+
+    def down(lat: float) -> float:
+        lat = max(WORLD[1], min(WORLD[3], lat))
+        return (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2
+
+    return at((extent[0] + 180) / 360), at((extent[2] + 180) / 360), at(down(extent[3])), at(down(extent[1]))
+
+
+def in_extent(z: int, extent: Extent) -> Column:
+    """Condition on (z, x_tile, y_tile, curve) that Parquet can prune by."""
+    x0, x1, y0, y1 = tile_box(z, extent)
+    near = F.lit(False)
+    for first, last in curve_ranges(x0, x1, y0, y1):
+        near = near | F.col("curve").between(first, last)
+    return (F.col("z") == z) & near & F.col("x_tile").between(x0, x1) & F.col("y_tile").between(y0, y1)

@@ -10,6 +10,20 @@ from busnet.operators import publication, tiles
 from busnet.plans.network import TABLES, Network
 from busnet.sources.features import FeatureTables
 
+# Tables that documents are looked up in by id are stored in the order of these columns; the later ones spread
+# an id that many rows have over several files.
+_LOOKUP = {
+    "d_routes": ["osm_id"],
+    "d_route_stop_positions": ["route_osm_id", "pos"],
+    "d_route_stops_with_connections": ["route_osm_id", "stop_index", "stop_osm_type", "stop_osm_id"],
+    "d_routes_ways_ids": ["rel_osm_id"],
+    "d_routes_position_ids": ["rel_osm_id"],
+    "i_stops": ["osm_id", "osm_type"],
+    "d_stops": ["osm_id", "osm_type"],
+    "d_routes_at_stop": ["osm_id", "osm_type", "rel_osm_id"],
+}
+
+
 class Store:
     """Versions under root/versions, and root/pointer, whose empty files name them in order: <seq>-<version>.
 
@@ -36,6 +50,9 @@ class Store:
 
     def write(self, version: str, table: str, df: DataFrame) -> DataFrame:
         path = self._path(version, table)
+        if order := _LOOKUP.get(table):
+            # each file covers a range of its own, so a lookup by id reads one
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         df.write.mode("overwrite").parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
