@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from busnet.llm import arrow, hashing
@@ -47,9 +48,27 @@ def _counted(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return solid[ends] > solid[starts]
 
 
-def _whole(data: np.ndarray) -> np.ndarray:
-    """Hash of a whole text, as an array of one."""
-    return hashing.pieces(data, np.zeros(1, np.int64), np.full(1, len(data)))
+def _whole(data: np.ndarray) -> int:
+    """Hash of a whole text, signed."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(data.data, seed=7)).view(np.int64)) if len(data) else 0
+
+
+def _all_counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the counted lines of all texts, and the first of each text and the end."""
+    cut = np.zeros(len(data) + 1, bool)
+    cut[np.flatnonzero(data == _NEWLINE) + 1] = True
+    cut[offsets[:-1]] = True
+    cut[-1] = False
+    starts = np.flatnonzero(cut)
+    ends = np.append(starts[1:], len(data))
+    # a line ends before the newline that the next one follows, or where its text ends
+    newline = np.zeros(len(starts), bool)
+    some = ends > starts
+    newline[some] = data[ends[some] - 1] == _NEWLINE
+    ends = ends - newline
+    solid = _counted(data, starts, ends)
+    starts, ends = starts[solid], ends[solid]
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 _WINDOWS = ["doc_id", "row", "th", "first", "key", "pick", "line"]
@@ -62,11 +81,13 @@ def _place() -> Column:
 
 
 def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How many words each line has."""
-    begin = ~hashing.SPACE[data]
-    begin[1:] &= hashing.SPACE[data[:-1]]
+    """How many words each line (of one byte at least) has."""
+    solid = ~hashing.SPACE[data]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
     before = np.concatenate([[0], np.cumsum(begin)])
-    return before[ends] - before[starts]
+    # a line begins anew, whatever text stands before it
+    return before[ends] - before[starts + 1] + solid[starts]
 
 
 def windows(docs: DataFrame, run: int, lone: int | None = None) -> DataFrame:
@@ -79,28 +100,25 @@ def windows(docs: DataFrame, run: int, lone: int | None = None) -> DataFrame:
         for batch in batches:
             for block in arrow.blocks(batch):
                 data, offsets = arrow.utf8(block.column("text"))
+                all_starts, all_ends, bounds = _all_counted(data, offsets)
+                all_lines = hashing.pieces(data, all_starts, all_ends)
+                long = np.zeros(len(all_starts), bool) if lone is None else _words(data, all_starts, all_ends) >= lone
                 parts = []
-                for at, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-                    own = data[a:b]
-                    starts, ends = _line_bounds(own)
-                    some = _counted(own, starts, ends)
-                    starts, ends = starts[some], ends[some]
-                    n = max(0, len(starts) - run + 1)
-                    rows = n if lone is None else len(starts)
+                for at, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    line = all_lines[a:b]
+                    n = max(0, len(line) - run + 1)
+                    rows = n if lone is None else len(line)
                     if not rows:
                         continue
-                    line = hashing.pieces(own, starts, ends)
                     key, pick = np.full(n, run, np.uint64), line[:n].copy()
                     for i in range(run):
                         key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + line[i : i + n])
                         np.minimum(pick, line[i : i + n], out=pick)
-                    th = _whole(own)
-                    short = np.arange(rows) >= n
-                    few = np.ones(rows, bool) if lone is None else _words(own, starts, ends) < lone
+                    th = _whole(data[offsets[at] : offsets[at + 1]])
                     rest = np.zeros(rows - n, np.uint64)
                     parts.append((
-                        np.full(rows, at), np.repeat(th, rows).view(np.int64), np.arange(rows), np.concatenate([key, rest]).view(np.int64),
-                        np.concatenate([pick, rest]).view(np.int64), line[:rows].view(np.int64), short, few,
+                        np.full(rows, at), np.full(rows, th), np.arange(rows), np.concatenate([key, rest]).view(np.int64),
+                        np.concatenate([pick, rest]).view(np.int64), line[:rows].view(np.int64), np.arange(rows) >= n, ~long[a : a + rows],
                     ))
                 doc, *columns, short, few = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 6 + [np.zeros(0, bool)] * 2
                 nulls = [None, None, short, short, few]
@@ -199,7 +217,7 @@ def without_repeats(docs: DataFrame, run: int = 2, lone: int | None = None) -> D
                     gone = np.zeros(len(lines), bool)
                     mine = []
                     if spans[i] and len(lines):
-                        th = int(_whole(own).view(np.int64)[0])
+                        th = _whole(own)
                         mine = sorted((s["first"], s["last"]) for s in spans[i] if s["th"] == th)
                     for first, last in mine:
                         gone[first : last + 1] = True

@@ -77,6 +77,9 @@ def test_lone_lines(spark):
         2: ("three\n\nfour", 1, 1, False), 3: ("", 1, 1, True), 8: ("seven", 1, 1, False), 11: (f"{exact} end\nnine", 1, 1, False), 12: ("", 3, 1, True),
     }
     assert cut == {d: [x] for d, x in wanted.items()}
+    # lines at the ends of texts that follow each other without a break
+    ends = spark.createDataFrame([(i, exact if i % 2 else f"{exact}\n") for i in range(6)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_removed for r in lines.without_repeats(ends, lone=13).collect()} == {0: 0} | dict.fromkeys(range(1, 6), 1)
     # without the option only runs of two lines go
     kept = by_id(lines.without_repeats(docs), "n_removed")
     assert {d for d, [(n,)] in kept.items() if n} == {12}
