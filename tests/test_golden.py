@@ -229,8 +229,9 @@ def test_noding_equals_brute_force(spark):
     rng = np.random.default_rng(11)
     edges = {"x": set(), "y": set()}
     for group in edges:
-        for span, count in ((40, 120), (9, 60), (4_000_000, 15)):
-            for p in rng.integers(0, span, size=(count, 4)).tolist():
+        # on lattices, so that many touch and overlap; their step keeps crossings off the middle between two spots
+        for span, count, step in ((40, 120, 64_000), (9, 60, 64_000), (4_000_000, 15, 1)):
+            for p in (step * rng.integers(0, span, size=(count, 4))).tolist():
                 a, b = sorted([(p[0], p[1]), (p[2], p[3])])
                 if a != b:
                     edges[group].add((a, b))
