@@ -127,6 +127,7 @@ def published_network(store: Store) -> Network:
     net = Network(features=None)
     for name in TABLES:
         setattr(net, name, store.table(name))
+    net.stop_connections = net.d_route_stops_with_connections
     return net
 
 
