@@ -44,6 +44,9 @@ class Settings:
 
 
 _BITS = 64
+#: Shingles of windows, and pairs of windows and items, that a task holds at a time.
+_HELD = 1 << 20
+_PAIRS = 256
 
 
 def simhash(elements: np.ndarray) -> int:
@@ -141,10 +144,21 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rule: Settings) -> DataFrame
     items = keep(_items(benchmark, rule), "decontam-items")
     places = keep(_hits(docs, items, rule), "decontam-places")
 
+    def windows(rows: list[tuple]) -> pa.RecordBatch:
+        """Rows whose last two values are arrays of numbers, which no list of Python's ever holds."""
+        def lists(k: int) -> pa.Array:
+            ends = np.cumsum([0, *(len(r[k]) for r in rows)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)])))
+
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([r[k] for r in rows], pa.int64()) for k in range(5)), lists(5), lists(6)],
+            ["doc_id", "at", "n", "n_words", "fp", "elements", "asked"],
+        )
+
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in arrow.blocks(batch):
-                rows = []
+                rows, held = [], 0
                 hashes, first = hashing.words(*arrow.utf8(block.column("text")))
                 for i, doc in enumerate(block.column("doc_id").to_pylist()):
                     own = hashes[first[i] : first[i + 1]]
@@ -161,12 +175,12 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rule: Settings) -> DataFrame
                             asked.setdefault((n, s), []).append(item)
                     for (n, s), by in sorted(asked.items()):
                         part = elements[s : s + n - rule.shingle + 1]
-                        rows.append((doc, s, n, min(n, len(own)), simhash(part), part.view(np.int64).tolist(), by))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
-                    ["doc_id", "at", "n", "n_words", "fp", "elements", "asked"],
-                )
+                        rows.append((doc, s, n, min(n, len(own)), simhash(part), part.view(np.int64), np.array(by, np.int64)))
+                        held += len(part) + len(by)
+                        if held > _HELD:
+                            yield windows(rows)
+                            rows, held = [], 0
+                yield windows(rows)
 
     seen = keep(
         # places grow with the documents: one plan at every size
@@ -185,7 +199,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, rule: Settings) -> DataFrame
     )
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, _PAIRS) for b in batches for i in range(0, b.num_rows, _PAIRS)):
             reached = [similarity(Counter(a), Counter(b)) for a, b in zip(batch.column("elements").to_pylist(), batch.column("item").to_pylist())]
             out = pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", "item_id", "at", "n_words")] + [pa.array(reached, pa.float64())],
