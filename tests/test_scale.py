@@ -54,8 +54,8 @@ def test_shields_travel_as_text(spark):
 
 
 def test_shields_of_a_stop_leave_out_the_own_route_only(spark):
-    """Routes of one ref and colour, a route given twice and one without a ref."""
-    lines = [(1, "a", "red"), (2, "a", "red"), (3, "a", None), (3, "a~", None), (4, None, "red")]
+    """Routes of one ref and colour, routes given twice, alike or not, and one without a ref."""
+    lines = [(1, "a", "red"), (2, "a", "red"), (2, "a", "red"), (3, "a", None), (3, "a~", None), (4, None, "red")]
     f = SmallFeatures(spark, nodes={5: ("A", at(0, 0))}, routes=lines, members=[(r, 1, "stop", 0, 5) for r in (1, 2, 3, 4)])
     n = Network(f)
     assert "shields" not in n.d_route_stops_with_connections.columns
@@ -65,7 +65,7 @@ def test_shields_of_a_stop_leave_out_the_own_route_only(spark):
 
     # as made of the published list
     assert listed(n.stop_connections) == listed(n.d_route_stops_with_connections)
-    assert dict(listed(n.stop_connections))[1] == [[("a", "red"), ("a", None), ("a~", None)]]
+    assert dict(listed(n.stop_connections))[1] == [[("a", "red"), ("a", "red"), ("a", None), ("a~", None)]]
 
 
 def test_clusters_settle_way_stops_before_they_join(spark):
