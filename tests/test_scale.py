@@ -87,3 +87,26 @@ def test_windows_are_handed_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontam, "_HELD", 10)
     monkeypatch.setattr(decontam, "_PAIRS", 1)
     assert sorted(map(tuple, decontam.matches(docs, items).collect())) == plain and len(plain) >= 12
+
+
+def test_feet_are_found_inside_the_row(spark):
+    """A position meets the ways of its route in one row: no pair is unfolded into rows that are sorted and spilled."""
+    n = net(spark)
+    for feet in (positions.projected_feet, positions.nearest_ways):
+        plan = feet(n.i_positions, n.i_ways)._jdf.queryExecution().executedPlan().toString()
+        assert "min(struct" not in plan and "explode(segments" not in plan
+
+
+@pytest.mark.parametrize("unit", ["degree", "metre"])
+@pytest.mark.parametrize("leaf", [1, 4096])
+def test_lines_of_one_place_are_one_way(spark, unit, leaf):
+    """Two lines with one member index, a line given twice and a single vertex: the nearest spot of the place counts."""
+    from busnet.operators.routes import with_centroid
+
+    lines = [(1, 10, [at(0, 30), at(50, 30)]), (1, 10, [at(0, 5), at(50, 5)]), (1, 20, [at(0, 8), at(50, 8)]), (1, 20, [at(0, 8), at(50, 8)]), (1, 30, [at(9, 9)])]
+    ways = spark.createDataFrame(lines, "rel_osm_id long, index int, geom array<struct<lon: double, lat: double>>")
+    stops = with_centroid(spark.createDataFrame([(1, 0, 5, 1, [at(10, 0)])], "rel_osm_id long, member_type int, member_osm_id long, member_index int, geom array<struct<lon: double, lat: double>>"))
+    every = {r.way_index: r.dist for r in positions.nearest_ways(stops, ways, unit, leaf).collect()}
+    assert sorted(every) == [10, 20, 30] and every[10] < every[20] < every[30]
+    (best,) = positions.projected_feet(stops, ways, unit, leaf).collect()
+    assert best.way_index == 10 and best.dist == every[10]
