@@ -471,3 +471,14 @@ def test_snap_drops_repeats(spark):
         "z int, x_tile int, y_tile int, pts array<struct<x:double,y:double>>",
     )
     assert [tuple(p) for p in df.select(tiles.snap(F.col("pts")).alias("p")).first()["p"]] == [(0, 0), (128, 128)]
+
+
+def test_circles_of_few_points_are_those_of_one_by_one():
+    """One point, two, two alike, and more, as the smallest circle of each alone."""
+    from busnet.functions.hull import enclosing_circle, enclosing_circles
+
+    rng = np.random.default_rng(5)
+    flat = [rng.uniform(-90, 90, 2 * n) for n in (1, 2, 3, 1, 5, 2, 20, 2)] + [np.array([1.0, 2.0, 1.0, 2.0]), np.array([3.0, 4.0])]
+    alone = np.array([enclosing_circle(a.reshape(-1, 2)) for a in flat])
+    assert np.allclose(enclosing_circles(flat), alone, rtol=1e-14, atol=1e-14)
+    assert enclosing_circles([]).shape == (0, 3)

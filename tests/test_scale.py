@@ -110,3 +110,13 @@ def test_lines_of_one_place_are_one_way(spark, unit, leaf):
     assert sorted(every) == [10, 20, 30] and every[10] < every[20] < every[30]
     (best,) = positions.projected_feet(stops, ways, unit, leaf).collect()
     assert best.way_index == 10 and best.dist == every[10]
+
+
+def test_blocks_of_short_routes_are_looked_up_once(spark):
+    """The stop before a block is asked for on routes of several blocks only; they keep their distances."""
+    from busnet.operators import routes
+
+    n = net(spark)
+    whole = sorted(map(tuple, routes.stop_spacing(n.members).collect()))
+    assert sorted(map(tuple, routes.stop_spacing(n.members, 4).collect())) == whole and len(whole) == 4
+    assert "LeftSemi" in routes.stop_spacing(n.members)._jdf.queryExecution().optimizedPlan().toString()
