@@ -1,9 +1,7 @@
 """Vectorised 64-bit hashes of words, lines and substrings.
 
 `pieces` identifies text: eight bytes at a time go through `mix`, so two pieces share a hash only by chance.
-`kgrams`, for short substrings at every position, is the polynomial sum of R[byte] * P^i (mod 2^64) moved to its
-start, R being one random 64-bit number per byte value and P odd; such sums must not identify long text, as there
-are pairs of a thousand letters on which every odd P agrees.  All seeds are fixed, so every task of every run
+`kgrams` does so for short substrings at every position. All seeds are fixed, so every task of every run
 gives the same hashes.
 """
 
@@ -12,12 +10,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from busnet.llm.arrow import BLOCK
-
 _SEED = 20240611
-_BYTE = np.random.Generator(np.random.PCG64(_SEED)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
 #: White space that separates words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,23 +18,6 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: list[np.ndarray] = []
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i for i < n; longer ones are made for the single document that needs them."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK + 4096)
-        made = []
-        for base in (_P, _P_INVERSE):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 4 * BLOCK:
-            return made[0][:n], made[1][:n]
-        _powers[:] = made
-    return _powers[0][:n], _powers[1][:n]
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(33))
@@ -56,6 +32,7 @@ _LANE = 8
 #: Pieces longer than this are hashed one by one.
 _LONG = 640
 _KEY = np.uint64(0x9E3779B97F4A7C15)
+_M = np.uint64(0xD6E8FEB86659FD93)
 _MASKS = np.array([(1 << (8 * i)) - 1 for i in range(_LANE)] + [(1 << 64) - 1], np.uint64)
 
 
@@ -79,20 +56,22 @@ def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums from which `kgrams` are taken; one longer than data."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    power, _ = _tables(len(data))
-    np.cumsum(_BYTE[data] * power, out=out[1:])
+def kgrams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes at each position that has as many from it on; data has k bytes at least."""
+    width, n = min(k, _LANE), len(data) - k + 1
+    padded = np.concatenate([data, np.zeros(_LANE, np.uint8)])
+    lane = np.ndarray((len(data) - width + 1,), np.dtype("<u8"), padded, strides=(1,)) & _MASKS[width]
+    lane *= _KEY
+    lane ^= lane >> np.uint64(32)
+    out = lane[:n].copy()
+    for at in (*range(_LANE, k - _LANE, _LANE), k - width):  # the last lane ends with the k bytes
+        out *= _M
+        out += lane[at : at + n]
+    out ^= out >> np.uint64(29)
+    out *= _KEY
     return out
 
 
-def kgrams(sums: np.ndarray, k: int) -> np.ndarray:
-    """Mixed hash of the k bytes at each position that has as many after it, from the prefix sums."""
-    _, back = _tables(len(sums))
-    return mix((sums[k:] - sums[:-k]) * back[: len(sums) - k])
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of all documents; a word never crosses documents."""
     if not len(data):
@@ -116,9 +95,6 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, np.searchsorted(starts, offsets)
 
 
-_M = np.uint64(0xD6E8FEB86659FD93)
-
-
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of `size` words; of the whole sequence if it is shorter; none without words."""
     n = len(hashes)

@@ -2,8 +2,9 @@
 
 Suffixes are smaller (S) or larger (L) than the one after them; an S right after an L starts a
 leftmost-smaller substring.  Sorting those induces the order of all L suffixes in one pass from the
-left and of all S suffixes in one from the right (Nong, Zhang and Chan, 2009).  Over bytes the passes go
-bucket by bucket with numpy; over the shorter text of substring names, sorted recursively, they walk a list.
+left and of all S suffixes in one from the right (Nong, Zhang and Chan, 2009).  The passes go bucket by
+bucket with numpy.  The shorter text of substring names has too many characters for that: its suffixes are
+sorted by twice as many names in each round, only those that still agree (Larsson and Sadakane, 2007).
 """
 
 from __future__ import annotations
@@ -11,37 +12,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _induce_lists(text: np.ndarray, size: int, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
-    """Order of all suffixes from the leftmost-smaller ones in the given order; for texts of many characters."""
-    n = len(text)
-    ends = np.cumsum(np.bincount(text, minlength=size))
-    order = np.full(n, -1, np.int64)
-    # the given ones at the ends of their buckets
-    first = text[stars]
-    by_char = np.argsort(first, kind="stable")
-    count = np.bincount(first, minlength=size)
-    place = ends[first[by_char]] - count[first[by_char]] + np.arange(len(stars)) - np.repeat(np.cumsum(count) - count, count)
-    order[place] = stars[by_char]
-    order = order.tolist()
-    # the character before each suffix, if that is to be put in; -1 stands for none, also for an empty place
-    before = np.full(n + 1, -1, np.int64)
-    before[1:n] = np.where(small[:-1], -1, text[:-1])
-    put, at = before.tolist(), (ends - np.bincount(text, minlength=size)).tolist()
-    for i in order:  # the list grows ahead of the loop
-        c = put[i]
-        if c >= 0:
-            order[at[c]] = i - 1
-            at[c] += 1
-    before[1:n] = np.where(small[:-1], text[:-1], -1)
-    put, at = before.tolist(), ends.tolist()
-    for i in reversed(order):
-        c = put[i]
-        if c >= 0:
-            at[c] -= 1
-            order[at[c]] = i - 1
-    return np.array(order)
-
-
 def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Names of the leftmost-smaller substrings, equal for equal ones, in their order; stars are in text order."""
     n = len(text)
@@ -65,32 +35,35 @@ def _names(text: np.ndarray, stars: np.ndarray, order: np.ndarray) -> np.ndarray
     return names
 
 
-def sort_names(text: np.ndarray, size: int) -> np.ndarray:
-    """Suffix array of numbers below size that end with their only 0."""
+def sort_names(text: np.ndarray) -> np.ndarray:
+    """Suffix array of numbers that end with their only 0."""
     n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64)
-    small = _types(text)
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(stars) > 1:
-        is_star = np.zeros(n, bool)
-        is_star[stars] = True
-        order = _induce_lists(text, size, small, stars)
-        order = order[is_star[order]]
-        names = _names(text, stars, order)
-        count = int(names.max()) + 1
-        stars = order if count == len(stars) else stars[sort_names(names, count)]
-    return _induce_lists(text, size, small, stars)
+    order = np.argsort(text, kind="stable")
+    rank = np.zeros(n, np.int64)  # where the group of suffixes that agree so far begins
+    live, key, step = np.arange(n), text[order], 1
+    while True:
+        new = np.ones(len(live) + 1, bool)
+        new[1:-1] = key[1:] != key[:-1]
+        heads = np.flatnonzero(new)
+        rank[order[live]] = np.repeat(live[heads[:-1]], np.diff(heads))
+        live = live[~(new[:-1] & new[1:])]
+        if not len(live):
+            return order
+        # two that agree on `step` numbers both end later
+        own = order[live]
+        key = rank[own] * n + rank[own + step]
+        by = np.argsort(key, kind="stable")
+        order[live], key = own[by], key[by]
+        step *= 2
 
 
 def _types(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the one after them; the last one counts as smaller."""
     n = len(text)
     differs = np.flatnonzero(text[:-1] != text[1:])
-    following = np.searchsorted(differs, np.arange(n - 1))  # the first change at or after each position
     small = np.ones(n, bool)
-    rises = text[differs] < text[differs + 1]
-    small[:-1] = rises[following]
+    # as at the first change at or after each position
+    small[:-1] = np.repeat(text[differs] < text[differs + 1], np.diff(differs, prepend=-1))
     return small
 
 
@@ -154,7 +127,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         order = np.concatenate([s[is_star[s]] for _, s in _induce(text, size, small, stars)])
         names = _names(text, stars, order)
         count = int(names.max()) + 1
-        stars = order if count == len(stars) else stars[sort_names(names, count)]
+        stars = order if count == len(stars) else stars[sort_names(names)]
     parts = _induce(text, size, small, stars)
     return np.concatenate([p for pair in parts for p in pair])[1:]
 
@@ -163,7 +136,7 @@ _LANE = 4  # characters compared at once
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """At each position the common prefix of its suffix and the one before it in order, up to most.
+    """At each position the common prefix of its suffix and the one before it in order, up to most; 0 if not in order.
 
     Four characters (below 65536) are compared at once.
     """

@@ -20,6 +20,7 @@ is later than all others.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,10 @@ from busnet.llm import arrow, hashing, induced
 
 _LAST = 2**63 - 1
 _ANCHOR = np.uint64(0x5851F42D4C957F2D)
+#: Bytes hashed together; their arrays stay in a core's cache.
+_BLOCK = 1 << 17
+#: Bits of an anchor left out of the table that rules anchors out.
+_LOW = np.uint64(42)
 
 
 @dataclass(frozen=True)
@@ -62,37 +67,57 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings) -> tuple[np.ndarray, ...]:
-    """(document, start, number of windows, anchor) of the segments of all documents."""
+def _among(wanted: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Finds where values are that occur in wanted; a table of leading bits rules out most of the others."""
+    wanted = np.sort(wanted)
+    seen = np.zeros(1 << (64 - int(_LOW)), bool)
+    seen[wanted >> _LOW] = True
+
+    def positions(values: np.ndarray) -> np.ndarray:
+        some = np.flatnonzero(seen[values >> _LOW])
+        mine = values[some]
+        at = np.searchsorted(wanted, mine)
+        at[at == len(wanted)] = 0
+        return some[wanted[at] == mine] if len(some) else some
+
+    return positions
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, rule: Settings, anchors: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(document, start, number of windows, anchor) of the segments of all documents whose anchors are in `anchors` (all if None)."""
     found = []
-    last, size = len(offsets) - 1, arrow.BLOCK
+    last = len(offsets) - 1
     at = 0
+    among = None if anchors is None else _among(anchors)
     while at < last:
-        end = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[at] + _BLOCK, side="right")) - 1
         end = min(max(end, at + 1), last)
         base = offsets[at]
         own, bounds = data[base : offsets[end]], offsets[at : end + 1] - base
         if len(own) >= rule.length:
-            sums = hashing.prefix_sums(own)
-            # a minimum is a small number: mixed again, so that buckets are filled evenly
-            anchor = hashing.mix(_smallest(hashing.kgrams(sums, rule.anchor), rule.length - rule.anchor + 1) + _ANCHOR)
+            anchor = _smallest(hashing.kgrams(own, rule.anchor), rule.length - rule.anchor + 1)
             n = len(anchor)
             cut = np.ones(n, bool)
-            cut[1:] = anchor[1:] != anchor[:-1]
+            np.not_equal(anchor[1:], anchor[:-1], out=cut[1:])
             # windows that would leave their document begin where the last full one ends
             limits = np.maximum(bounds[1:] - rule.length + 1, bounds[:-1])
             cut[bounds[:-1][bounds[:-1] < n]] = True
             cut[limits[limits < n]] = True
             starts = np.flatnonzero(cut)
+            # a minimum is a small number: mixed, so that buckets are filled evenly
+            anchor = hashing.mix(anchor[starts] + _ANCHOR)
             windows = np.diff(np.append(starts, n))
+            if among is not None:
+                mine = among(anchor)
+                starts, windows, anchor = starts[mine], windows[mine], anchor[mine]
             doc = np.searchsorted(bounds, starts, side="right") - 1
             whole = starts < limits[doc]
-            starts, windows, doc = starts[whole], windows[whole], doc[whole]
+            starts, windows, doc, anchor = starts[whole], windows[whole], doc[whole], anchor[whole]
             pieces = -(-windows // rule.most)
             inner = _ragged(np.zeros(len(pieces), np.int64), pieces) * rule.most
-            starts, doc = np.repeat(starts, pieces) + inner, np.repeat(doc, pieces)
+            starts, doc, anchor = np.repeat(starts, pieces) + inner, np.repeat(doc, pieces), np.repeat(anchor, pieces)
             windows = np.minimum(np.repeat(windows, pieces) - inner, rule.most)
-            found.append((doc + at, starts + base, windows, anchor[starts]))
+            found.append((doc + at, starts + base, windows, anchor))
         at = end
     if not found:
         none = np.zeros(0, np.int64)
@@ -107,15 +132,11 @@ class Batch:
         self.rule = rule
         self.data, self.offsets = arrow.utf8(table["text"])
         self.ids = table["doc_id"].combine_chunks().fill_null(_LAST).to_numpy(zero_copy_only=False)
-        found = segments(self.data, self.offsets, rule)
-        if anchors is not None:
-            mine = np.isin(found[3], anchors)
-            found = tuple(c[mine] for c in found)
-        self.doc, self.start, self.windows, self.anchor = found
+        self.doc, self.start, self.windows, self.anchor = segments(self.data, self.offsets, rule, anchors)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors and whether two documents of the batch hold it."""
-        order = np.argsort(self.anchor, kind="stable")
+        order = np.argsort(self.anchor)
         anchor, ids = self.anchor[order], self.ids[self.doc[order]]
         first = _heads(anchor)
         if not len(first):
@@ -158,13 +179,13 @@ def first_holders(content: list[bytes], holder: np.ndarray, rule: Settings) -> l
     where = _ragged(starts, lengths)
     text[where] = np.frombuffer(b"".join(content), np.uint8).astype(np.int64) + 1
     order = induced.suffix_array(text)
-    shared = induced.permuted_common_prefixes(text, order, rule.length)
     owner = np.repeat(np.arange(len(content)), lengths + 1)
     windows = lengths - rule.length + 1
     is_window = np.zeros(len(text), bool)
     is_window[_ragged(starts, windows)] = True
     # no suffix stands between two that share a whole window but others that share it too
     order = order[is_window[order]]
+    shared = induced.permuted_common_prefixes(text, order, rule.length)
     heads = np.flatnonzero(np.concatenate([[True], shared[order[1:]] < rule.length]))
     least = np.minimum.reduceat(holder[owner[order]], heads)
     at = np.empty(len(text), np.int64)
