@@ -120,3 +120,32 @@ def test_blocks_of_short_routes_are_looked_up_once(spark):
     whole = sorted(map(tuple, routes.stop_spacing(n.members).collect()))
     assert sorted(map(tuple, routes.stop_spacing(n.members, 4).collect())) == whole and len(whole) == 4
     assert "LeftSemi" in routes.stop_spacing(n.members)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_dealt_by_route_once(spark):
+    """Rows with the text of a stop go to their route as they are, not as lists begun before; a visit given twice counts once."""
+    n = net(spark)
+    plan = documents.stop_list(n.stop_connections)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(route_osm_id" not in plan
+    rows = lambda df: sorted(map(str, documents.stop_list(df).collect()))
+    twice = connections.route_stop_connections(n.i_positions.unionByName(n.i_positions), n.i_stops, n.relations, lists=False)
+    assert rows(twice) == rows(n.stop_connections) == rows(n.d_route_stops_with_connections)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a stored table was shuffled for is deleted when it is written, and the option is as before."""
+    import time
+
+    from busnet import session
+
+    def held() -> set:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in files.split("\n") if "shuffle_" in f}
+
+    before = held()
+    kept = session.keep(spark.range(1000).repartition(4, "id"), "trial", release=True)
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and kept.count() == 1000
+    assert spark.conf.get(session._RELEASE, None) is None
