@@ -149,3 +149,21 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not held() - before and kept.count() == 1000
     assert spark.conf.get(session._RELEASE, None) is None
+
+
+def test_documents_made_in_shares_are_those_made_at_once(spark):
+    """Routes without stops, one given twice and one without an id are in one share each."""
+    f = net(spark, (1, 2, 3, 3)).features
+    f.members = [m for m in f.members if m[0] != 2]
+    relations = f.relations_route.unionByName(f.relations_route.limit(1).selectExpr("CAST(NULL AS LONG) AS osm_id", *[f"`{c}`" for c in f.relations_route.columns[1:]]))
+    made = []
+
+    def documents_of(**how):
+        n = Network(f, **how)
+        n.relations = n.features.relations_route.unionByName(relations.filter("osm_id IS NULL")).selectExpr("abs(osm_id) AS osm_id", *[f"`{c}`" for c in relations.columns[1:]])
+        return sorted(map(str, n.route_documents.collect()))
+
+    whole = documents_of()
+    keep = lambda name, df: made.append(name) or df
+    assert documents_of(keep=keep, share=3) == whole and len(whole) == 4
+    assert made.count("t_route_documents") == 3
